@@ -72,7 +72,7 @@ def quality_gate(
     )
     glasses = F.lit(False)
     if "sunglasses" not in skip:
-        glasses = F.coalesce(F.col(cols["sunglasses"]) > limits.sunglasses, F.lit(False))
+        glasses = F.coalesce(F.col(cols["sunglasses"]) >= limits.sunglasses, F.lit(False))
     reached_pose = F.coalesce(reason != "blur", F.lit(True)) & has_pose
     reached_age = F.coalesce(~reason.isin("blur", "ypr"), F.lit(True))
     return df.withColumn(

@@ -36,5 +36,5 @@ def upsert_missing(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def append_log(rows: DataFrame, path: str, day: str = "day") -> None:
-    """Append to a log laid out by day; rows are clustered by day first so that a day is few files."""
-    rows.repartition(F.col(day)).write.mode("append").partitionBy(day).parquet(path)
+    """Append to a log laid out by day. ``rebalance`` gathers a day into few files but splits a heavy one."""
+    rows.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(path)
