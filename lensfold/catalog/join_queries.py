@@ -281,7 +281,7 @@ def f3_status(t):
 def f4(t):
     rows = t.photos.where("processing_status = 'completed'")
     page = listing.page(rows.orderBy(F.col("uploaded_at").desc(), "photo_id"), 100, 50)
-    return page.select("photo_id").join(rows.agg(F.count(F.lit(1)).alias("total")))
+    return page.select("photo_id", rows.agg(F.count(F.lit(1)).alias("total")).scalar().alias("total"))
 
 
 @query("g2_append_results", "SELECT o_orderkey AS id, 'a' AS src FROM orders UNION ALL SELECT c_custkey, 'b' FROM customer")
@@ -322,16 +322,16 @@ def h9_rollup(t):
 @query("h9_rejected_moves", with_roles("folders", body=TREE + """, m AS (SELECT folder_id, (folder_id * 4 + 1) % (SELECT count(*) FROM folders) AS target FROM folders)
 SELECT m.folder_id, m.target FROM m JOIN up ON up.folder_id = m.target AND up.anc = m.folder_id""", recursive=True))
 def h9_moves(t):
-    n = t.folders.agg(F.count(F.lit(1)).alias("n"))
-    moves = t.folders.join(n).select("folder_id", F.pmod(F.col("folder_id") * 4 + 1, F.col("n")).alias("target"))
+    n = t.folders.agg(F.count(F.lit(1)).alias("n")).scalar()
+    moves = t.folders.select("folder_id", F.pmod(F.col("folder_id") * 4 + 1, n).alias("target"))
     return rejected_moves(moves, _tree(t), "folder_id", "target")
 
 
-@query("f6_sibling_order", with_roles("folders", body="""SELECT parent_id, string_agg(CAST(folder_id AS VARCHAR), ',' ORDER BY sort_order, name, folder_id) AS children FROM folders WHERE parent_id IS NOT NULL GROUP BY 1"""))
+@query("f6_sibling_order", with_roles("folders", body="""SELECT parent_id, folder_id, row_number() OVER (PARTITION BY parent_id ORDER BY sort_order, name, folder_id) AS place
+  FROM folders WHERE parent_id IS NOT NULL"""))
 def f6(t):
-    kids = F.array_sort(F.collect_list(F.struct("sort_order", "name", "folder_id")))
-    out = t.folders.where("parent_id IS NOT NULL").groupBy("parent_id").agg(kids.alias("k"))
-    return out.select("parent_id", F.concat_ws(",", F.transform("k", lambda k: k["folder_id"].cast("string"))).alias("children"))
+    nested = t.folders.where("parent_id IS NOT NULL")
+    return position(nested, ["parent_id"], ["sort_order", "name", "folder_id"], "place").select("parent_id", "folder_id", "place")
 
 
 @query("h10_derived_status", with_roles("photos", "parents", body=COUNTS + """, j AS (SELECT p.event_id, p.status, coalesce(total, 0) AS total, coalesce(terminal, 0) AS terminal, coalesce(pending, 0) AS pending FROM parents p LEFT JOIN c USING (event_id)),
