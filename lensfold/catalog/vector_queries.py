@@ -228,7 +228,7 @@ joins AS (SELECT part, src AS cluster_id, dst AS survivor FROM b UNION SELECT pa
 n AS (SELECT part, survivor, CAST(sum(w) AS BIGINT) AS cluster_size FROM r GROUP BY 1, 2)
 SELECT part, survivor AS cluster_id, cluster_size, {_sql_pick('centroid', 3)} FROM {R.sql_unit_mean('r', 'part, survivor', 'v', 'w')} JOIN n USING (part, survivor)""")
 def h6(t):
-    out = identity.merge_small(R.clusters(t), _members_of_clusters(t), ONE)
+    out = identity.merge_small(R.clusters(t), ONE)
     return out.changes.select("part", "cluster_id", "cluster_size", *_pick("centroid", 3))
 
 

@@ -27,18 +27,21 @@ def add(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once. Inside a lambda a plain outer expression would be computed
+    again for every element, which makes a normalisation quadratic in the vector length."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column | str) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x.cast("double") / n)).otherwise(
-        F.transform(_c(v), lambda x: x.cast("double"))
-    )
+    whole = F.transform(_c(v), lambda x: x.cast("double"))
+    return bind(whole, lambda w: bind(norm(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 when either side is the zero vector."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return bind(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).when(n.isNotNull(), F.lit(0.0)))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:

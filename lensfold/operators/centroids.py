@@ -20,9 +20,10 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return row.d if row else 0
 
 
-def vector_sum(vec: str, dim: int, weight: Column | None = None) -> Column:
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    return F.array(*[F.sum(F.get(F.col(vec), F.lit(i)).cast("double") * w) for i in range(dim)])
+def vector_sum(vec: str, dim: int, weight: str | None = None) -> Column:
+    """Sum of vectors (times a weight column), one partial sum per dimension."""
+    factor = "" if weight is None else f" * {weight}"
+    return F.expr("array(" + ", ".join(f"sum(double(get({vec}, {i})){factor})" for i in range(dim)) + ")")
 
 
 def unit_float(v: Column | str) -> Column:
@@ -41,8 +42,8 @@ def weighted_unit_mean(
         df = df.where(F.col(vec).isNotNull())
         if weight is not None:
             df = df.where(F.col(weight) > 0)
-    w = F.col(weight) if weight is not None else F.lit(1)
-    agg = df.groupBy(*keys).agg(vector_sum(vec, dim or vector_dim(df, vec), w).alias("_s"), F.sum(w).alias("weight"))
+    total = F.sum(weight) if weight is not None else F.count(F.lit(1))
+    agg = df.groupBy(*keys).agg(vector_sum(vec, dim or vector_dim(df, vec), weight).alias("_s"), total.alias("weight"))
     mean = V.scale("_s", F.lit(1.0) / F.col("weight"))
     if empty == "null":
         value = F.when(V.norm("_s") > 0, unit_float(mean))

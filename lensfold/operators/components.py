@@ -24,7 +24,7 @@ def components(nodes: DataFrame, edges: DataFrame, ident: str, part: Sequence[st
     while not graph.isEmpty():
         both = graph.unionByName(graph.select(*on, F.col("dst").alias("src"), F.col("src").alias("dst")))
         hook = both.groupBy(*on, "src").agg(F.min("dst").alias("_m"))
-        hook = cut_lineage(hook.select(*on, F.col("src").alias("_v"), F.least("src", "_m").alias("_to")))
+        hook = hook.select(*on, F.col("src").alias("_v"), F.least("src", "_m").alias("_to"))
         for _ in range(2):
             jump = hook.select(*on, F.col("_v").alias("_to"), F.col("_to").alias("_next"))
             hook = hook.join(jump, [*on, "_to"], "left").select(*on, "_v", F.coalesce("_next", "_to").alias("_to"))

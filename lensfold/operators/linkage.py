@@ -29,7 +29,6 @@ def average_linkage(
         nearest = cut_lineage(S.nearest_other(active, "_g", "_mean", on, 1.0 - threshold, block))
         back = nearest.select(*on, F.col("src").alias("dst"), F.col("dst").alias("src"))
         pairs = nearest.where("src < dst").join(back, [*on, "src", "dst"], "left_semi").select(*on, "src", "dst")
-        pairs = cut_lineage(pairs)
         if pairs.isEmpty():
             break
         merged.append(pairs)

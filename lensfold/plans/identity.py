@@ -7,6 +7,7 @@ The wide member table (vectors) is only ever read. What changes from stage to st
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +85,12 @@ class Result:
     """Outcome of one stage, as three tables.
 
     ``changes``: one row per new, expanded or merged cluster; a null value means "leave as it is".
-    ``assigned``: (part, member, cluster). ``absorbed``: (part, cluster, survivor).
+    ``assigned``: (part, member, cluster). ``absorbed``: (part, cluster, survivor). None means "no rows".
     """
 
     changes: DataFrame
-    assigned: DataFrame
-    absorbed: DataFrame
+    assigned: DataFrame | None
+    absorbed: DataFrame | None
 
 
 def member_rows(pending: DataFrame, clusters: DataFrame, n: Names) -> DataFrame:
@@ -131,7 +132,7 @@ def classify(grouped: DataFrame, n: Names, config: ResolveConfig, policy: Policy
         F.sum("size").alias("old_size"),
         F.min(F.when(cent, F.struct((-size).alias("s"), F.col(CLUSTER).alias("c")))).alias("_largest"),
         F.min(F.when(~cent, F.col("mid"))).alias("_first"),
-        C.vector_sum("v", config.dim, F.col("weight")).alias("_sum"),
+        C.vector_sum("v", config.dim, "weight").alias("_sum"),
     )
     alone = (F.col("n_members") == 0) & (F.col("n_centroids") <= 1)
     kind = (
@@ -162,9 +163,11 @@ def run_pass(pending: DataFrame, clusters: DataFrame, config: ResolveConfig, pol
     assigned = joined.where(~F.col("is_centroid")).select(
         *on, F.expr("substring(mid, 3)").alias(n.ident), F.col("_to").alias(CLUSTER)
     )
-    absorbed = joined.where(F.col("is_centroid") & (F.col(CLUSTER) != F.col("_to"))).select(
-        *on, CLUSTER, F.col("_to").alias("survivor")
-    )
+    absorbed = None
+    if policy.merges and not clusters.isEmpty():
+        absorbed = joined.where(F.col("is_centroid") & (F.col(CLUSTER) != F.col("_to"))).select(
+            *on, CLUSTER, F.col("_to").alias("survivor")
+        )
     changes = live.select(*on, "kind", CLUSTER, "cluster_size", "centroid")
     if policy.pose_only:
         grown = pending.select(*on, n.ident, F.col(n.vec).alias("_vec")).join(assigned, [*on, n.ident])
@@ -196,11 +199,7 @@ def recover_points(pending: DataFrame, clusters: DataFrame, config: ResolveConfi
             F.lit(None).cast("array<float>").alias("centroid"), "pyr_centroid", "pyr_size",
         )
     )
-    return Result(changes, assigned, _none_absorbed(assigned, n))
-
-
-def _none_absorbed(df: DataFrame, n: Names) -> DataFrame:
-    return df.where("false").select(*n.part, CLUSTER, F.col(CLUSTER).alias("survivor"))
+    return Result(changes, assigned, None)
 
 
 def small_matches(clusters: DataFrame, config: ResolveConfig) -> DataFrame:
@@ -212,7 +211,7 @@ def small_matches(clusters: DataFrame, config: ResolveConfig) -> DataFrame:
     return S.topk_search(small, big, "k", ["centroid", "pyr_centroid"], on, 1, config.merge_threshold, config.block)
 
 
-def merge_small(clusters: DataFrame, members: DataFrame, config: ResolveConfig) -> Result:
+def merge_small(clusters: DataFrame, config: ResolveConfig) -> Result:
     """Merge small clusters into the established cluster they resemble most; one merge per target."""
     n = config.names
     on = list(n.part)
@@ -224,8 +223,7 @@ def merge_small(clusters: DataFrame, members: DataFrame, config: ResolveConfig)
         *on, F.lit("merged").alias("kind"), F.col("survivor").alias(CLUSTER), F.col("weight").alias("cluster_size"), "centroid",
         F.lit(None).cast("array<float>").alias("pyr_centroid"), F.lit(None).cast("bigint").alias("pyr_size"),
     )
-    nobody = members.where("false").select(*on, n.ident, F.lit(None).cast("string").alias(CLUSTER))
-    return Result(changes, nobody, absorbed)
+    return Result(changes, None, absorbed)
 
 
 def merged_pose(clusters: DataFrame, absorbed: DataFrame, n: Names, dim: int) -> DataFrame:
@@ -252,8 +250,12 @@ def apply_result(clusters: DataFrame, current: DataFrame, result: Result, config
     key = [*on, CLUSTER]
     values = ("centroid", "pyr_centroid", "cluster_size", "pyr_size")
     new = result.changes.select(*key, "kind", *[F.col(v).alias(f"_{v}") for v in values])
-    pose = merged_pose(clusters, result.absorbed, n, config.dim).withColumn("_merged", F.lit(True))
-    kept = clusters.join(result.absorbed.select(*key), key, "left_anti").join(new.where("kind <> 'new'"), key, "left").join(pose, key, "left")
+    kept = clusters.join(new.where("kind <> 'new'"), key, "left")
+    if result.absorbed is None:
+        kept = kept.withColumns({"_merged": F.lit(False), "_pose": F.lit(None).cast("array<float>"), "_pose_size": F.lit(0)})
+    else:
+        pose = merged_pose(clusters, result.absorbed, n, config.dim).withColumn("_merged", F.lit(True))
+        kept = kept.join(result.absorbed.select(*key), key, "left_anti").join(pose, key, "left")
     updated = kept.select(
         *key,
         F.coalesce("_centroid", "centroid").alias("centroid"),
@@ -267,12 +269,13 @@ def apply_result(clusters: DataFrame, current: DataFrame, result: Result, config
         F.lit(None).cast("array<float>").alias("secondary_centroid"), F.col("_cluster_size").alias("cluster_size"),
         F.lit(0).cast("bigint").alias("pyr_size"),
     )
-    moved = result.assigned.select(*on, n.ident, F.col(CLUSTER).alias("_assigned"))
-    follow = result.absorbed.select(*key, F.col("survivor").alias("_survivor"))
-    members = (
-        current.join(moved, [*on, n.ident], "left").join(follow, key, "left")
-        .select(*on, n.ident, F.coalesce("_assigned", "_survivor", CLUSTER).alias(CLUSTER))
-    )
+    members = current
+    if result.absorbed is not None:
+        follow = result.absorbed.select(*key, F.col("survivor").alias("_survivor"))
+        members = members.join(follow, key, "left").select(*on, n.ident, F.coalesce("_survivor", CLUSTER).alias(CLUSTER))
+    if result.assigned is not None:
+        moved = result.assigned.select(*on, n.ident, F.col(CLUSTER).alias("_assigned"))
+        members = members.join(moved, [*on, n.ident], "left").select(*on, n.ident, F.coalesce("_assigned", CLUSTER).alias(CLUSTER))
     return cut_lineage(updated.unionByName(born)), cut_lineage(members)
 
 
@@ -316,7 +319,10 @@ def resolve(members: DataFrame, clusters: DataFrame | None, config: ResolveConfi
 
     def commit(stage: str, result: Result) -> None:
         nonlocal clusters, current
-        result = Result(cut_lineage(result.changes), cut_lineage(result.assigned), result.absorbed)
+        assigned, absorbed = (None if df is None else cut_lineage(df) for df in (result.assigned, result.absorbed))
+        if all(df is None or df.isEmpty() for df in (assigned, absorbed)):
+            return
+        result = Result(cut_lineage(result.changes), assigned, None if absorbed is None or absorbed.isEmpty() else absorbed)
         clusters, current = apply_result(clusters, current, result, config)
         changed.append(touched(result, n))
         reports.append(result.changes.groupBy(*on, F.lit(stage).alias("stage"), "kind").agg(F.count(F.lit(1)).alias("n")))
@@ -329,16 +335,13 @@ def resolve(members: DataFrame, clusters: DataFrame | None, config: ResolveConfi
         for batch in _batches(cut_lineage(pending(config.restricted)), config):
             if not batch.isEmpty():
                 commit("recover_points", recover_points(batch, clusters, config))
-        commit("merge_small", merge_small(clusters, members, config))
-
-    everything = changed[0]
-    for more in changed[1:]:
-        everything = everything.unionByName(more)
-    clusters = _finish(clusters, current, members, everything, config)
-    report = reports[0]
-    for more in reports[1:]:
-        report = report.unionByName(more)
-    return Resolved(clusters, current, report)
+        commit("merge_small", merge_small(clusters, config))
+
+    if not changed:
+        empty = clusters.where("false").select(*on, F.lit("").alias("stage"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("n"))
+        return Resolved(clusters, current, empty)
+    clusters = _finish(clusters, current, members, reduce(DataFrame.unionByName, changed), config)
+    return Resolved(clusters, current, reduce(DataFrame.unionByName, reports))
 
 
 def _with_dim(config: ResolveConfig, dim: int) -> ResolveConfig:
