@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensfold.operators.listing import best_per_group, first_n
+from lensfold.session import cut_lineage
 
 
 def _c(x: Column | str) -> Column:
@@ -98,25 +100,76 @@ def top_boxes(boxes: DataFrame, image: Sequence[str], corners: Sequence[str], or
     return first_n(boxes.withColumn("value", value), image, [F.col("value").desc(), F.col(order)], n)
 
 
-def nms(boxes: DataFrame, image: Sequence[str], corners: Sequence[str], score: str, order: str, limit: float) -> DataFrame:
+def nms(
+    boxes: DataFrame, image: Sequence[str], corners: Sequence[str], score: str, order: str, limit: float,
+    group_limit: int = 5000, cell: float = 256.0,
+) -> DataFrame:
     """Greedy suppression per image: best score first, boxes overlapping a kept one by more than ``limit`` go.
 
-    A group is one image. Boxes of an image are independent of all others, so images are the unit of parallel
-    work; the group holds the detections of a single picture and not of a tenant or an event.
+    Ordinary images share packs of bounded size and take one pass. An image with more than ``group_limit`` boxes is solved
+    by rounds of joins instead, with the same result, so no group grows without bound.
     """
+    on = list(image)
+    counts = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counts.where(F.col("_n") > group_limit).select(*on)
+    light = counts.where(F.col("_n") <= group_limit).agg(F.sum("_n").alias("boxes")).first()
+    packs = max(1, math.ceil((light.boxes or 0) / (4 * group_limit)))
+    if heavy.isEmpty():
+        return _nms_packs(boxes, on, corners, score, order, limit, packs)
+    small = _nms_packs(boxes.join(heavy, on, "left_anti"), on, corners, score, order, limit, packs)
+    return small.unionByName(_nms_rounds(boxes.join(heavy, on, "left_semi"), on, corners, score, order, limit, cell))
+
+
+def _nms_packs(boxes: DataFrame, image: list[str], corners: Sequence[str], score: str, order: str, limit: float, packs: int) -> DataFrame:
+    """Images hashed into packs of bounded size: one call per pack, since a call per image costs more than its work."""
     pixel = 1.0
 
     def suppress(table):
+        table = table.drop_columns(["_pack"])
+        group = table.select(image).append_column("_row", pa.array(np.arange(table.num_rows)))
         x1, y1, x2, y2, s = (np.asarray(table.column(c), dtype=np.float64) for c in (*corners, score))
+        ranks = np.asarray(table.column(order))
         area = (x2 - x1 + pixel) * (y2 - y1 + pixel)
-        waiting = np.lexsort((np.asarray(table.column(order)), -s))
         kept = []
-        while waiting.size:
-            best, waiting = waiting[0], waiting[1:]
-            kept.append(best)
-            w = np.clip(np.minimum(x2[best], x2[waiting]) - np.maximum(x1[best], x1[waiting]) + pixel, 0, None)
-            h = np.clip(np.minimum(y2[best], y2[waiting]) - np.maximum(y1[best], y1[waiting]) + pixel, 0, None)
-            waiting = waiting[w * h / (area[best] + area[waiting] - w * h) <= limit]
+        for rows in group.group_by(image).aggregate([("_row", "list")]).column("_row_list"):
+            waiting = np.asarray(rows.values)
+            waiting = waiting[np.lexsort((ranks[waiting], -s[waiting]))]
+            while waiting.size:
+                best, waiting = waiting[0], waiting[1:]
+                kept.append(best)
+                if not waiting.size:
+                    break
+                w = np.clip(np.minimum(x2[best], x2[waiting]) - np.maximum(x1[best], x1[waiting]) + pixel, 0, None)
+                h = np.clip(np.minimum(y2[best], y2[waiting]) - np.maximum(y1[best], y1[waiting]) + pixel, 0, None)
+                waiting = waiting[w * h / (area[best] + area[waiting] - w * h) <= limit]
         return table.take(pa.array(kept, pa.int64()))
 
-    return boxes.groupBy(*image).applyInArrow(suppress, boxes.schema)
+    packed = boxes.withColumn("_pack", F.pmod(F.xxhash64(*image), F.lit(packs)))
+    return packed.groupBy("_pack").applyInArrow(suppress, boxes.schema)
+
+
+def _nms_rounds(boxes: DataFrame, image: list[str], corners: Sequence[str], score: str, order: str, limit: float, cell: float) -> DataFrame:
+    """A box is kept once no better open box overlaps it; boxes overlapping a kept one are closed. Copies of a
+    box can only be suppressed by their best copy, so only that one enters the overlap join."""
+    rest = [c for c in boxes.columns if c not in (*image, *corners)]
+    unique = cut_lineage(best_per_group(boxes, [*image, *corners], [-F.col(score), F.col(order)], rest).select(*boxes.columns))
+    rank = unique.select(*image, order, score)
+    pair = overlapping(unique, image, order, corners, limit, cell).select(*image, "first", "second")
+    a = rank.select(*image, F.col(order).alias("first"), F.col(score).alias("_s1"))
+    b = rank.select(*image, F.col(order).alias("second"), F.col(score).alias("_s2"))
+    ranked = pair.join(a, [*image, "first"]).join(b, [*image, "second"])
+    leads = (F.col("_s1") > F.col("_s2")) | ((F.col("_s1") == F.col("_s2")) & (F.col("first") < F.col("second")))
+    edges = cut_lineage(ranked.select(
+        *image, F.when(leads, F.col("first")).otherwise(F.col("second")).alias("_win"),
+        F.when(leads, F.col("second")).otherwise(F.col("first")).alias("_lose"),
+    ))
+    removed = None
+    while not edges.isEmpty():
+        losers = edges.select(*image, F.col("_lose").alias("_win")).distinct()
+        safe = edges.select(*image, "_win").distinct().join(losers, [*image, "_win"], "left_anti")
+        out = cut_lineage(edges.join(safe, [*image, "_win"], "left_semi").select(*image, F.col("_lose").alias("_x")).distinct())
+        removed = out if removed is None else removed.unionByName(out)
+        for side in ("_win", "_lose"):
+            edges = edges.join(out.withColumnRenamed("_x", side), [*image, side], "left_anti")
+        edges = cut_lineage(edges)
+    return unique if removed is None else unique.join(removed.withColumnRenamed("_x", order), [*image, order], "left_anti")

@@ -45,19 +45,24 @@ def publish(tables: dict[str, DataFrame], root: str, version: int) -> None:
     spark.range(1).select(F.lit(version).alias("v")).coalesce(1).write.mode("overwrite").parquet(_marker(root, version))
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _folder(spark, path)
+    return fs.exists(folder)
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """Highest version whose marker was written; half-written versions are never seen."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/published")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    if not path_exists(spark, f"{root.rstrip('/')}/published"):
         return None
-    done = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        success = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(success):
-            done.append(int(name.split("=")[1]))
-    return max(done, default=None)
+    folder, fs = _folder(spark, f"{root.rstrip('/')}/published")
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    versions = [int(name.split("=")[1]) for name in names if name.startswith("version=")]
+    return max((v for v in versions if path_exists(spark, f"{_marker(root, v)}/_SUCCESS")), default=None)
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
