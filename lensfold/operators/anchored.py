@@ -1,13 +1,14 @@
 """Windows that open at an event and stay open for a fixed time, and small state machines, over hot keys.
 
-Both are sequential by nature: what an event means depends on the ones before. Here a key is cut into time
-slices. Each slice tells, for every state it could be entered in, in which state it is left (one short summary
-per slice). The summaries of a key are chained, and each slice is then run once from its true entry state.
-No task ever holds more rows of a key than one slice, plus one summary per slice.
+Both are sequential by nature: what an event means depends on the ones before. Keys of ordinary size share packs
+and are run from the start, many keys per call. A heavy key is cut into time slices: each slice tells, for every
+state it could be entered in, in which state it is left (one short summary per slice); the summaries are chained,
+and each slice is then run from its true entry state. No call holds more than one pack or one slice.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -20,6 +21,28 @@ from lensfold.operators.sliced import SLICE, last_known, micros, running_sum, ti
 from lensfold.session import cut_lineage
 
 
+HEAVY = 100_000  # rows of a key above which it is sliced
+
+
+def _split(rows: DataFrame, key: list[str], ts: str, span: float, heavy: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with slice and pack numbers, and the heavy keys (None when there are none)."""
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    size = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    packs = max(1, math.ceil((size.rows or 0) / heavy))
+    if (size.most or 0) <= heavy:
+        sliced, hot = rows.withColumn(SLICE, F.lit(0).cast("bigint")), None
+    else:
+        hot = counts.where(F.col("_n") > heavy).select(*key)
+        flagged = time_slice(rows, ts, span).join(hot.withColumn("_hot", F.lit(True)), key, "left")
+        sliced = flagged.withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(0)).drop("_hot")
+    return sliced.withColumn("_pack", F.pmod(F.xxhash64(*key, SLICE), F.lit(packs))), hot
+
+
+def _groups(pdf: pd.DataFrame, key: list[str]) -> list[np.ndarray]:
+    """Row numbers of each (key, slice) of a pack, in row order."""
+    return list(pdf.groupby([*key, SLICE], sort=False, dropna=False).indices.values())
+
+
 def _anchor_exits(times: np.ndarray, ttl: int) -> np.ndarray:
     """For each event: when the last window is over if a window opens at this event. ``times`` ascends."""
     follow = np.searchsorted(times, times + ttl)
@@ -30,56 +53,65 @@ def _anchor_exits(times: np.ndarray, ttl: int) -> np.ndarray:
     return exits
 
 
-def anchors(log: DataFrame, key: Sequence[str], ts: str, ttl: float, slice_seconds: float | None = None) -> DataFrame:
+def _open_flags(times: np.ndarray, over: int, ttl: int) -> np.ndarray:
+    opens = np.zeros(len(times), dtype=bool)
+    i = int(np.searchsorted(times, over))
+    while i < len(times):
+        opens[i] = True
+        i = int(np.searchsorted(times, times[i] + ttl))
+    return opens
+
+
+def anchors(log: DataFrame, key: Sequence[str], ts: str, ttl: float, slice_seconds: float = 0, heavy: int = HEAVY) -> DataFrame:
     """Distinct (key, instant) with ``opens``: whether this instant opens a window of ``ttl`` seconds.
 
     A window opens at the first event of a key and at the first event at or after the end of the last window.
     """
-    width = int(ttl * 1_000_000)
-    span = max(slice_seconds or 0, 64 * ttl)
-    on = list(key)
-    rows = time_slice(log.select(*on, F.col(ts).alias("_ts")).distinct(), "_ts", span).select(*on, SLICE, micros("_ts").alias("_us"))
-    span_us = int(span * 1_000_000)
-    fields = [log.schema[k] for k in on]
+    width, span = int(ttl * 1_000_000), max(slice_seconds, 2 * ttl)
+    on, span_us, never = list(key), int(span * 1_000_000), np.iinfo(np.int64).min
+    distinct = log.select(*on, F.col(ts).alias("_ts")).distinct()
+    split, hot = _split(distinct, on, "_ts", span, heavy)
+    rows = split.select(*on, SLICE, "_pack", micros("_ts").alias("_us"))
+    key_fields = [log.schema[k] for k in on] + [T.StructField(SLICE, T.LongType())]
+    longs = T.ArrayType(T.LongType())
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_us"].to_numpy())
         exits = _anchor_exits(times, width)
-        # entries end before slice start + ttl: later events are reached only as the first one after that
+        # an open window ends before slice start + ttl; anything later is met as the first event after that
         last = np.searchsorted(times, pdf[SLICE].iloc[0] * span_us + width) + 1
         t, e = times[:last], exits[:last]
         keep = np.append(e[1:] != e[:-1], True)
-        head = pdf[[*on, SLICE]].iloc[:1]
-        return head.assign(_t=[t[keep].tolist()], _e=[e[keep].tolist()])
-
-    tables = rows.groupBy(*on, SLICE).applyInPandas(
-        summary, T.StructType([*fields, T.StructField(SLICE, T.LongType()), T.StructField("_t", T.ArrayType(T.LongType())), T.StructField("_e", T.ArrayType(T.LongType()))])
-    )
+        return pdf[[*on, SLICE]].iloc[:1].assign(_t=[t[keep].tolist()], _e=[e[keep].tolist()])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
-        over, entry = np.iinfo(np.int64).min, []
+        over, entry = never, []
         for t, e in zip(pdf["_t"], pdf["_e"], strict=True):
             entry.append(over)
             i = int(np.searchsorted(t, over))
-            if i < len(t):
-                over = int(e[i])
+            over = int(e[i]) if i < len(t) else over
         return pdf[[*on, SLICE]].assign(_over=entry)
 
-    entries = tables.groupBy(*on).applyInPandas(chain, T.StructType([*fields, T.StructField(SLICE, T.LongType()), T.StructField("_over", T.LongType())]))
+    if hot is None:
+        rows = rows.withColumn("_over", F.lit(int(never)))
+    else:
+        tables = rows.join(hot, on, "left_semi").groupBy(*on, SLICE).applyInPandas(
+            summary, T.StructType([*key_fields, T.StructField("_t", longs), T.StructField("_e", longs)])
+        )
+        entries = tables.groupBy(*on).applyInPandas(chain, T.StructType([*key_fields, T.StructField("_over", T.LongType())]))
+        rows = rows.join(entries, [*on, SLICE], "left").withColumn("_over", F.coalesce("_over", F.lit(int(never))))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_us")
-        times = pdf["_us"].to_numpy()
-        opens = np.zeros(len(times), dtype=bool)
-        i = int(np.searchsorted(times, pdf["_over"].iloc[0]))
-        while i < len(times):
-            opens[i] = True
-            i = int(np.searchsorted(times, times[i] + width))
-        return pdf[[*on, SLICE, "_us"]].assign(opens=opens)
-
-    out = rows.join(entries, [*on, SLICE]).groupBy(*on, SLICE).applyInPandas(
-        mark, T.StructType([*fields, T.StructField(SLICE, T.LongType()), T.StructField("_us", T.LongType()), T.StructField("opens", T.BooleanType())])
+        times, over = pdf["_us"].to_numpy(), pdf["_over"].to_numpy()
+        opens = np.zeros(len(pdf), dtype=bool)
+        for at in _groups(pdf, on):
+            opens[at] = _open_flags(times[at], over[at[0]], width)
+        return pdf[[*on, "_us"]].assign(opens=opens)
+
+    out = rows.groupBy("_pack").applyInPandas(
+        mark, T.StructType([*key_fields[:-1], T.StructField("_us", T.LongType()), T.StructField("opens", T.BooleanType())])
     )
     return out.withColumn(ts, F.timestamp_micros("_us"))
 
@@ -89,37 +121,35 @@ def debounce(log: DataFrame, key: Sequence[str], ts: str, ttl: float) -> DataFra
     return anchors(log, key, ts, ttl).select(*key, ts, F.col("opens").alias("acts"))
 
 
-def throttle(log: DataFrame, key: Sequence[str], ts: str, tie: str, ttl: float, most: int = 2) -> DataFrame:
+def throttle(log: DataFrame, key: Sequence[str], ts: str, tie: str, ttl: float, most: int = 2, **kw) -> DataFrame:
     """Log with ``place`` inside its anchored window and ``allowed``: only the first ``most`` of a window pass."""
     on = list(key)
-    flags = anchors(log, key, ts, ttl).select(*on, "_us", SLICE, "opens")
-    rows = log.withColumn("_us", micros(ts)).join(flags, [*on, "_us"])
-    first = cut_lineage(running_sum(rows, on, ["_us", tie], F.lit(1).cast("bigint"), "_ix"))
-    heads = first.groupBy(*on, "_us").agg(F.min("_ix").alias("_head"))
-    rows = first.join(heads, [*on, "_us"])
-    opened = F.when(F.col("opens") & (F.col("_ix") == F.col("_head")), F.col("_ix"))
-    rows = last_known(rows, on, ["_us", tie], opened, "_start")
-    return (
-        rows.withColumn("place", F.col("_ix") - F.col("_start") + 1)
-        .withColumn("allowed", F.col("place") <= most).drop("_us", "_ix", "_head", "_start", "opens", SLICE)
-    )
+    flags = anchors(log, key, ts, ttl, **kw).select(*on, "_us", "opens")
+    rows = time_slice(log.withColumn("_us", micros(ts)), ts, 64 * ttl).join(flags, [*on, "_us"])
+    rows = cut_lineage(running_sum(rows, on, ["_us", tie], F.lit(1).cast("bigint"), "_ix"))
+    heads = rows.where("opens").groupBy(*on, "_us").agg(F.min("_ix").alias("_head"))
+    rows = rows.join(heads, [*on, "_us"], "left")
+    rows = last_known(rows, on, ["_us", tie], F.when(F.col("_ix") == F.col("_head"), F.col("_ix")), "_start")
+    place = F.col("_ix") - F.col("_start") + 1
+    return rows.withColumn("place", place).withColumn("allowed", F.col("place") <= most).select(*log.columns, "place", "allowed")
 
 
 def finite_machine(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], states: int,
-    run: Callable[[pd.DataFrame, int], tuple[np.ndarray, int]], out: str, kind: T.DataType,
+    rows: DataFrame, key: Sequence[str], ts: str, tie: str, states: int,
+    run: Callable[[np.ndarray, int], tuple[np.ndarray, int]], value: str, out: str, kind: T.DataType,
+    slice_seconds: float = 86400, heavy: int = HEAVY,
 ) -> DataFrame:
-    """Run a machine with ``states`` states over each key in order, starting in state 0.
+    """Run a machine with ``states`` states over the values of each key in time order, starting in state 0.
 
-    ``run(slice, entry)`` gives the output per row and the exit state. ``rows`` carry a slice column.
+    ``run(values, entry)`` gives the output per row and the exit state.
     """
-    on = list(key)
-    fields = [rows.schema[k] for k in on]
-    columns = rows.columns
+    on, order, columns = list(key), [ts, tie], rows.columns
+    split, hot = _split(rows, on, ts, slice_seconds, heavy)
+    key_fields = [rows.schema[k] for k in on] + [T.StructField(SLICE, T.LongType())]
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        return pdf[[*on, SLICE]].iloc[:1].assign(_exit=[[int(run(pdf, s)[1]) for s in range(states)]])
+        values = pdf.sort_values(order)[value].to_numpy()
+        return pdf[[*on, SLICE]].iloc[:1].assign(_exit=[[int(run(values, s)[1]) for s in range(states)]])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
@@ -129,12 +159,21 @@ def finite_machine(
             state = int(exits[state])
         return pdf[[*on, SLICE]].assign(_entry=entry)
 
+    if hot is None:
+        split = split.withColumn("_entry", F.lit(0))
+    else:
+        exits = split.join(hot, on, "left_semi").groupBy(*on, SLICE).applyInPandas(
+            table, T.StructType([*key_fields, T.StructField("_exit", T.ArrayType(T.IntegerType()))])
+        )
+        entry = exits.groupBy(*on).applyInPandas(chain, T.StructType([*key_fields, T.StructField("_entry", T.IntegerType())]))
+        split = split.join(entry, [*on, SLICE], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        return pdf[columns].assign(**{out: run(pdf, int(pdf["_entry"].iloc[0]))[0]})
-
-    slice_field = T.StructField(SLICE, T.LongType())
-    exits = rows.groupBy(*on, SLICE).applyInPandas(table, T.StructType([*fields, slice_field, T.StructField("_exit", T.ArrayType(T.IntegerType()))]))
-    entry = exits.groupBy(*on).applyInPandas(chain, T.StructType([*fields, slice_field, T.StructField("_entry", T.IntegerType())]))
-    done = T.StructType([*rows.schema.fields, T.StructField(out, kind)])
-    return rows.join(entry, [*on, SLICE]).groupBy(*on, SLICE).applyInPandas(final, done).drop(SLICE)
+        pdf = pdf.sort_values(order)
+        values, entry = pdf[value].to_numpy(), pdf["_entry"].to_numpy()
+        result = np.empty(len(pdf), dtype=object)
+        for at in _groups(pdf, on):
+            result[at] = run(values[at], int(entry[at[0]]))[0]
+        return pdf[columns].assign(**{out: result})
+
+    return split.groupBy("_pack").applyInPandas(final, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))

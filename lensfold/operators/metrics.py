@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,17 +87,17 @@ def quota_step(percent: float, last: int) -> tuple[int, int]:
     return 0, last
 
 
-def _run_quota(pdf: pd.DataFrame, state: int) -> tuple[np.ndarray, int]:
-    alerts = np.zeros(len(pdf), dtype=np.int32)
-    for i, percent in enumerate(pdf["percent"].to_numpy()):
+def _run_quota(percents: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+    alerts = np.zeros(len(percents), dtype=np.int32)
+    for i, percent in enumerate(percents):
         alerts[i], state = quota_step(percent, state)
     return alerts, state
 
 
-def quota_alerts(usage: DataFrame, owner: Sequence[str], ts: str, tie: str, percent: str, slice_seconds: float = 86400) -> DataFrame:
+def quota_alerts(usage: DataFrame, owner: Sequence[str], ts: str, tie: str, percent: str, **kw) -> DataFrame:
     """Usage rows with ``alert``: the band announced by this row, 0 for none."""
-    rows = time_slice(usage.select(*owner, ts, tie, F.col(percent).cast("double").alias("percent")), ts, slice_seconds)
-    return finite_machine(rows, owner, [ts, tie], len(QUOTA_BANDS) + 1, _run_quota, "alert", T.IntegerType())
+    rows = usage.select(*owner, ts, tie, F.col(percent).cast("double").alias("percent"))
+    return finite_machine(rows, owner, ts, tie, len(QUOTA_BANDS) + 1, _run_quota, "percent", "alert", T.IntegerType(), **kw)
 
 
 def notifications(alerts: DataFrame, group: Sequence[str], ts: str, repeat: float = 4 * 3600) -> DataFrame:

@@ -11,6 +11,9 @@ import time
 import duckdb
 
 
+SPENT = {"spark": 0.0}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -33,8 +36,10 @@ def rows_of(names, rows) -> list[tuple]:
 
 def compare(spark, con, run, sql: str, sf_dir: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     df = run(spark, sf_dir)
     got_names, got = df.columns, [tuple(r) for r in df.collect()]
+    SPENT["spark"] = time.time() - start
     cur = con.execute(sql)
     want_names, want = [d[0] for d in cur.description], cur.fetchall()
     if sorted(got_names) != sorted(want_names):
@@ -66,7 +71,7 @@ def main() -> int:
         except Exception as exc:  # noqa: BLE001
             problem = f"{type(exc).__name__}: {str(exc)[:600]}"
         failures += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s{'' if name in sql else ' (rows only)'} {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s (spark {SPENT['spark']:.1f}s){'' if name in sql else ' (rows only)'} {problem or ''}", flush=True)
     print("failures:", failures)
     return failures
 
