@@ -4,26 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lensfold.functions import vectors as V
 from lensfold.operators import similarity as S
 from lensfold.session import cut_lineage
 
 
+def _merge_in_block(unit: np.ndarray, limit: float) -> np.ndarray:
+    """Average linkage of one block: smallest row number of the group of each row. Follows chains of nearest
+    neighbours; merges while the mean similarity is above ``limit``."""
+    n = len(unit)
+    sim = np.round(unit @ unit.T, S.SCORE_DIGITS)
+    np.fill_diagonal(sim, -np.inf)
+    size, group, open_rows, chain = np.ones(n), np.arange(n), set(range(n)), []
+    while open_rows:
+        if not chain:
+            chain = [min(open_rows)]
+        top = chain[-1]
+        best = int(sim[top].argmax())
+        if not sim[top, best] > limit:
+            open_rows.discard(top)  # nothing in reach now, so nothing ever will be
+            chain.pop()
+        elif len(chain) > 1 and sim[top, chain[-2]] >= sim[top, best]:
+            a, b = sorted((top, chain[-2]))
+            mixed = (size[a] * sim[a] + size[b] * sim[b]) / (size[a] + size[b])
+            sim[a], sim[:, a] = mixed, mixed
+            sim[b], sim[:, b], sim[a, a] = -np.inf, -np.inf, -np.inf
+            size[a] += size[b]
+            group[group == b] = a
+            open_rows.discard(b)
+            chain = chain[:-2]
+        else:
+            chain.append(best)
+    return group
+
+
+def _in_blocks(points: DataFrame, part: list[str], limit: float) -> DataFrame:
+    """Finish keys that fit into one block: (part, point, group)."""
+    kind = points.schema["_g"].dataType
+    fields = [points.schema[p] for p in part]
+
+    def finish(table):
+        table = table.take(pc.sort_indices(table.column("_g")))
+        unit = np.asarray(table.column("_mean").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        group = table.column("_g").combine_chunks().take(pa.array(_merge_in_block(unit, limit)))
+        return table.select([*part, "_g"]).append_column("_to", group)
+
+    out = T.StructType([*fields, T.StructField("_g", kind), T.StructField("_to", kind)])
+    return points.groupBy(*part).applyInArrow(finish, out)
+
+
 def average_linkage(
     points: DataFrame, ident: str, vec: str, part: Sequence[str], threshold: float, block: int = S.BLOCK
 ) -> DataFrame:
     """(part, id, group): average cosine linkage, cut where the distance reaches ``threshold`` (strict).
 
+    A key with at most ``block`` points is one group. Larger keys are merged by rounds of joins, with the same
+    result however many points they have.
+    """
+    on = list(part)
+    units = cut_lineage(points.select(*on, F.col(ident).alias("_g"), V.unit(vec).alias("_mean")))
+    counts = units.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(counts.where(F.col("_n") > block).select(*on))
+    if large.isEmpty():
+        done = _in_blocks(units, on, 1.0 - threshold)
+    else:
+        small = units.join(large, on, "left_anti")
+        done = _in_blocks(small, on, 1.0 - threshold).unionByName(
+            _by_rounds(units.join(large, on, "left_semi"), on, threshold, block)
+        )
+    return done.select(*on, F.col("_g").alias(ident), F.col("_to").alias("group"))
+
+
+def _by_rounds(points: DataFrame, on: list[str], threshold: float, block: int) -> DataFrame:
+    """(part, point, group) by merging all mutual nearest neighbours per round.
+
     The average distance of two groups of unit vectors is ``1 - mean_a . mean_b``, so a group is its mean and
     its count. Average linkage is reducible: merging all pairs that are each other's nearest gives the same cut
     as merging one pair at a time. A group without any neighbour in reach can never get one later and is
     retired, so rounds run on a shrinking table.
     """
-    on = list(part)
-    active = cut_lineage(points.select(*on, F.col(ident).alias("_g"), V.unit(vec).alias("_mean"), F.lit(1).cast("bigint").alias("_n")))
+    active = cut_lineage(points.withColumn("_n", F.lit(1).cast("bigint")))
     merged: list[DataFrame] = []
     while True:
         nearest = cut_lineage(S.nearest_other(active, "_g", "_mean", on, 1.0 - threshold, block))
@@ -45,8 +112,8 @@ def average_linkage(
             alive.join(absorbed, [*on, "_g"], "left_anti").join(grown, [*on, "_g"], "left")
             .select(*on, "_g", mean.alias("_mean"), total.alias("_n"))
         )
-    out = points.select(*on, ident, F.col(ident).alias("group"))
+    out = points.select(*on, "_g", F.col("_g").alias("_to"))
     for pairs in merged:
-        step = pairs.select(*on, F.col("dst").alias("group"), F.col("src").alias("_to"))
-        out = out.join(step, [*on, "group"], "left").select(*on, ident, F.coalesce("_to", "group").alias("group"))
+        step = pairs.select(*on, F.col("dst").alias("_to"), F.col("src").alias("_next"))
+        out = out.join(step, [*on, "_to"], "left").select(*on, "_g", F.coalesce("_next", "_to").alias("_to"))
     return out

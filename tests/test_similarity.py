@@ -130,10 +130,10 @@ def _greedy_linkage(rows, limit):
         groups[best[1]] += groups.pop(best[2])
 
 
-@pytest.mark.parametrize("seed", [7, 8])
-def test_average_linkage_equals_greedy(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(7, 9), (8, 1000), (9, 1000)])
+def test_average_linkage_equals_greedy(spark, seed, block):
     df, rows = _frame(spark, _points(seed, 40, spread=0.7, centres=5))
-    got = {r.id: r.group for r in average_linkage(df, "id", "v", ["part"], 0.45, block=9).collect()}
+    got = {r.id: r.group for r in average_linkage(df, "id", "v", ["part"], 0.45, block=block).collect()}
     want = {}
     for part in (0, 1):
         want |= _greedy_linkage([r for r in rows if r[0] == part], 0.45)
