@@ -7,7 +7,7 @@ from lensfold.catalog.roles import with_roles
 from lensfold.functions import scalars as X
 from lensfold.operators import access, rollups
 from lensfold.sources import export, ingest, metrics, snapshots
-from lensfold.sources.tables import scan
+from lensfold.sources.tables import inventory, scan
 
 
 @query("a1_keyed_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
@@ -123,3 +123,9 @@ def a8_move(t):
     base = t.photos.select("photo_id", "folder_id", "shared")
     moved = snapshots.bulk_set(base, base.where("shared").select("photo_id"), ["photo_id"], folder_id=42)
     return moved.select("photo_id", F.coalesce("folder_id", F.lit(-1)).cast("bigint").alias("folder_id"))
+
+
+@query("a5_file_inventory")
+def a5(t):
+    """Files of the given tables with their sizes; the names are not known to SQL."""
+    return inventory(t.spark, t.dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))

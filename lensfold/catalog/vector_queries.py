@@ -11,6 +11,7 @@ from lensfold.operators.components import dbscan
 from lensfold.operators.gates import band_filter, size_class
 from lensfold.operators.linkage import average_linkage
 from lensfold.operators.listing import best_target
+from lensfold.operators.scoring import score_batches
 from lensfold.plans import evaluation, identity, matching
 
 PART = ["part"]
@@ -349,3 +350,23 @@ def k2(t):
 @query("h8_pending_band", f"WITH {R.SQL_TWO} SELECT part, id FROM fix WHERE passed AND yaw >= 47 AND yaw <= 120")
 def h8_pending(t):
     return band_filter(R.two_level(t).where("passed"), ["yaw", "pitch", "roll"], 47, 120, "restricted").select("part", "id")
+
+
+def _projection():
+    import numpy as np
+
+    weights = np.sin(np.arange(64)[:, None] * 17.0 + np.arange(4)[None, :])
+    return lambda rows: rows @ weights
+
+
+@query("k1_score_batches", f"""WITH {R.SQL_MACROS}, p AS (SELECT vec_id, [list_dot_product(e, [sin(i * 17.0 + j) FOR i IN range(64)]) FOR j IN range(4)] AS q FROM emb)
+SELECT vec_id, round(CAST(q[1] / sqrt(list_dot_product(q, q)) AS FLOAT)::DOUBLE, 4) AS s1, round(CAST(q[4] / sqrt(list_dot_product(q, q)) AS FLOAT)::DOUBLE, 4) AS s4, 0 AS second FROM p""")
+def k1(t):
+    def broken():
+        def model(rows):
+            raise RuntimeError("second model is down")
+        return model
+
+    out = score_batches(t.raw("embeddings"), "embedding", _projection, make_second=broken)
+    place = lambda i: F.round(F.element_at("score", i).cast("double"), 4).alias(f"s{i}")
+    return out.select("vec_id", place(1), place(4), F.col("second_score").isNotNull().cast("int").alias("second"))
