@@ -56,18 +56,24 @@ def c4(t):
     return _matched(t).select("session_id", "photo_id")
 
 
-@query("c5_visible_photos", with_roles("photos", "face_members", "matches", body=MATCHED + """, open AS (SELECT s_suppkey AS session_id, photo_id FROM supplier JOIN photos ON event_id = s_suppkey WHERE shared)
-SELECT session_id, photo_id FROM pairs UNION SELECT session_id, photo_id FROM open"""))
-def c5(t):
-    sessions = t.raw("supplier").select(F.col("s_suppkey").alias("session_id"), F.col("s_suppkey").alias("event_id"))
-    return access.visible_items(t.photos, "shared", _matched(t), sessions, ["event_id"], "session_id", "photo_id")
+ASKED = """, asked AS (SELECT l_suppkey AS session_id, l_orderkey AS photo_id, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
+
+
+def _asked(t):
+    return t.raw("lineitem").groupBy(F.col("l_suppkey").alias("session_id"), F.col("l_orderkey").alias("photo_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c6_allowed_views", with_roles("photos", "face_members", "matches", body=MATCHED + """, asked AS (SELECT l_suppkey AS session_id, l_orderkey AS photo_id, count(*) AS n FROM lineitem GROUP BY 1, 2)
+@query("c5_shared_or_matched", with_roles("photos", "face_members", "matches", body=MATCHED + ASKED + """
 SELECT session_id, photo_id, n FROM asked WHERE photo_id IN (SELECT photo_id FROM photos WHERE shared) OR (session_id, photo_id) IN (SELECT session_id, photo_id FROM pairs)"""))
+def c5(t):
+    key = ["session_id", "photo_id"]
+    return access.readable_requests(_asked(t), t.photos.where("shared"), t.matches, t.face_members, key, *key, "cluster_id").select(*key, "n")
+
+
+@query("c6_matched_views", with_roles("photos", "face_members", "matches", body=MATCHED + ASKED + "SELECT session_id, photo_id FROM asked WHERE (session_id, photo_id) IN (SELECT session_id, photo_id FROM pairs)"))
 def c6(t):
-    asked = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("session_id"), F.col("l_orderkey").alias("photo_id")).agg(F.count(F.lit(1)).alias("n"))
-    return access.readable_requests(asked, t.photos.where("shared"), _matched(t), "session_id", "photo_id").select("session_id", "photo_id", "n")
+    key = ["session_id", "photo_id"]
+    return access.matched_requests(_asked(t), t.matches, t.face_members, key, *key, "cluster_id")
 
 
 @query("c7_action_counts", with_roles("gallery", "log", body="""SELECT photo_id, (SELECT count(*) FROM log WHERE log.photo_id = gallery.photo_id AND action = 'view') AS views,

@@ -73,10 +73,9 @@ allowed AS (SELECT l.id, l.session_id, l.photo_id, l.action, CAST(l.ts AS DATE)
      OR EXISTS (SELECT 1 FROM member m WHERE m.photo_id = l.photo_id AND m.slot = l.session_id % 10))
 SELECT id, session_id, photo_id, action, CAST(d AS VARCHAR) AS day FROM allowed"""))
 def a4(t):
-    open_items = t.gallery.where("shared")
-    slots = t.raw("part").select(F.col("p_partkey").alias("photo_id"), F.pmod("p_size", F.lit(10)).cast("bigint").alias("slot"))
-    requests = t.log.withColumn("slot", F.pmod("session_id", F.lit(10)))
-    ok = access.readable_requests(requests, open_items, slots.distinct(), "slot", "photo_id")
+    members = t.raw("part").select(F.col("p_partkey").alias("photo_id"), F.pmod("p_size", F.lit(10)).cast("bigint").alias("slot"))
+    matches = t.log.select("session_id", F.pmod("session_id", F.lit(10)).alias("slot")).distinct()
+    ok = access.readable_requests(t.log, t.gallery.where("shared"), matches, members, ["id"], "session_id", "photo_id", "slot")
     return ok.select("id", "session_id", "photo_id", "action", F.to_date("ts").cast("string").alias("day"))
 
 

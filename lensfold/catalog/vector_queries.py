@@ -1,5 +1,7 @@
 """Vector functions, similarity joins, centroids, identity resolution and matching."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lensfold.catalog import vector_roles as R
@@ -250,11 +252,12 @@ res AS (SELECT part, macro, count(*) AS pyr_size FROM fix WHERE passed AND yaw >
 cl8 AS (SELECT part, macro, cluster_id, CAST(cluster_size AS BIGINT) AS cluster_size, CAST(coalesce(pyr_size, 0) AS BIGINT) AS pyr_size FROM reg LEFT JOIN res USING (part, macro))"""
 
 
-@query("h8_resolve", f"""WITH {R.SQL_TWO}, {H8} SELECT f.part, f.id, coalesce(c.cluster_id, '-') AS cluster_id, coalesce(cluster_size, -1) AS cluster_size, coalesce(pyr_size, -1) AS pyr_size
-  FROM fix f LEFT JOIN cl8 c ON c.part = f.part AND c.macro = f.macro AND f.passed AND f.yaw <= 120""")
-def h8(t):
-    """The twin says who must end up together from the planted groups, the pose bands and the quality flag."""
-    out = identity.resolve(R.two_level(t), None, TWO)
+H8_SQL = f"""WITH {R.SQL_TWO}, {H8} SELECT f.part, f.id, coalesce(c.cluster_id, '-') AS cluster_id, coalesce(cluster_size, -1) AS cluster_size, coalesce(pyr_size, -1) AS pyr_size
+  FROM fix f LEFT JOIN cl8 c ON c.part = f.part AND c.macro = f.macro AND f.passed AND f.yaw <= 120"""
+
+
+def _resolved(t, config):
+    out = identity.resolve(R.two_level(t), None, config)
     info = out.clusters.select("part", "cluster_id", "cluster_size", "pyr_size")
     return out.members.join(info, ["part", "cluster_id"], "left").select(
         "part", "id", F.coalesce("cluster_id", F.lit("-")).alias("cluster_id"), F.coalesce("cluster_size", F.lit(-1)).alias("cluster_size"),
@@ -262,6 +265,18 @@ def h8(t):
     )
 
 
+@query("h8_resolve", H8_SQL)
+def h8(t):
+    """The twin says who must end up together from the planted groups, the pose bands and the quality flag."""
+    return _resolved(t, TWO)
+
+
+@query("j11_incremental_resolve", H8_SQL)
+def j11(t):
+    """Vectors arrive in batches by id; later batches meet the centroids of earlier ones and end in the same groups."""
+    return _resolved(t, replace(TWO, batch_size=40))
+
+
 @query("d19_touched_clusters", f"WITH {R.SQL_SINGLE}, {R.SQL_CLUSTERS}, {GROUPS} SELECT part, cluster_id FROM o")
 def d19(t):
     return identity.touched(identity.run_pass(R.single_level(t), _existing(t), ONE, ONE.regular), NAMES)

@@ -24,26 +24,29 @@ def matched_items(items: DataFrame, members: DataFrame, matches: DataFrame, item
     return hits.join(items.select(item), item, "left_semi")
 
 
-def visible_items(items: DataFrame, shared: str, pairs: DataFrame, sessions: DataFrame, part: Sequence[str], session: str, item: str) -> DataFrame:
-    """(session, item) that may be read: shared items of the session's partition, or matched ones.
-
-    Two joins and a union instead of an OR in one join condition, which Spark could only run as a nested loop.
+def matched_requests(
+    requests: DataFrame, matches: DataFrame, members: DataFrame, key: Sequence[str], session: str, item: str, cluster: str,
+    part: Sequence[str] = (),
+) -> DataFrame:
+    """Keys of requests for an item that has a member in one of the session's matched clusters.
+
+    Starts from the requests: each meets the few clusters of its session and is then semi-joined. The set of all
+    items a session could see is never built, and several matching members still give one row.
     """
-    open_items = items.where(F.col(shared)).select(*part, item)
-    shared_pairs = sessions.select(*part, session).join(open_items, list(part)).select(session, item)
-    return shared_pairs.unionByName(pairs.select(session, item)).distinct()
-
-
-def readable_requests(requests: DataFrame, shared_items: DataFrame, matched: DataFrame, session: str, item: str) -> DataFrame:
-    """Requests that pass the access check, without listing every pair a session could see."""
-    open_item = shared_items.select(item).distinct().withColumn("_open", F.lit(True))
-    own = matched.select(session, item).distinct().withColumn("_own", F.lit(True))
-    return (
-        requests.join(open_item, item, "left")
-        .join(own, [session, item], "left")
-        .where(F.col("_open") | F.col("_own"))
-        .drop("_open", "_own")
-    )
+    asked = requests.select(*key, *[c for c in (*part, session, item) if c not in key]).join(matches, [*part, session])
+    inside = members.where(F.col(cluster).isNotNull()).select(*part, cluster, item).distinct()
+    return asked.join(inside, [*part, cluster, item], "left_semi").select(*key).distinct()
+
+
+def readable_requests(
+    requests: DataFrame, shared_items: DataFrame, matches: DataFrame, members: DataFrame, key: Sequence[str], session: str,
+    item: str, cluster: str, part: Sequence[str] = (),
+) -> DataFrame:
+    """Requests for a shared item or a matched one: two joins and a union of keys, where an OR in one join
+    condition could only run as a nested loop."""
+    own = matched_requests(requests, matches, members, key, session, item, cluster, part)
+    shared = requests.join(shared_items.select(item), item, "left_semi").select(*key)
+    return requests.join(own.unionByName(shared).distinct(), list(key), "left_semi")
 
 
 def in_list_order(lists: DataFrame, items: DataFrame, owner: Sequence[str], ids: str, item: str) -> DataFrame:
