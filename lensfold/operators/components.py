@@ -40,6 +40,11 @@ def components(nodes: DataFrame, edges: DataFrame, ident: str, part: Sequence[st
     return out
 
 
+def _fingerprint(vec: str):
+    """128 bits that stand for a vector when exact copies are collapsed."""
+    return F.struct(F.xxhash64(vec).alias("a"), F.xxhash64(F.reverse(vec)).alias("b"))
+
+
 def dbscan(
     df: DataFrame, ident: str, vec: str, part: Sequence[str], eps: float, min_samples: int = 1, block: int = S.BLOCK
 ) -> DataFrame:
@@ -52,12 +57,13 @@ def dbscan(
     on = list(part)
     near = 1.0 - eps
     if min_samples <= 1:
-        same = [*on, vec]
-        heads = df.groupBy(*same).agg(F.min(ident).alias("_head"))
+        marked = df.withColumn("_print", _fingerprint(vec))
+        heads = marked.groupBy(*on, "_print").agg(F.min(ident).alias("_head"), F.min_by(vec, ident).alias(vec))
         unique = cut_lineage(heads)
         found = components(unique, S.spanning_edges(unique, "_head", vec, on, near, block), "_head", on)
-        labelled = unique.join(found, [*on, "_head"])
-        return df.join(labelled.select(*same, F.col("comp").alias("label")), same).select(*on, ident, "label")
+        labelled = unique.select(*on, "_print", "_head").join(found, [*on, "_head"])
+        narrow = marked.select(*on, ident, "_print")  # the way back to all rows moves no vectors
+        return narrow.join(labelled.select(*on, "_print", F.col("comp").alias("label")), [*on, "_print"]).select(*on, ident, "label")
     counted = S.neighbour_counts(df, ident, vec, on, near, block)
     core = cut_lineage(
         df.join(counted.where(F.col("neighbours") >= min_samples).select(*on, F.col("src").alias(ident)), [*on, ident], "left_semi")
