@@ -6,7 +6,7 @@ from lensfold.catalog.registry import query
 from lensfold.catalog.roles import with_roles
 from lensfold.functions import scalars as X
 from lensfold.operators import access, listing, rollups
-from lensfold.operators.sliced import position, trailing
+from lensfold.operators.sliced import position, sliding_count
 from lensfold.operators.tree import closure, rejected_moves, subtree_rollup, tree
 
 
@@ -247,7 +247,8 @@ def e3(t):
 
 @query("e8_sliding_count", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
 def e8(t):
-    return trailing(t.events, ["user_id"], "ts", 86400, in_window=F.count(F.lit(1))).select("event_id", "in_window")
+    counted = sliding_count(t.events, ["user_id"], "ts", 86400)
+    return t.events.select("event_id", "user_id", F.unix_micros("ts").alias("us")).join(counted, ["user_id", "us"]).select("event_id", "in_window")
 
 
 @query("e10_batches", """SELECT o_orderkey, o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 5000 AS batch FROM orders""")

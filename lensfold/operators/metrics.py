@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lensfold.operators.anchored import debounce, finite_machine
 from lensfold.operators.runs import sustained
-from lensfold.operators.sliced import last_known, micros, previous_value, running_sum, time_slice, trailing
+from lensfold.operators.sliced import last_known, micros, previous_value, running_sum, sliding_count, time_slice, trailing
 
 # Quota bands in percent, and how far usage must fall before a band can alert again.
 QUOTA_BANDS = (80.0, 95.0, 100.0)
@@ -153,8 +153,8 @@ def sliding_limit(log: DataFrame, key: Sequence[str], ts: str, seconds: float, l
 
     Rejected events count as well; events at the same instant are one.
     """
-    instants = log.select(*key, ts).distinct()
-    return trailing(instants, key, ts, seconds, in_window=F.count(F.lit(1))).withColumn("allowed", F.col("in_window") <= limit)
+    counted = sliding_count(log, key, ts, seconds, distinct=True)
+    return counted.withColumn(ts, F.timestamp_micros("us")).withColumn("allowed", F.col("in_window") <= limit)
 
 
 def watch(log: DataFrame, job: Sequence[str], ts: str, kind: str, now: Column, fresh: float = 180, stall: float = 1800) -> DataFrame:

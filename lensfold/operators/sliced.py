@@ -124,3 +124,26 @@ def trailing(
     for name, agg in aggregates.items():
         spread = spread.withColumn(name, agg.over(frame))
     return spread.where(F.col("_span") == F.col("_home")).drop("_us", "_home", "_span")
+
+
+def sliding_count(
+    df: DataFrame, part: Sequence[str], ts: str, seconds: float, distinct: bool = False, out: str = "in_window",
+    slice_seconds: float | None = None,
+) -> DataFrame:
+    """(part, us, out): events in the left-open window ``(ts - seconds, ts]`` at every instant with events.
+
+    A sweep: an instant enters at its time and leaves ``seconds`` later, and the running sum of both is the count.
+    A sliding window frame would walk through the whole window again for every row. ``distinct`` counts events at
+    the same instant once.
+    """
+    width = int(seconds * 1_000_000)
+    at = df.select(*part, micros(ts).alias("_us")).groupBy(*part, "_us").agg(F.count(F.lit(1)).alias("_n"))
+    weight = F.lit(1).cast("bigint") if distinct else F.col("_n")
+    moves = F.array(
+        F.struct(F.col("_us").alias("_at"), F.lit(1).alias("_in"), weight.alias("_w")),
+        F.struct((F.col("_us") + width).alias("_at"), F.lit(0).alias("_in"), (-weight).alias("_w")),
+    )
+    sweep = at.select(*part, F.explode(moves).alias("_m")).select(*part, "_m.*")
+    sweep = sweep.withColumn(SLICE, F.floor(F.col("_at") / F.lit(int((slice_seconds or seconds) * 1_000_000))))
+    counted = running_sum(sweep, part, ["_at", "_in"], F.col("_w"), out)
+    return counted.where("_in = 1").select(*part, F.col("_at").alias("us"), out)
