@@ -101,28 +101,83 @@ def attempts_stream(stream: DataFrame, key: Sequence[str], ts: str, success: str
     return keyed_machine(stream, key, ts, [success], step, "count bigint, last bigint", "us bigint, attempt bigint, blocked boolean", **kw)
 
 
+def notifications_stream(alerts: DataFrame, group: Sequence[str], ts: str, repeat: float = 4 * 3600, **kw) -> DataFrame:
+    """(group, us) of the notices sent: at most one per group and ``repeat`` seconds."""
+    sent = throttle_stream(alerts, group, ts, repeat, 1, **kw)
+    return sent.where("place = 1").select(*group, "us")
+
+
+def _advance(run: tuple, us: int, good: bool, need: int, gap: int | None) -> tuple[tuple, tuple | None]:
+    """Next (start, last, fired) of a run, and (start, us) when it has just lasted long enough."""
+    start, last, fired = run
+    if not good:
+        return (None, us, False), None
+    if start is None or (gap is not None and us - last > gap):
+        start, fired = us, False
+    fires = not fired and us - start >= need
+    return (start, us, fired or fires), ((start, us) if fires else None)
+
+
 def runs_stream(stream: DataFrame, key: Sequence[str], ts: str, on: str, period: float, max_gap: float | None = None, **kw) -> DataFrame:
     """(key, started_us, fired_us) once per run of the boolean column ``on``. State: start and last row of the run."""
     need, gap = int(period * 1_000_000), None if max_gap is None else int(max_gap * 1_000_000)
 
     def step(state, rows):
-        start, last, fired = state or (None, None, False)
-        out = []
+        run, out = state or (None, None, False), []
         for us, good in rows:
-            if not good:
-                start, fired = None, False
-            else:
-                if start is None or (gap is not None and us - last > gap):
-                    start, fired = us, False
-                if not fired and us - start >= need:
-                    out.append((start, us))
-                    fired = True
-            last = us
-        return (start, last, fired), out
+            run, fired = _advance(run, us, good, need, gap)
+            out += [fired] if fired else []
+        return run, out
 
     return keyed_machine(stream, key, ts, [on], step, "start bigint, last bigint, fired boolean", "started_us bigint, fired_us bigint", **kw)
 
 
+def not_draining_stream(
+    stream: DataFrame, key: Sequence[str], ts: str, value: str, above: float, seconds: float, interval: float = 60, **kw
+) -> DataFrame:
+    """(key, started_us, fired_us) when a backlog above a limit did not shrink for ``seconds``. State: the samples of
+    the trailing window and the run."""
+    width, gap = int(seconds * 1_000_000), int(interval * 1_000_000)
+
+    def step(state, rows):
+        times, values, *run = state or ([], [], None, None, False)
+        times, values, run, out = list(times), list(values), tuple(run), []
+        for us, v in rows:
+            times.append(us)
+            values.append(v)
+            while times[0] <= us - width:
+                times.pop(0)
+                values.pop(0)
+            run, fired = _advance(run, us, v > above and not v - values[0] < 0, width, gap)
+            out += [fired] if fired else []
+        return (times, values, *run), out
+
+    schema = "times array<bigint>, samples array<double>, start bigint, last bigint, fired boolean"
+    return keyed_machine(stream, key, ts, [value], step, schema, "started_us bigint, fired_us bigint", **kw)
+
+
+def quiet_stream(stream: DataFrame, key: Sequence[str], ts: str, kind: str, value: str, seconds: float, below: float, **kw) -> DataFrame:
+    """(key, us, absent) for ``state`` rows that are on while the ``load`` rows of the trailing window stayed below a
+    limit or are absent. ``kind`` is ``load`` or ``state``. State: the load samples of the window."""
+    width = int(seconds * 1_000_000)
+
+    def step(state, rows):
+        times, values = (list(x) for x in state) if state else ([], [])
+        out = []
+        for us, what, v in rows:
+            if what == "load":
+                times.append(us)
+                values.append(v)
+            while times and times[0] <= us - width:
+                times.pop(0)
+                values.pop(0)
+            if what == "state" and v == 1 and (not values or max(values) < below):
+                out.append((us, not values))
+        return (times, values), out
+
+    return keyed_machine(stream, key, ts, [kind, value], step, "times array<bigint>, samples array<double>", "us bigint, absent boolean", **kw)
+
+
 def quota_stream(stream: DataFrame, owner: Sequence[str], ts: str, percent: str, **kw) -> DataFrame:
     """(owner, us, band) for each announced band. State: the last band."""
 

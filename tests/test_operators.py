@@ -147,6 +147,13 @@ def test_rate_limit_fixture(spark):
     assert [r.allowed for r in got] == [True, True, True, False, True]
 
 
+def test_sliding_count_with_ties(spark):
+    at = [0, 1, 1, 1, 4, 5, 9, 9]
+    df = spark.createDataFrame([("k", T0 + dt.timedelta(seconds=s)) for s in at], "key string, ts timestamp")
+    got = {int(r.us - 1704067200_000_000) // 1_000_000: r.in_window for r in sliced.sliding_count(df, ["key"], "ts", 4, slice_seconds=2).collect()}
+    assert got == {t: sum(t - 4 < x <= t for x in at) for t in set(at)}
+
+
 def test_watch_fixture(spark):
     df = spark.createDataFrame([("a", "start", T0), ("b", "start", T0), ("b", "heartbeat", T0 + dt.timedelta(hours=3)), ("c", "heartbeat", T0), ("c", "start", T0 + dt.timedelta(minutes=170))], "job string, kind string, ts timestamp")
     at = lambda m: {r.job: r.verdict for r in metrics.watch(df, ["job"], "ts", "kind", F.lit(T0 + dt.timedelta(minutes=m))).collect()}

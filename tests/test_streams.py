@@ -90,6 +90,29 @@ def test_runs(spark, log, gap):
     assert got == _set(twin, "key", F.unix_micros("started"), F.unix_micros("fired_at")) and got
 
 
+def test_not_draining(spark, log):
+    stream = stateful.not_draining_stream(_stream(spark, log), ["key"], "ts", "value", 5.0, 300, 900)
+    got = _set(_drain(stream, "draining"), "key", "started_us", "fired_us")
+    twin = metrics.not_draining(_batch(spark, log), ["key"], "ts", "id", "value", 5.0, 300, interval=900)
+    assert got == _set(twin, "key", F.unix_micros("started"), F.unix_micros("fired_at")) and got
+
+
+def test_quiet_while_running(spark, log):
+    kind = F.when(F.col("action") == "view", "load").otherwise("state")
+    on = F.when(F.col("action") == "view", F.col("value")).otherwise(F.lit(1.0))
+    shape = lambda df: df.withColumns({"kind": kind, "value": on})
+    got = _drain(stateful.quiet_stream(shape(_stream(spark, log)), ["key"], "ts", "kind", "value", 600, 60.0), "quiet")
+    rows = shape(_batch(spark, log))
+    twin = metrics.quiet_while_running(rows.where("kind = 'state'"), rows.where("kind = 'load'"), ["key"], "ts", "value", 600, 60.0)
+    assert _set(got, "key", "us", "absent") == _set(twin, "key", US(), "absent") and got.count() > 0
+
+
+def test_notifications(spark, log):
+    got = _drain(stateful.notifications_stream(_stream(spark, log), ["action"], "ts", 3600), "notices")
+    twin = metrics.notifications(_batch(spark, log), ["action"], "ts", 3600)
+    assert _set(got, "action", "us") == _set(twin, "action", US()) and got.count() > 10
+
+
 def test_quota(spark, log):
     got = _set(_drain(stateful.quota_stream(_stream(spark, log), ["key"], "ts", "value"), "quota"), "key", "us", "band")
     bands = F.array(*[F.lit(b) for b in metrics.QUOTA_BANDS])
