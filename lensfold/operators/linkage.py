@@ -16,13 +16,13 @@ from lensfold.operators import similarity as S
 from lensfold.session import cut_lineage
 
 
-def _merge_in_block(unit: np.ndarray, limit: float) -> np.ndarray:
-    """Average linkage of one block: smallest row number of the group of each row. Follows chains of nearest
-    neighbours; merges while the mean similarity is above ``limit``."""
-    n = len(unit)
-    sim = np.round(unit @ unit.T, S.SCORE_DIGITS)
+def _merge_in_block(mean: np.ndarray, size: np.ndarray, limit: float) -> np.ndarray:
+    """Average linkage of one block of groups (mean vector, count): smallest row number of the final group of each
+    row. Follows chains of nearest neighbours; merges while the mean similarity is above ``limit``."""
+    n = len(mean)
+    sim = np.round(mean @ mean.T, S.SCORE_DIGITS)
     np.fill_diagonal(sim, -np.inf)
-    size, group, open_rows, chain = np.ones(n), np.arange(n), set(range(n)), []
+    group, open_rows, chain = np.arange(n), set(range(n)), []
     while open_rows:
         if not chain:
             chain = [min(open_rows)]
@@ -52,8 +52,9 @@ def _in_blocks(points: DataFrame, part: list[str], limit: float) -> DataFrame:
 
     def finish(table):
         table = table.take(pc.sort_indices(table.column("_g")))
-        unit = np.asarray(table.column("_mean").combine_chunks().flatten()).reshape(table.num_rows, -1)
-        group = table.column("_g").combine_chunks().take(pa.array(_merge_in_block(unit, limit)))
+        mean = np.asarray(table.column("_mean").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        size = np.asarray(table.column("_n"), dtype=np.float64)
+        group = table.column("_g").combine_chunks().take(pa.array(_merge_in_block(mean, size, limit)))
         return table.select([*part, "_g"]).append_column("_to", group)
 
     out = T.StructType([*fields, T.StructField("_g", kind), T.StructField("_to", kind)])
@@ -69,9 +70,8 @@ def average_linkage(
     result however many points they have.
     """
     on = list(part)
-    units = cut_lineage(points.select(*on, F.col(ident).alias("_g"), V.unit(vec).alias("_mean")))
-    counts = units.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    large = cut_lineage(counts.where(F.col("_n") > block).select(*on))
+    units = cut_lineage(points.select(*on, F.col(ident).alias("_g"), V.unit(vec).alias("_mean"), F.lit(1).cast("bigint").alias("_n")))
+    large = cut_lineage(_oversized(units, on, block))
     if large.isEmpty():
         done = _in_blocks(units, on, 1.0 - threshold)
     else:
@@ -82,15 +82,19 @@ def average_linkage(
     return done.select(*on, F.col("_g").alias(ident), F.col("_to").alias("group"))
 
 
+def _oversized(groups: DataFrame, on: list[str], block: int) -> DataFrame:
+    return groups.groupBy(*on).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > block).select(*on)
+
+
 def _by_rounds(points: DataFrame, on: list[str], threshold: float, block: int) -> DataFrame:
     """(part, point, group) by merging all mutual nearest neighbours per round.
 
     The average distance of two groups of unit vectors is ``1 - mean_a . mean_b``, so a group is its mean and
     its count. Average linkage is reducible: merging all pairs that are each other's nearest gives the same cut
     as merging one pair at a time. A group without any neighbour in reach can never get one later and is
-    retired, so rounds run on a shrinking table.
+    retired, so rounds run on a shrinking table; what is left is finished in blocks once every key fits.
     """
-    active = cut_lineage(points.withColumn("_n", F.lit(1).cast("bigint")))
+    active = points
     merged: list[DataFrame] = []
     while True:
         nearest = cut_lineage(S.nearest_other(active, "_g", "_mean", on, 1.0 - threshold, block))
@@ -112,6 +116,10 @@ def _by_rounds(points: DataFrame, on: list[str], threshold: float, block: int) -
             alive.join(absorbed, [*on, "_g"], "left_anti").join(grown, [*on, "_g"], "left")
             .select(*on, "_g", mean.alias("_mean"), total.alias("_n"))
         )
+        if _oversized(active, on, block).isEmpty():
+            last = _in_blocks(active, on, 1.0 - threshold).where("_g <> _to")
+            merged.append(last.select(*on, F.col("_to").alias("src"), F.col("_g").alias("dst")))
+            break
     out = points.select(*on, "_g", F.col("_g").alias("_to"))
     for pairs in merged:
         step = pairs.select(*on, F.col("dst").alias("_to"), F.col("src").alias("_next"))

@@ -154,6 +154,8 @@ def classify(grouped: DataFrame, n: Names, config: ResolveConfig, policy: Policy
 def run_pass(pending: DataFrame, clusters: DataFrame, config: ResolveConfig, policy: Policy) -> Result:
     n = config.names
     on = list(n.part)
+    if config.dim is None:
+        config = replace(config, dim=C.vector_dim(pending, n.vec))
     rows = cut_lineage(member_rows(pending, clusters, n))
     grouped = cut_lineage(group_members(rows, n, config))
     groups = cut_lineage(classify(grouped, n, config, policy))
@@ -305,7 +307,7 @@ def resolve(members: DataFrame, clusters: DataFrame | None, config: ResolveConfi
     n = config.names
     on = list(n.part)
     if config.dim is None:
-        config = _with_dim(config, C.vector_dim(members, n.vec))
+        config = replace(config, dim=C.vector_dim(members, n.vec))
     clusters = empty_clusters(members, n) if clusters is None else clusters
     current = cut_lineage(members.select(*on, F.col(n.ident).cast("string").alias(n.ident), CLUSTER))
     usable = members.where(F.col(n.passed)).withColumn(n.ident, F.col(n.ident).cast("string"))
@@ -344,12 +346,6 @@ def resolve(members: DataFrame, clusters: DataFrame | None, config: ResolveConfi
     return Resolved(clusters, current, reduce(DataFrame.unionByName, reports))
 
 
-def _with_dim(config: ResolveConfig, dim: int) -> ResolveConfig:
-
-
-    return replace(config, dim=dim)
-
-
 def _finish(clusters: DataFrame, current: DataFrame, members: DataFrame, everything: DataFrame, config: ResolveConfig) -> DataFrame:
     """Secondary centroids of every touched cluster, once at the end: only membership decides them."""
     n = config.names
