@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, secrets
-from lensfold.llm.common import text_or_empty
+from lensfold.llm import byte_bpe, mixing, secrets, token_files
+from lensfold.llm.common import shared_path, text_or_empty
 from lensfold.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
+MIX = {"cycle": (3.0, 1.0, 2.0), "share": 1.5, "max_epochs": 2.0, "seed": 1}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,3 +41,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
         secrets.listed(spans).alias("spans"),
     )
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = token_files.read(spark, path)
+    starts = F.broadcast(token_files.starts(rows))  # one row for each shuffle partition
+    return rows.join(starts, "shard").select(
+        "doc_id", (F.col("offset") + F.col("start_in_shard")).alias("start"), "n_tokens", token_files.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op1_source_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.sized(table(spark, sf_dir, "documents"), MIX["seed"])
+    weights = mixing.cycled_weights(rows.select("source").distinct(), MIX["cycle"])
+    steps = mixing.plan(rows, weights, MIX["share"], MIX["max_epochs"])
+    return rows.join(steps, rows["source"].eqNullSafe(steps["source"])).select(
+        "doc_id", rows["source"], "size", "source_size", "target", (F.col("size") * mixing.repeats()).alias("taken")
+    )
