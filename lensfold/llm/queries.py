@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, mixing, secrets, token_files
-from lensfold.llm.common import shared_path, text_or_empty
+from lensfold.llm import byte_bpe, fingerprints, mixing, packing, secrets, token_files
+from lensfold.llm.common import shared_path, text_or_empty, written
 from lensfold.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -62,3 +62,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(steps, rows["source"].eqNullSafe(steps["source"])).select(
         "doc_id", rows["source"], "size", "source_size", "target", (F.col("size") * mixing.repeats()).alias("taken")
     )
+
+
+@query("op6_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty()
+    rows = written(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")
+        ),
+        "shard-rows",
+    )
+    placed = packing.shards_of(rows.groupBy("group").agg(F.sum("size").alias("size")), 8)
+    found = written(rows.join(placed, "group").drop("group"), "shards")
+    return packing.slots(found, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op2_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
