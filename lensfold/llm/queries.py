@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, fingerprints, mixing, packing, secrets, token_files
+from lensfold.llm import byte_bpe, fingerprints, mixing, nearest, packing, secrets, token_files
 from lensfold.llm.common import shared_path, text_or_empty, written
 from lensfold.llm.registry import QUERIES, SQL, query
 
@@ -83,3 +83,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
