@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, fingerprints, mixing, nearest, packing, secrets, token_files
+from lensfold.llm import byte_bpe, fingerprints, mixing, near_duplicates, nearest, packing, secrets, token_files
 from lensfold.llm.common import shared_path, text_or_empty, written
 from lensfold.llm.registry import QUERIES, SQL, query
 
@@ -88,3 +88,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query(
+    "op9_near_duplicates",
+    sql="""
+    WITH RECURSIVE t AS (
+        SELECT row_number() OVER (ORDER BY text) AS t, text, min(doc_id) AS first_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w
+        FROM documents WHERE text IS NOT NULL GROUP BY text),
+    s AS (
+        SELECT t, unnest(list_distinct(CASE
+            WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+        FROM t),
+    n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+    pairs AS (
+        SELECT a, b FROM (SELECT x.t AS a, y.t AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.t < y.t GROUP BY 1, 2)
+        JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    class AS (SELECT t.t, least(t.first_id, min(o.first_id)) AS class_id FROM t LEFT JOIN reach ON reach.a = t.t LEFT JOIN t o ON o.t = reach.b GROUP BY t.t, t.first_id)
+    SELECT d.doc_id, CASE WHEN len(t.w) > 0 THEN class.class_id ELSE d.doc_id END AS class_id, coalesce(l.n, 0) AS links
+    FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN class ON class.t = t.t
+    LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = t.t
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.class_ids(near_duplicates.classes(table(spark, sf_dir, "documents")))
