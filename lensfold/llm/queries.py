@@ -98,7 +98,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM documents WHERE text IS NOT NULL GROUP BY text),
     s AS (
         SELECT t, unnest(list_distinct(CASE
-            WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
         FROM t),
     n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
