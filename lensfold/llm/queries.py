@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, fingerprints, mixing, near_duplicates, nearest, packing, secrets, token_files
+from lensfold.llm import byte_bpe, fingerprints, licenses, mixing, near_duplicates, nearest, packing, quality, secrets, token_files
 from lensfold.llm.common import shared_path, text_or_empty, written
 from lensfold.llm.registry import QUERIES, SQL, query
 
@@ -115,3 +115,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.class_ids(near_duplicates.classes(table(spark, sf_dir, "documents")))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rows = written(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), model.evidence().alias("evidence")), "quality-rows")
+    return quality.judged(rows, quality.sites(rows), "host", "path", "evidence")
+
+
+@query("op7_licenses")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no file names: they lie in ``source/lang``, and the licence file of a directory is its first document
+    (by doc_id, also in directories below) that has a notice."""
+    docs = table(spark, sf_dir, "documents")
+    own = written(licenses.notices(docs, "doc_id", "text", licenses.Templates()), "licence-own")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("directory"))
+    files = written(files.join(own, "doc_id", "left"), "licence-files")
+    with_notice = files.where("licence is not null").select("doc_id", "licence", F.explode(licenses.ancestors(F.col("directory"))).alias("directory"))
+    declared = with_notice.groupBy("directory").agg(F.min(F.struct("doc_id", "licence")).alias("f")).select("directory", F.col("f.licence").alias("licence"))
+    passed = licenses.inherited(files.select("directory"), declared).select("directory", F.col("licence").alias("passed"), "inherited_from")
+    has = F.col("licence").isNotNull()
+    return files.join(passed, "directory", "left").select(
+        "doc_id", "directory", F.col("licence").alias("own_licence"), "score", F.coalesce("licence", "passed").alias("licence"),
+        F.when(~has, F.col("inherited_from")).alias("inherited_from"),
+    )
