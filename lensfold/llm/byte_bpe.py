@@ -3,7 +3,7 @@
 The rank table is read from a file that every executor can open (a parameter). A text is cut where a space or a line
 starts after a non-space character; no match of the pattern runs over such a place, so the cuts change nothing and
 a piece that was met before costs one look-up. Texts where white space stands before a space or a line end are cut by
-the pattern alone. A worker keeps the ids of at most ``2 * REMEMBERED`` pieces.
+the pattern alone. A worker keeps the ids of at most ``2 * REMEMBERED`` pieces and ``REMEMBERED`` matches.
 
 Null and empty texts have no ids. Rows are looked at one by one: repeated rows give repeated results.
 """
@@ -14,6 +14,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,17 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(word) > SHORT_MATCH:
         return _merged_long(word, ranks)
+    get, none = ranks.get, 1 << 60
     parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        costs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-        least = min(costs)
-        if least == 1 << 60:
-            break
+    costs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while costs and (least := min(costs)) != none:
         at = costs.index(least)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts[at] += parts.pop(at + 1)
+        del costs[at]
+        if at < len(costs):
+            costs[at] = get(parts[at] + parts[at + 1], none)
+        if at:
+            costs[at - 1] = get(parts[at - 1] + parts[at], none)
     return [ranks[p] for p in parts]
 
 
@@ -94,12 +98,23 @@ class Encoder:
         self.ranks, self.find = ranks_of(path), regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+
+    def match(self, word: str) -> bytes:
+        """Ids of one match; those that stand in several pieces (with and without a comma, say) are merged once."""
+        if (known := self.matches.get(word)) is None:
+            ids = merged(word.encode(), self.ranks)
+            known = pack(f"<{len(ids)}i", *ids)
+            if len(self.matches) >= REMEMBERED:
+                self.matches.clear()
+            if len(word) <= LONG_PIECE:
+                self.matches[word] = known
+        return known
 
     def piece(self, piece: str) -> bytes:
         known = self.old.get(piece)
         if known is None:
-            ids = [i for word in self.find(piece) for i in merged(word.encode(), self.ranks)]
-            known = np.array(ids, "<i4").tobytes()
+            known = b"".join(map(self.match, self.find(piece)))
             if len(piece) > LONG_PIECE:
                 return known
         if len(self.young) >= REMEMBERED:
@@ -144,6 +159,8 @@ def decode(ids: str | Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         piece = pieces_of(path).__getitem__
         for rows in batches:
-            yield pa.array([None if x is None else b"".join(map(piece, x)) for x in rows.to_pylist()], pa.binary())
+            at, flat = rows.offsets.to_pylist(), rows.values.to_numpy().tolist()
+            texts = [b"".join(map(piece, flat[a:b])) for a, b in zip(at, at[1:])]
+            yield pa.array([t if there else None for t, there in zip(texts, rows.is_valid().to_pylist())], pa.binary())
 
     return run(ids)
