@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     size = known.count()
     part = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE * 0.9 / max(size, 1)))
     known = written(known.where(part).limit(SAMPLE), "quality-labels")
-    rows = docs.join(known, docs[key] == known["label_id"]).select(*[c.alias(n) for n, c in measures(text).items()], "good").limit(SAMPLE)
+    texts = docs.select(F.col(key).alias("text_id"), F.col(text).alias("body"))
+    rows = texts.join(known, F.col("text_id") == F.col("label_id")).select(*[c.alias(n) for n, c in measures("body").items()], "good").limit(SAMPLE)
     table = rows.toArrow().to_pandas().to_numpy(dtype="float64", na_value=0.0)
     x, y = table[:, :-1], table[:, -1]
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
