@@ -61,26 +61,27 @@ def iou(a: Sequence[str | Column], b: Sequence[str | Column], pixel: float = 1.0
     return both / (one + two - both if over == "union" else one)
 
 
-def overlapping(boxes: DataFrame, image: Sequence[str], order: str, corners: Sequence[str], least: float, cell: float) -> DataFrame:
+def overlapping(
+    boxes: DataFrame, image: Sequence[str], order: str, corners: Sequence[str], least: float, cell: float, pixel: float = 1.0
+) -> DataFrame:
     """Pairs of boxes of one image with IoU > ``least``, each once, as (image, first, second, iou).
 
-    Boxes are laid on a grid of ``cell`` pixels and meet only inside a cell, so an image with very many boxes
-    does not compare all pairs. A pair that shares several cells is reported by the first one only.
+    Boxes are laid on a grid of ``cell`` pixels and meet only inside a cell, so an image with very many boxes does not
+    compare all pairs. A box covers its edge pixel, as in its area. A pair is reported by the cell that holds the
+    upper left corner of what both cover.
     """
-    x1, y1, x2, y2 = corners
-    grid = lambda v: F.floor(F.col(v) / F.lit(float(cell)))
-    cells = boxes.select(*image, order, *corners).withColumn("_cx", F.explode(F.sequence(grid(x1), grid(x2)))).withColumn(
-        "_cy", F.explode(F.sequence(grid(y1), grid(y2)))
+    grid = lambda v: F.floor(v / F.lit(float(cell)))
+    x1, y1, x2, y2 = map(F.col, corners)
+    cells = boxes.select(*image, order, *corners).withColumn("_cx", F.explode(F.sequence(grid(x1), grid(x2 + pixel)))).withColumn(
+        "_cy", F.explode(F.sequence(grid(y1), grid(y2 + pixel)))
     )
     left = cells.select(*image, "_cx", "_cy", F.col(order).alias("first"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(corners)])
     right = cells.select(*image, "_cx", "_cy", F.col(order).alias("second"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(corners)])
     a, b = [f"_a{i}" for i in range(4)], [f"_b{i}" for i in range(4)]
-    home = (F.col("_cx") == F.greatest(F.floor(F.col("_a0") / float(cell)), F.floor(F.col("_b0") / float(cell)))) & (
-        F.col("_cy") == F.greatest(F.floor(F.col("_a1") / float(cell)), F.floor(F.col("_b1") / float(cell)))
-    )
+    home = (F.col("_cx") == grid(F.greatest("_a0", "_b0"))) & (F.col("_cy") == grid(F.greatest("_a1", "_b1")))
     return (
         left.join(right, [*image, "_cx", "_cy"]).where((F.col("first") < F.col("second")) & home)
-        .select(*image, "first", "second", iou(a, b).alias("iou")).where(F.col("iou") > least)
+        .select(*image, "first", "second", iou(a, b, pixel).alias("iou")).where(F.col("iou") > least)
     )
 
 
@@ -120,37 +121,46 @@ def nms(
     return small.unionByName(_nms_rounds(boxes.join(heavy, on, "left_semi"), on, corners, score, order, limit, cell))
 
 
+def _suppressed(box: np.ndarray, limit: float, pixel: float = 1.0, step: int = 512) -> np.ndarray:
+    """Which of the boxes (rows x1, y1, x2, y2; best first) a kept better one covers by more than ``limit``. Overlaps
+    of ``step`` boxes with all later ones are computed together."""
+    low, high = box[:, :2], box[:, 2:] + pixel
+    area = np.prod(high - low, axis=1)
+    gone = np.zeros(len(box), bool)
+    for at in range(0, len(box), step):
+        some = slice(at, at + step)
+        side = np.minimum(high[some, None], high[None, at:]) - np.maximum(low[some, None], low[None, at:])
+        both = np.clip(side, 0, None).prod(axis=2)
+        covers = both / (area[some, None] + area[None, at:] - both) > limit
+        for i, row in enumerate(np.triu(covers, 1)):
+            if not gone[at + i]:
+                gone[at:] |= row
+    return gone
+
+
 def _nms_packs(boxes: DataFrame, image: list[str], corners: Sequence[str], score: str, order: str, limit: float, packs: int) -> DataFrame:
     """Images hashed into packs of bounded size: one call per pack, since a call per image costs more than its work."""
-    pixel = 1.0
 
     def suppress(table):
         table = table.drop_columns(["_pack"])
-        group = table.select(image).append_column("_row", pa.array(np.arange(table.num_rows)))
-        x1, y1, x2, y2, s = (np.asarray(table.column(c), dtype=np.float64) for c in (*corners, score))
-        ranks = np.asarray(table.column(order))
-        area = (x2 - x1 + pixel) * (y2 - y1 + pixel)
-        kept = []
-        for rows in group.group_by(image).aggregate([("_row", "list")]).column("_row_list"):
-            waiting = np.asarray(rows.values)
-            waiting = waiting[np.lexsort((ranks[waiting], -s[waiting]))]
-            while waiting.size:
-                best, waiting = waiting[0], waiting[1:]
-                kept.append(best)
-                if not waiting.size:
-                    break
-                w = np.clip(np.minimum(x2[best], x2[waiting]) - np.maximum(x1[best], x1[waiting]) + pixel, 0, None)
-                h = np.clip(np.minimum(y2[best], y2[waiting]) - np.maximum(y1[best], y1[waiting]) + pixel, 0, None)
-                waiting = waiting[w * h / (area[best] + area[waiting] - w * h) <= limit]
-        return table.take(pa.array(kept, pa.int64()))
+        sequence = pa.array(np.arange(table.num_rows))
+        ranked = table.append_column("_at", sequence).sort_by([*[(c, "ascending") for c in image], (score, "descending"), (order, "ascending")])
+        groups = ranked.select(image).append_column("_at", sequence).group_by(image).aggregate([("_at", "min"), ("_at", "count")])
+        box = np.stack([np.asarray(ranked.column(c), dtype=np.float64) for c in corners], axis=1)
+        gone = np.zeros(len(box), bool)
+        for start, size in zip(groups.column("_at_min").to_pylist(), groups.column("_at_count").to_pylist(), strict=True):
+            gone[start : start + size] = _suppressed(box[start : start + size], limit)
+        return ranked.filter(pa.array(~gone)).drop_columns(["_at"])
 
     packed = boxes.withColumn("_pack", F.pmod(F.xxhash64(*image), F.lit(packs)))
     return packed.groupBy("_pack").applyInArrow(suppress, boxes.schema)
 
 
 def _nms_rounds(boxes: DataFrame, image: list[str], corners: Sequence[str], score: str, order: str, limit: float, cell: float) -> DataFrame:
-    """A box is kept once no better open box overlaps it; boxes overlapping a kept one are closed. Copies of a
-    box can only be suppressed by their best copy, so only that one enters the overlap join."""
+    """A box is kept once no better open box overlaps it; boxes overlapping a kept one are closed. Below a limit of 1, copies
+    of a box are covered by their best copy, so only that one enters the overlap join; from 1 on nothing covers anything."""
+    if limit >= 1.0:
+        return boxes
     rest = [c for c in boxes.columns if c not in (*image, *corners)]
     unique = cut_lineage(best_per_group(boxes, [*image, *corners], [-F.col(score), F.col(order)], rest).select(*boxes.columns))
     rank = unique.select(*image, order, score)

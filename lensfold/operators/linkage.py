@@ -17,31 +17,34 @@ from lensfold.session import cut_lineage
 
 
 def _merge_in_block(mean: np.ndarray, size: np.ndarray, limit: float) -> np.ndarray:
-    """Average linkage of one block of groups (mean vector, count): smallest row number of the final group of each
-    row. Follows chains of nearest neighbours; merges while the mean similarity is above ``limit``."""
+    """Average linkage of one block of groups (mean vector, count): smallest row number of the final group of each row.
+
+    The same rounds as ``_by_rounds``, with the same sums and the same order among equal similarities (smaller row
+    first), so how many rows share a block never changes the outcome. Only rows that changed are compared anew.
+    """
     n = len(mean)
     sim = np.round(mean @ mean.T, S.SCORE_DIGITS)
     np.fill_diagonal(sim, -np.inf)
-    group, open_rows, chain = np.arange(n), set(range(n)), []
-    while open_rows:
-        if not chain:
-            chain = [min(open_rows)]
-        top = chain[-1]
-        best = int(sim[top].argmax())
-        if not sim[top, best] > limit:
-            open_rows.discard(top)  # nothing in reach now, so nothing ever will be
-            chain.pop()
-        elif len(chain) > 1 and sim[top, chain[-2]] >= sim[top, best]:
-            a, b = sorted((top, chain[-2]))
-            mixed = (size[a] * sim[a] + size[b] * sim[b]) / (size[a] + size[b])
-            sim[a], sim[:, a] = mixed, mixed
-            sim[b], sim[:, b], sim[a, a] = -np.inf, -np.inf, -np.inf
-            size[a] += size[b]
-            group[group == b] = a
-            open_rows.discard(b)
-            chain = chain[:-2]
-        else:
-            chain.append(best)
+    group, alive = np.arange(n), np.ones(n, bool)
+    while n > 1:
+        best = sim.argmax(axis=1)
+        open_ = alive & (sim[np.arange(n), best] > limit)
+        first = np.flatnonzero(open_ & open_[best] & (best[best] == np.arange(n)) & (np.arange(n) < best))
+        if not len(first):
+            return group
+        second = best[first]
+        total = size[first] + size[second]
+        mean[first] = (mean[first] * size[first, None] + mean[second] * size[second, None]) / total[:, None]
+        size[first] = total
+        to = np.arange(n)
+        to[second] = first
+        group = to[group]
+        alive = open_.copy()
+        alive[second] = False
+        sim[first] = np.round(mean[first] @ mean.T, S.SCORE_DIGITS)
+        sim[:, first] = sim[first].T
+        sim[~alive], sim[:, ~alive] = -np.inf, -np.inf
+        sim[first, first] = -np.inf
     return group
 
 
@@ -52,8 +55,8 @@ def _in_blocks(points: DataFrame, part: list[str], limit: float) -> DataFrame:
 
     def finish(table):
         table = table.take(pc.sort_indices(table.column("_g")))
-        mean = np.asarray(table.column("_mean").combine_chunks().flatten()).reshape(table.num_rows, -1)
-        size = np.asarray(table.column("_n"), dtype=np.float64)
+        mean = np.array(table.column("_mean").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        size = np.array(table.column("_n"), dtype=np.float64)
         group = table.column("_g").combine_chunks().take(pa.array(_merge_in_block(mean, size, limit)))
         return table.select([*part, "_g"]).append_column("_to", group)
 
@@ -66,8 +69,8 @@ def average_linkage(
 ) -> DataFrame:
     """(part, id, group): average cosine linkage, cut where the distance reaches ``threshold`` (strict).
 
-    A key with at most ``block`` points is one group. Larger keys are merged by rounds of joins, with the same
-    result however many points they have.
+    Every round merges all groups that are each other's most similar one; among equal ones the smaller id counts. A key
+    with at most ``block`` points takes its rounds in one task, a larger one by joins, with the same result.
     """
     on = list(part)
     units = cut_lineage(points.select(*on, F.col(ident).alias("_g"), V.unit(vec).alias("_mean"), F.lit(1).cast("bigint").alias("_n")))
