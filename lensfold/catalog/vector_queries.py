@@ -100,7 +100,6 @@ def d9(t):
 
 
 
-
 @query("d10_merged_pose", f"""WITH {R.SQL_MACROS}, {R.SQL_CLUSTERS}, grp AS (SELECT part, 'cv' || substr(cluster_id, 3) AS survivor, pyr_centroid, pyr_size FROM cl WHERE vec_id % 3 = 1),
 m AS (FROM {R.sql_unit_mean('(FROM grp WHERE pyr_centroid IS NOT NULL AND pyr_size > 0)', 'part, survivor', 'pyr_centroid', 'pyr_size')}),
 n AS (SELECT part, survivor, sum(pyr_size) AS pyr_size FROM grp WHERE pyr_centroid IS NOT NULL AND pyr_size > 0 GROUP BY 1, 2)
@@ -155,8 +154,8 @@ SELECT part, src, dst, round(score, 6) AS score FROM (SELECT *, row_number() OVE
 def e1(t):
     left = R.single_level(t).select("part", F.col("id").alias("k"), "v")
     right = R.clusters(t).where("pyr_centroid IS NOT NULL").select("part", F.col("cluster_id").alias("k"), F.col("pyr_centroid").alias("v"))
-    pairs = S.similarity_join(left, right, "k", "v", PART, 0.3)
-    return best_target(pairs, PART, "src", "dst", "score", 0.55).withColumn("score", F.round("score", 6))
+    best = S.topk_search(left, right, "k", "v", PART, 1, 0.3)
+    return best_target(best, PART, "src", "dst", "score", 0.55).select("part", "src", "dst", F.round("score", 6).alias("score"))
 
 
 @query("g1_member_rows", f"""WITH {R.SQL_SINGLE}, {R.SQL_CLUSTERS} SELECT part, 'c:' || cluster_id AS mid, cluster_id, CAST(greatest(cluster_size, 1) AS BIGINT) AS weight FROM cl
@@ -193,7 +192,7 @@ def _existing(t):
 
 
 GROUPS = """ex AS (SELECT * FROM cl WHERE vec_id % 2 = 0),
-g AS (SELECT part, vec_id % 25 AS anchor, count(*) AS members, 'm:' || min(id) AS first FROM fix GROUP BY 1, 2),
+g AS (SELECT part, anchor, count(*) AS members, 'm:' || min(id) AS first FROM fix GROUP BY 1, 2),
 c AS (SELECT part, vec_id AS anchor, count(*) AS cents, CAST(sum(cluster_size) AS BIGINT) AS old, arg_min(cluster_id, (-cluster_size, cluster_id)) AS survivor FROM ex GROUP BY 1, 2),
 o AS (SELECT part, anchor, coalesce(cents, 0) AS n_centroids, members AS n_members, coalesce(old, 0) + members AS size,
   CASE WHEN cents IS NULL THEN 'n' || substr(sha256(part || '|' || first), 1, 31) ELSE survivor END AS cluster_id FROM g LEFT JOIN c USING (part, anchor))"""

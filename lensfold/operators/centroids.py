@@ -15,13 +15,21 @@ from lensfold.functions import vectors as V
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
-    """Vector length, read from one row."""
-    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
-    return row.d if row else 0
+    """The length of all vectors of a column; fails when they differ."""
+    least, most = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if least != most:
+        raise ValueError(f"vectors of different lengths: {least} and {most}")
+    return least or 0
+
+
+def of_length(vec: str, dim: int) -> Column:
+    """The vector, or null; any other length fails the query."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector must have {dim} components, found "), F.size(vec).cast("string")))
+    return F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(wrong.cast("array<double>"))
 
 
 def vector_sum(vec: str, dim: int, weight: str | None = None) -> Column:
-    """Sum of vectors (times a weight column), one partial sum per dimension."""
+    """Sum of vectors (times a weight column), one partial sum per dimension. Check lengths with ``of_length`` first."""
     factor = "" if weight is None else f" * {weight}"
     return F.expr("array(" + ", ".join(f"sum(double(get({vec}, {i})){factor})" for i in range(dim)) + ")")
 
@@ -31,8 +39,8 @@ def unit_float(v: Column | str) -> Column:
 
 
 def weighted_unit_mean(
-    df: DataFrame, keys: Sequence[str], vec: str, weight: str | None = None, empty: str = "error",
-    dim: int | None = None, out: str = "centroid",
+    df: DataFrame, keys: Sequence[str], vec: str, weight: str | None = None, empty: str = "error", *,
+    dim: int, out: str = "centroid",
 ) -> DataFrame:
     """Unit vector of the weighted mean per key, with the total weight.
 
@@ -43,7 +51,7 @@ def weighted_unit_mean(
         if weight is not None:
             df = df.where(F.col(weight) > 0)
     total = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    agg = df.groupBy(*keys).agg(vector_sum(vec, dim or vector_dim(df, vec), weight).alias("_s"), total.alias("weight"))
+    agg = df.withColumn(vec, of_length(vec, dim)).groupBy(*keys).agg(vector_sum(vec, dim, weight).alias("_s"), total.alias("weight"))
     mean = V.scale("_s", F.lit(1.0) / F.col("weight"))
     if empty == "null":
         value = F.when(V.norm("_s") > 0, unit_float(mean))
@@ -56,7 +64,7 @@ def weighted_unit_mean(
 
 def fold_members(
     clusters: DataFrame, members: DataFrame, keys: Sequence[str], centroid: str, size: str, vec: str,
-    create: bool = True, dim: int | None = None,
+    create: bool = True, *, dim: int,
 ) -> DataFrame:
     """New centroid and size of clusters that got members. An old size of 0 counts as 1.
 
@@ -76,7 +84,7 @@ def fold_members(
 
 def refresh_from_members(
     clusters: DataFrame, members: DataFrame, touched: DataFrame, keys: Sequence[str], vec: str, out: str,
-    dim: int | None = None,
+    dim: int,
 ) -> DataFrame:
     """Recompute ``out`` of touched clusters from member vectors; null when no member has one."""
     ids = touched.select(*keys).distinct()

@@ -69,14 +69,16 @@ def _self_blocks(df: DataFrame, part: Sequence[str], block: int) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, normalise: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as a double matrix, and which rows were present; missing rows are zero."""
+    """Rows as a double matrix, and which rows were present; missing rows are zero. Fails on vectors of mixed lengths."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     present = np.asarray(pc.is_valid(lists))
-    flat = np.asarray(lists.flatten(), dtype=np.float64)
-    dim = len(flat) // max(1, int(present.sum()))
+    lengths = pc.unique(pc.drop_null(pc.list_value_length(lists))).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    dim = lengths[0] if lengths else 0
     out = np.zeros((len(lists), max(dim, 1)))
     if dim:
-        out[present] = flat.reshape(-1, dim)
+        out[present] = np.asarray(lists.flatten(), dtype=np.float64).reshape(-1, dim)
     if normalise:
         length = np.linalg.norm(out, axis=1, keepdims=True)
         out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
@@ -92,21 +94,34 @@ class _Side:
         self.mats = [_matrix(table.column(f"_v{i}"), normalise) for i in range(vecs)]
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if a.shape[1] != b.shape[1]:
+        raise ValueError(f"vectors of different lengths: {a.shape[1]} and {b.shape[1]}")
+    return np.round(a @ b.T, SCORE_DIGITS)
+
+
 def _scores(left: _Side, right: _Side) -> tuple[np.ndarray, np.ndarray | None]:
-    """Similarity of every pair of the block pair; with two vector columns also the winning channel."""
-    main = np.round(left.mats[0][0] @ right.mats[0][0].T, SCORE_DIGITS)
+    """Similarity of every pair of the block pair; with two vector columns also the number of the winning channel.
+
+    Channels are layers of one stack, minus infinity where a vector is missing; the first of the greatest wins.
+    """
+    (main_l, _), (main_r, _) = left.mats[0], right.mats[0]
+    main = _product(main_l, main_r)
     if len(left.mats) == 1:
         return main, None
-    code = np.zeros(main.shape, dtype=np.int8)
-    (alt_l, has_l), (alt_r, has_r) = left.mats[1], right.mats[1]
-    usable = np.broadcast_to(has_r[None, :], main.shape)
-    for value, (source, mask) in enumerate(((left.mats[0][0], usable), (alt_l, usable & has_l[:, None])), start=1):
-        if not mask.any() or source.shape[1] != alt_r.shape[1]:
-            continue
-        other = np.round(source @ alt_r.T, SCORE_DIGITS)
-        wins = mask & (other > main)
-        main, code = np.where(wins, other, main), np.where(wins, np.int8(value), code)
-    return main, code
+    (alt_l, there_l), (alt_r, there_r) = left.mats[1], right.mats[1]
+    stack = np.full((len(CHANNELS), *main.shape), -np.inf)
+    stack[0] = main
+    if there_r.any():
+        stack[1][:, there_r] = _product(main_l, alt_r[there_r])
+        if there_l.any():
+            stack[2][np.ix_(there_l, there_r)] = _product(alt_l[there_l], alt_r[there_r])
+    channel = stack.argmax(axis=0)
+    return np.take_along_axis(stack, channel[None], axis=0)[0], channel
+
+
+def _channel_names(numbers: np.ndarray) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(numbers.astype(np.int8)), pa.array(CHANNELS)).cast(pa.string())
 
 
 Emit = Callable[[_Side, _Side, bool], dict[str, pa.Array]]
@@ -195,7 +210,7 @@ def topk_search(
         i, j = i[good], j[good]
         cols = {"src": a.ids.take(pa.array(i)), "dst": b.ids.take(pa.array(j)), "score": pa.array(score[i, j])}
         if code is not None:
-            cols["channel"] = pa.array([CHANNELS[c] for c in code[i, j]], pa.string())
+            cols["channel"] = _channel_names(code[i, j])
         return cols
 
     extra = [("score", T.DoubleType())] + ([("channel", T.StringType())] if len(vecs) > 1 else [])
@@ -216,8 +231,7 @@ def max_channel_similarity(
     def emit(a: _Side, b: _Side, within: bool):
         score, code = _scores(a, b)
         i, j = np.nonzero(score >= threshold)
-        names = pa.array([CHANNELS[c] for c in code[i, j]], pa.string())
-        return {"src": a.ids.take(pa.array(i)), "dst": b.ids.take(pa.array(j)), "score": pa.array(score[i, j]), "channel": names}
+        return {"src": a.ids.take(pa.array(i)), "dst": b.ids.take(pa.array(j)), "score": pa.array(score[i, j]), "channel": _channel_names(code[i, j])}
 
     vecs = [main, alt]
     rows = _cross_blocks(_sides(left, ident, vecs, part), _sides(right, ident, vecs, part), part, block)

@@ -126,7 +126,7 @@ def classify(grouped: DataFrame, n: Names, config: ResolveConfig, policy: Policy
     """One row per group: kind in new, expanded, merged, unassigned, skipped, with id, size and centroid."""
     on = list(n.part)
     cent, size = F.col("is_centroid"), F.col("size")
-    agg = grouped.where(F.col("grp").isNotNull()).groupBy(*on, "grp").agg(
+    agg = grouped.where(F.col("grp").isNotNull()).withColumn("v", C.of_length("v", config.dim)).groupBy(*on, "grp").agg(
         F.count_if(cent).alias("n_centroids"),
         F.count_if(~cent).alias("n_members"),
         F.sum("size").alias("old_size"),

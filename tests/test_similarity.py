@@ -144,8 +144,8 @@ def test_weighted_mean_rules(spark):
     df = spark.createDataFrame(
         [("a", [1.0, 0.0], 3), ("a", [0.0, 1.0], 1), ("z", [1.0, 0.0], 1), ("z", [-1.0, 0.0], 1)], "k string, v array<double>, w int"
     )
-    got = {r.k: r.centroid for r in weighted_unit_mean(df, ["k"], "v", "w").collect()}
+    got = {r.k: r.centroid for r in weighted_unit_mean(df, ["k"], "v", "w", dim=2).collect()}
     assert np.allclose(got["a"], _unit([3, 1]), atol=1e-6) and got["z"] == [0.0, 0.0]
-    assert {r.k: r.centroid for r in weighted_unit_mean(df, ["k"], "v", "w", empty="null").collect()}["z"] is None
+    assert {r.k: r.centroid for r in weighted_unit_mean(df, ["k"], "v", "w", empty="null", dim=2).collect()}["z"] is None
     with pytest.raises(Exception, match="positive"):
-        weighted_unit_mean(df.selectExpr("k", "v", "0 as w"), ["k"], "v", "w").collect()
+        weighted_unit_mean(df.selectExpr("k", "v", "0 as w"), ["k"], "v", "w", dim=2).collect()
