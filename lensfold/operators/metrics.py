@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensfold.operators.anchored import debounce, finite_machine
+from lensfold.operators.anchored import debounce as debounced
+from lensfold.operators.anchored import finite_machine
 from lensfold.operators.runs import sustained
-from lensfold.operators.sliced import last_known, micros, previous_value, running_sum, sliding_count, time_slice, trailing
+from lensfold.operators.sliced import last_known, micros, previous_value, range_slice, running_sum, sliding_count, time_slice, trailing
+from lensfold.session import cut_lineage
 
 # Quota bands in percent, and how far usage must fall before a band can alert again.
 QUOTA_BANDS = (80.0, 95.0, 100.0)
@@ -102,7 +104,7 @@ def quota_alerts(usage: DataFrame, owner: Sequence[str], ts: str, tie: str, perc
 
 def notifications(alerts: DataFrame, group: Sequence[str], ts: str, repeat: float = 4 * 3600) -> DataFrame:
     """Alerts grouped by name: a notice is sent when none was sent in the last ``repeat`` seconds."""
-    return debounce(alerts, group, ts, repeat).where("acts").select(*group, ts)
+    return debounced(alerts, group, ts, repeat).where("acts").select(*group, ts)
 
 
 def daily_budget(points: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, budget: float, days: int = 3) -> DataFrame:
@@ -174,6 +176,40 @@ def watch(log: DataFrame, job: Sequence[str], ts: str, kind: str, now: Column, f
     return out.withColumn("idle_seconds", age / 1_000_000).withColumn("verdict", verdict).drop("_s", "_h", "_first")
 
 
+def reconcile(
+    log: DataFrame, job: Sequence[str], ts: str, kind: str, tie: str, fresh: float = 180, stall: float = 1800, debounce: float = 300
+) -> DataFrame:
+    """(job, ts, tie, verdict) of every ``check`` row among ``start`` and ``heartbeat`` rows, in order of (ts, tie).
+
+    ``healthy``: a heartbeat since the last start is younger than ``fresh``. Otherwise, silent for ``stall`` (since the
+    heartbeat, or the start if there is none): ``reverted`` once per attempt, then ``skipped``. Otherwise the job is to
+    be recovered: ``requeued`` at most once in ``debounce`` seconds, else ``waiting``. What comes first counts as a start.
+    """
+    on, order = list(job), [ts, tie]
+    at = F.struct(*order)
+    rows = range_slice(log.select(*on, *order, F.col(kind).alias("_kind")), on, order)
+    rows = last_known(rows, on, order, F.when(F.col("_kind") == "start", at), "_start")
+    rows = last_known(rows, on, order, F.when(F.col("_kind") == "heartbeat", at), "_beat")
+    first = log.groupBy(*on).agg(F.min(ts).alias("_first"))
+    beat = F.when(F.col("_start").isNull() | (F.col("_beat") > F.col("_start")), F.col("_beat")[ts])
+    checks = rows.where("_kind = 'check'").join(first, on).select(*on, *order, "_start", beat.alias("_beat"), F.coalesce(F.col("_start")[ts], "_first").alias("_from"))
+    idle = micros(ts) - micros(F.coalesce("_beat", "_from"))
+    healthy = F.col("_beat").isNotNull() & (idle < int(fresh * 1_000_000))
+    state = F.when(healthy, "healthy").when(idle >= int(stall * 1_000_000), "stalled").otherwise("recover")
+    checks = cut_lineage(checks.withColumn("_attempt", F.coalesce(micros(F.col("_start")[ts]), F.lit(-1))).select(*on, *order, "_attempt", state.alias("_state")))
+    given_up = checks.where("_state = 'stalled'").groupBy(*on, "_attempt").agg(F.min(at).alias("_one"))
+    recover = checks.where("_state = 'recover'")
+    acts = debounced(recover, on, ts, debounce).where("acts").select(*on, ts)
+    acts = recover.join(acts, [*on, ts], "left_semi").groupBy(*on, ts).agg(F.min(at).alias("_one"))
+    ones = given_up.select(*on, "_one").unionByName(acts.select(*on, "_one")).select(*on, *[F.col("_one")[c].alias(c) for c in order], F.lit(True).alias("_first"))
+    verdict = (
+        F.when(F.col("_state") == "healthy", "healthy")
+        .when(F.col("_state") == "stalled", F.when(F.col("_first"), "reverted").otherwise("skipped"))
+        .otherwise(F.when(F.col("_first"), "requeued").otherwise("waiting"))
+    )
+    return checks.join(ones, [*on, *order], "left").select(*on, *order, verdict.alias("verdict"))
+
+
 def windowed_counts(log: DataFrame, key: Sequence[str], ts: str, action: str, size: str, slide: str | None = None) -> DataFrame:
     """Views and downloads per key and window; the same plan runs on a batch and on a stream with a watermark."""
     return log.groupBy(*key, F.window(ts, size, slide)).agg(

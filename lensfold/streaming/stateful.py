@@ -1,7 +1,9 @@
 """Keyed state machines on streams. Every one has a batch twin in ``lensfold.operators`` with the same answer.
 
-Rows of a key are taken in event-time order inside a micro-batch. Rows later than the watermark are dropped by
-the caller's ``withWatermark``; the state of a key is small and bounded (stated at each machine).
+Rows wait in the state until the watermark has passed them and then run in event-time order, so the order in which they
+arrive doesn't matter as long as they aren't later than the watermark; later ones are dropped and counted
+(``late_rows``). An answer therefore comes one watermark delay after its row. The state of a key is what waits and what
+is stated at each machine; where time can end it, a timer removes it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lensfold.operators.metrics import QUOTA_BANDS, quota_step
@@ -22,35 +25,59 @@ Step = Callable[[tuple | None, list[tuple]], tuple[tuple | None, list[tuple]]]
 
 def keyed_machine(
     stream: DataFrame, key: Sequence[str], ts: str, inputs: Sequence[str], step: Step, state: str, output: str,
-    timeout: Callable[[tuple], int] | None = None, expired: Callable[[tuple], list[tuple]] | None = None, watermark: str = WATERMARK,
+    timeout: Callable[[tuple], int | None] | None = None, expired: Callable[[tuple], list[tuple]] | None = None, watermark: str = WATERMARK,
 ) -> DataFrame:
     """Append-mode stream of (key..., output...). ``step(state, rows)`` sees rows as (micros, inputs...) in order.
 
-    ``timeout(state)`` is the event time in milliseconds at which ``expired(state)`` speaks if nothing came.
+    ``timeout(state)`` is the event time in milliseconds at which ``expired(state)`` speaks and the state ends if nothing
+    came; None keeps it.
     """
     on = list(key)
     schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in on)
     names = [*on, *[f.name for f in T._parse_datatype_string(output).fields]]
+    width = len(T._parse_datatype_string(state).fields)
+    waiting = ", ".join(["_wait_us array<bigint>", *[f"_wait_{i} array<{stream.schema[c].dataType.simpleString()}>" for i, c in enumerate(inputs)]])
 
     def update(group, batches: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        current = store.get if store.exists else None
-        if store.hasTimedOut:
-            out, current = (expired(current) if expired else []), None
-        else:
-            rows = sorted(tuple(r) for pdf in batches for r in pdf[["_us", *inputs]].itertuples(index=False))
-            current, out = step(current, rows)
-        if current is None:
+        live, *held = store.get if store.exists else (False, *[None] * width, *[[]] * (1 + len(inputs)))
+        current = tuple(held[:width]) if live else None
+        rows = list(zip(*held[width:], strict=True))
+        if not store.hasTimedOut:
+            rows += [tuple(r) for pdf in batches for r in pdf[["_us", *inputs]].itertuples(index=False)]
+        mark, out = store.getCurrentWatermarkMs(), []
+        ready = sorted(r for r in rows if r[0] <= mark * 1000)
+        rows = [r for r in rows if r[0] > mark * 1000]
+        if ready:
+            current, out = step(current, ready)
+        end = timeout(current) if timeout is not None and current is not None else None
+        if end is not None and end <= mark:
+            out = out + (expired(current) if expired else [])
+            current = end = None
+        if current is None and not rows:
             store.remove()
         else:
-            store.update(current)
-            if timeout is not None:
-                store.setTimeoutTimestamp(max(timeout(current), store.getCurrentWatermarkMs() + 1))
+            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(1 + len(inputs))]
+            store.update((current is not None, *(current or [None] * width), *columns))
+            due = [t for t in (end, min(r[0] for r in rows) // 1000 + 1 if rows else None) if t is not None]
+            if due:
+                store.setTimeoutTimestamp(max(min(due), mark + 1))
         if out:
             yield pd.DataFrame([(*group, *row) for row in out], columns=names)
 
     rows = stream.withWatermark(ts, watermark).select(*on, ts, F.unix_micros(ts).alias("_us"), *[c for c in inputs if c != ts])
-    mode = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy(*on).applyInPandasWithState(update, f"{schema}, {output}", state, "append", mode)
+    return rows.groupBy(*on).applyInPandasWithState(
+        update, f"{schema}, {output}", f"_live boolean, {state}, {waiting}", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped so far because they came after the watermark, as far as its progress reports reach."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def _after(micros: int | None) -> int | None:
+    """First whole millisecond after an instant."""
+    return None if micros is None else micros // 1000 + 1
 
 
 def limit_stream(stream: DataFrame, key: Sequence[str], ts: str, seconds: float, limit: int, **kw) -> DataFrame:
@@ -67,7 +94,8 @@ def limit_stream(stream: DataFrame, key: Sequence[str], ts: str, seconds: float,
             recent = [*recent, us][-limit:]
         return (recent,), out
 
-    return keyed_machine(stream, key, ts, [], step, "recent array<bigint>", "us bigint, allowed boolean", **kw)
+    end = lambda s: _after(s[0][-1] + width)
+    return keyed_machine(stream, key, ts, [], step, "recent array<bigint>", "us bigint, allowed boolean", end, **kw)
 
 
 def throttle_stream(stream: DataFrame, key: Sequence[str], ts: str, ttl: float, most: int = 2, **kw) -> DataFrame:
@@ -82,7 +110,8 @@ def throttle_stream(stream: DataFrame, key: Sequence[str], ts: str, ttl: float,
             out.append((us, place, place <= most))
         return (until, place), out
 
-    return keyed_machine(stream, key, ts, [], step, "until bigint, place bigint", "us bigint, place bigint, allowed boolean", **kw)
+    end = lambda s: _after(s[0])
+    return keyed_machine(stream, key, ts, [], step, "until bigint, place bigint", "us bigint, place bigint, allowed boolean", end, **kw)
 
 
 def attempts_stream(stream: DataFrame, key: Sequence[str], ts: str, success: str, ttl: float, most: int, **kw) -> DataFrame:
@@ -98,7 +127,8 @@ def attempts_stream(stream: DataFrame, key: Sequence[str], ts: str, success: str
             count, last = (0 if ok and count <= most else count), us
         return (count, last), out
 
-    return keyed_machine(stream, key, ts, [success], step, "count bigint, last bigint", "us bigint, attempt bigint, blocked boolean", **kw)
+    end = lambda s: _after(s[1] + width)
+    return keyed_machine(stream, key, ts, [success], step, "count bigint, last bigint", "us bigint, attempt bigint, blocked boolean", end, **kw)
 
 
 def notifications_stream(alerts: DataFrame, group: Sequence[str], ts: str, repeat: float = 4 * 3600, **kw) -> DataFrame:
@@ -119,7 +149,8 @@ def _advance(run: tuple, us: int, good: bool, need: int, gap: int | None) -> tup
 
 
 def runs_stream(stream: DataFrame, key: Sequence[str], ts: str, on: str, period: float, max_gap: float | None = None, **kw) -> DataFrame:
-    """(key, started_us, fired_us) once per run of the boolean column ``on``. State: start and last row of the run."""
+    """(key, started_us, fired_us) once per run of the boolean column ``on``. State: start and last row of the run; it ends
+    ``max_gap`` after the last row (without a gap a run never ends by itself, and its state stays)."""
     need, gap = int(period * 1_000_000), None if max_gap is None else int(max_gap * 1_000_000)
 
     def step(state, rows):
@@ -129,7 +160,8 @@ def runs_stream(stream: DataFrame, key: Sequence[str], ts: str, on: str, period:
             out += [fired] if fired else []
         return run, out
 
-    return keyed_machine(stream, key, ts, [on], step, "start bigint, last bigint, fired boolean", "started_us bigint, fired_us bigint", **kw)
+    end = None if gap is None else lambda s: _after(s[1] + gap)
+    return keyed_machine(stream, key, ts, [on], step, "start bigint, last bigint, fired boolean", "started_us bigint, fired_us bigint", end, **kw)
 
 
 def not_draining_stream(
@@ -153,7 +185,8 @@ def not_draining_stream(
         return (times, values, *run), out
 
     schema = "times array<bigint>, samples array<double>, start bigint, last bigint, fired boolean"
-    return keyed_machine(stream, key, ts, [value], step, schema, "started_us bigint, fired_us bigint", **kw)
+    end = lambda s: _after(s[3] + max(width, gap))
+    return keyed_machine(stream, key, ts, [value], step, schema, "started_us bigint, fired_us bigint", end, **kw)
 
 
 def quiet_stream(stream: DataFrame, key: Sequence[str], ts: str, kind: str, value: str, seconds: float, below: float, **kw) -> DataFrame:
@@ -175,11 +208,13 @@ def quiet_stream(stream: DataFrame, key: Sequence[str], ts: str, kind: str, valu
                 out.append((us, not values))
         return (times, values), out
 
-    return keyed_machine(stream, key, ts, [kind, value], step, "times array<bigint>, samples array<double>", "us bigint, absent boolean", **kw)
+    end = lambda s: _after(s[0][-1] + width) if s[0] else 0
+    return keyed_machine(stream, key, ts, [kind, value], step, "times array<bigint>, samples array<double>", "us bigint, absent boolean", end, **kw)
 
 
 def quota_stream(stream: DataFrame, owner: Sequence[str], ts: str, percent: str, **kw) -> DataFrame:
-    """(owner, us, band) for each announced band. State: the last band."""
+    """(owner, us, band) for each announced band. State: the last band, one number per owner, kept for good: a band is
+    announced once however long an owner is silent."""
 
     def step(state, rows):
         last = state[0] if state else 0
@@ -210,7 +245,42 @@ def stall_stream(stream: DataFrame, job: Sequence[str], ts: str, stall: float, *
 
     return keyed_machine(
         stream, job, ts, [], step, "last bigint", "last_us bigint",
-        timeout=lambda s: (s[0] + width) // 1000 + 1, expired=lambda s: [(s[0],)], **kw,
+        timeout=lambda s: _after(s[0] + width), expired=lambda s: [(s[0],)], **kw,
+    )
+
+
+def reconcile_stream(
+    stream: DataFrame, job: Sequence[str], ts: str, kind: str, tie: str, fresh: float = 180, stall: float = 1800, debounce: float = 300, **kw
+) -> DataFrame:
+    """(job, us, tie, verdict) of every ``check`` row, as in ``metrics.reconcile``. State: last start and heartbeat, whether
+    this attempt was given up, and until when no further requeue is due."""
+    fresh_us, stall_us, debounce_us = (int(x * 1_000_000) for x in (fresh, stall, debounce))
+
+    def step(state, rows):
+        started, beat, given_up, until = state or (None, None, False, None)
+        out = []
+        for us, order, what in rows:
+            if what == "start":
+                started, beat, given_up = us, None, False
+                continue
+            started = us if started is None else started
+            if what == "heartbeat":
+                beat = us
+                continue
+            idle = us - (started if beat is None else beat)
+            if beat is not None and idle < fresh_us:
+                verdict = "healthy"
+            elif idle >= stall_us:
+                verdict, given_up = ("skipped" if given_up else "reverted"), True
+            else:
+                requeues = until is None or us >= until
+                verdict, until = ("requeued", us + debounce_us) if requeues else ("waiting", until)
+            out.append((us, order, verdict))
+        return (started, beat, given_up, until), out
+
+    kind_of_tie = stream.schema[tie].dataType.simpleString()
+    return keyed_machine(
+        stream, job, ts, [tie, kind], step, "started bigint, beat bigint, given_up boolean, until bigint", f"us bigint, {tie} {kind_of_tie}, verdict string", **kw
     )
 
 
@@ -232,5 +302,5 @@ def progress_stream(stream: DataFrame, job: Sequence[str], ts: str, done: str, e
 
     return keyed_machine(
         stream, job, ts, [done], step, "best bigint, last bigint", "us bigint, done bigint",
-        timeout=lambda s: (s[1] + width) // 1000 + 1, **kw,
+        timeout=lambda s: _after(s[1] + width), **kw,
     )

@@ -1,4 +1,4 @@
-"""Each stream operator against its batch twin on the same log, replayed file by file."""
+"""Each stream operator against its batch twin on the same log, replayed file by file, in order of arrival."""
 
 import datetime as dt
 import os
@@ -14,22 +14,28 @@ from lensfold.sources import snapshots
 from lensfold.streaming import ingest, stateful
 
 T0 = dt.datetime(2024, 3, 1)
+CLOSING = 99
 
 
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
-    """300 events of 4 keys, one of them with half of all rows, in 5 files by time."""
+    """300 events of 4 keys, one of them with half of all rows, in 5 files. They arrive up to 9 minutes late, so files and
+    rows in them are out of order. A last event, alone in its file and its key, moves the watermark past all others."""
     rng = np.random.default_rng(11)
     seconds = np.sort(rng.integers(0, 12 * 3600, 300))
     pdf = pd.DataFrame({
         "id": np.arange(300), "key": np.where(rng.random(300) < 0.5, 0, rng.integers(1, 4, 300)),
         "ts": [T0 + dt.timedelta(seconds=int(s)) for s in seconds], "value": rng.integers(0, 120, 300).astype(float),
         "ok": rng.random(300) < 0.3, "action": np.where(rng.random(300) < 0.6, "view", "download"),
-    }).drop_duplicates(["key", "ts"]).reset_index(drop=True)
+    }).drop_duplicates(["key", "ts"])
+    arrival = np.argsort((pdf["ts"] - T0).dt.total_seconds().to_numpy() + rng.integers(0, 540, len(pdf)))
+    pdf = pdf.iloc[arrival].reset_index(drop=True)
+    assert not pdf["ts"].is_monotonic_increasing
+    last = pd.DataFrame({"id": [999], "key": [CLOSING], "ts": [T0 + dt.timedelta(hours=40)], "value": [0.0], "ok": [False], "action": ["view"]})
     folder = tmp_path_factory.mktemp("log")
-    for i, chunk in enumerate(np.array_split(np.arange(len(pdf)), 5)):
+    for i, chunk in enumerate([*np.array_split(np.arange(len(pdf)), 5), None]):
         path = folder / f"part-{i}.parquet"
-        out = pdf.iloc[chunk].copy()
+        out = last.copy() if chunk is None else pdf.iloc[chunk].copy()
         out["ts"] = out["ts"].dt.tz_localize("UTC").astype("datetime64[us, UTC]")
         out.to_parquet(path, index=False)
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
@@ -37,7 +43,7 @@ def log(spark, tmp_path_factory):
 
 
 def _batch(spark, log):
-    return spark.read.parquet(log)
+    return spark.read.parquet(log).where(F.col("key") != CLOSING)
 
 
 def _stream(spark, log):
@@ -131,6 +137,36 @@ def test_stalls(spark, log):
     assert want and want <= got  # a timer may also report a key that fell silent at the end
 
 
+def test_reconcile(spark, log):
+    kind = F.when(F.col("value") < 8, "start").when(F.col("value") < 60, "heartbeat").otherwise("check")
+    shape = lambda df: df.withColumn("kind", kind)
+    stream = stateful.reconcile_stream(shape(_stream(spark, log)), ["key"], "ts", "kind", "id", 240, 1200, 600)
+    got = _set(_drain(stream, "reconciled"), "key", "us", "verdict")
+    twin = metrics.reconcile(shape(_batch(spark, log)), ["key"], "ts", "kind", "id", 240, 1200, 600)
+    assert got == _set(twin, "key", US(), "verdict")
+    assert {v for *_, v in got} == {"healthy", "reverted", "skipped", "requeued", "waiting"}
+
+
+def test_a_job_is_reverted_once_per_attempt(spark):
+    minutes = [("start", 0), ("check", 40), ("check", 41), ("start", 50), ("check", 51), ("check", 52), ("heartbeat", 60), ("check", 61), ("check", 95), ("check", 96)]
+    rows = [(7, i, T0 + dt.timedelta(minutes=m), kind) for i, (kind, m) in enumerate(minutes)] + [(8, 50, T0, "check"), (8, 51, T0 + dt.timedelta(minutes=6), "check")]
+    log = spark.createDataFrame(rows, "job int, id int, ts timestamp, kind string")
+    got = [(r.job, r.verdict) for r in metrics.reconcile(log, ["job"], "ts", "kind", "id").orderBy("job", "ts").collect()]
+    assert got == [(7, v) for v in ("reverted", "skipped", "requeued", "waiting", "healthy", "reverted", "skipped")] + [(8, "requeued"), (8, "requeued")]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    for i, minute in enumerate((0, 60, 61, 5)):
+        path = tmp_path / f"part-{i}.parquet"
+        ts = pd.to_datetime([T0 + dt.timedelta(minutes=minute)]).tz_localize("UTC").astype("datetime64[us, UTC]")
+        pd.DataFrame({"key": [1], "ts": ts}).to_parquet(path, index=False)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = stateful.limit_stream(_stream(spark, str(tmp_path)), ["key"], "ts", 60, 5)
+    query = stream.writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert stateful.late_rows(query) == 1
+
+
 def test_progress(spark, log):
     done = F.col("value").cast("bigint")
     got = _drain(stateful.progress_stream(_stream(spark, log).withColumn("done", done), ["key"], "ts", "done"), "progress")
@@ -142,7 +178,7 @@ def test_progress(spark, log):
 
 def test_running_counts(spark, log):
     out = _drain(ingest.running_counts(_stream(spark, log), ["key"], "ts", "action", "1 hour"), "counts", "complete")
-    twin = metrics.windowed_counts(_batch(spark, log), ["key"], "ts", "action", "1 hour")
+    twin = metrics.windowed_counts(spark.read.parquet(log), ["key"], "ts", "action", "1 hour")
     assert _set(out, "key", "window.start", "views", "downloads") == _set(twin, "key", "window.start", "views", "downloads")
 
 
@@ -153,7 +189,7 @@ def test_ingest_replay(spark, log, tmp_path):
         assert query.awaitTermination(120)
         stored = spark.read.parquet(f"{tmp_path}/photos")
         ids = [r.upload_id for r in stored.select("upload_id").collect()]
-        batch = _batch(spark, log).select(F.concat_ws("-", "key", F.col("value").cast("int")).alias("u")).distinct()
+        batch = spark.read.parquet(log).select(F.concat_ws("-", "key", F.col("value").cast("int")).alias("u")).distinct()
         assert len(ids) == len(set(ids)) and set(ids) == {r.u for r in batch.collect()}
 
 
