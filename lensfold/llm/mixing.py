@@ -67,9 +67,11 @@ def plan(sized: DataFrame, weights: DataFrame, share: float, max_epochs: float)
         here["source"], here["h"], here["slice"], "before", "quota"
     ).agg(F.sum("size").alias("size"))
     within = W.partitionBy("source").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(within) - F.col("size") / 2
-    last = rows.withColumn("fits", middle <= F.col("quota")).groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("fits"), F.col("h"))), F.min(F.shiftleft("slice", 64 - SLICE_BITS)) - 1).alias("cutoff")
+    rows = rows.withColumn("upto", F.sum("size").over(within))
+    middle = F.col("before") + F.col("upto") - F.col("size") / 2
+    below = F.when(F.col("slice") > -(1 << (SLICE_BITS - 1)), F.shiftleft(F.col("slice") - 1, 64 - SLICE_BITS) + ((1 << (64 - SLICE_BITS)) - 1))
+    last = rows.withColumn("below", below).groupBy("source").agg(
+        F.coalesce(F.max(F.when(middle <= F.col("quota"), F.col("h"))), F.min("below")).alias("cutoff")
     )
     return written(aimed.join(last, same(aimed, last), "left").select(aimed["source"], "source_size", "target", "whole", "cutoff"), "mix-plan")
 
