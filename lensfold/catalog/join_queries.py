@@ -173,8 +173,9 @@ def d6(t):
 @query("d7_child_counts", with_roles("parents", "photos", "log", body="""SELECT event_id, (SELECT count(*) FROM photos p WHERE p.event_id = e.event_id) AS photos,
   (SELECT count(*) FROM photos p WHERE p.event_id = e.event_id AND NOT faces_processed) AS pending, (SELECT count(*) FROM log l WHERE l.session_id = e.event_id) AS actions FROM parents e"""))
 def d7(t):
+    photos = t.photos
     children = {
-        "photos": (t.photos, None), "pending": (t.photos, ~F.col("faces_processed")),
+        "photos": (photos, None), "pending": (photos, ~F.col("faces_processed")),
         "actions": (t.log.select(F.col("session_id").alias("event_id")), None),
     }
     return rollups.child_counts(t.parents.select("event_id"), "event_id", children)
@@ -266,10 +267,10 @@ def f1(t):
 SORTS = {"guest_name": "name", "first_visit": "created_at", "photos_matched_count": "matched", "photos_downloaded_count": "downloads"}
 
 
-@query("f2_leads_page", with_roles("log", "sessions", body="""SELECT session_id, name, matched, coalesce(n, 0) AS downloads FROM sessions
+@query("f2_leads_page", with_roles("log", "sessions", body="""SELECT session_id, name, matched, coalesce(n, 0) AS downloads, (SELECT count(*) FROM sessions WHERE verified) AS total FROM sessions
   LEFT JOIN (SELECT session_id, count(*) AS n FROM log WHERE action = 'download' GROUP BY 1) USING (session_id) WHERE verified ORDER BY downloads DESC, session_id LIMIT 20 OFFSET 20"""))
 def f2(t):
-    return listing.leads(t.sessions, t.log, "session_id", SORTS, "photos_downloaded_count", "desc", 2, 20).select("session_id", "name", "matched", "downloads")
+    return listing.leads(t.sessions, t.log, "session_id", SORTS, "photos_downloaded_count", "desc", 2, 20).select("session_id", "name", "matched", "downloads", "total")
 
 
 @query("f3_list_by_date", with_roles("parents", body="SELECT event_id, coalesce(CAST(date_start AS VARCHAR), '') AS date_start FROM parents ORDER BY parents.date_start DESC NULLS FIRST, event_id LIMIT 100 OFFSET 10"))

@@ -156,6 +156,25 @@ def j4(t):
     return out.select("user_id", F.round("idle_seconds", 3).alias("idle_seconds"), "verdict")
 
 
+@query("j4_reconcile", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type IN ('view', 'click') THEN 'heartbeat' ELSE 'check' END AS kind FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e),
+w AS (SELECT *, max(CASE WHEN kind = 'start' THEN rn END) OVER o AS s_rn, max(CASE WHEN kind = 'start' THEN us END) OVER o AS s_us, max(CASE WHEN kind = 'heartbeat' THEN rn END) OVER o AS h_rn,
+  max(CASE WHEN kind = 'heartbeat' THEN us END) OVER o AS h_us, min(us) OVER o AS first_us FROM n WINDOW o AS (PARTITION BY user_id ORDER BY rn)),
+c AS (SELECT *, CASE WHEN s_rn IS NULL OR h_rn > s_rn THEN h_us END AS beat FROM w WHERE kind = 'check'),
+d AS (SELECT *, us - coalesce(beat, s_us, first_us) AS idle FROM c),
+v AS (SELECT *, CASE WHEN beat IS NOT NULL AND idle < 21600000000 THEN 'healthy' WHEN idle >= 86400000000 THEN 'stalled' ELSE 'recover' END AS state FROM d),
+r AS (SELECT user_id, us, min(event_id) AS event_id FROM v WHERE state = 'recover' GROUP BY 1, 2),
+x AS (SELECT a.user_id, a.us, min(b.us) AS next_us FROM r a JOIN r b ON a.user_id = b.user_id AND b.us >= a.us + 43200000000 GROUP BY 1, 2),
+acts AS (SELECT user_id, min(us) AS us FROM r GROUP BY 1 UNION ALL SELECT x.user_id, x.next_us FROM acts JOIN x ON x.user_id = acts.user_id AND x.us = acts.us)
+SELECT v.user_id, v.event_id, CASE state WHEN 'healthy' THEN state WHEN 'stalled' THEN CASE WHEN row_number() OVER (PARTITION BY v.user_id, s_rn, state ORDER BY v.us, v.event_id) = 1 THEN 'reverted' ELSE 'skipped' END
+  ELSE CASE WHEN acts.us IS NOT NULL AND r.event_id = v.event_id THEN 'requeued' ELSE 'waiting' END END AS verdict
+FROM v LEFT JOIN acts ON acts.user_id = v.user_id AND acts.us = v.us LEFT JOIN r ON r.user_id = v.user_id AND r.us = v.us""")
+def j4_reconcile(t):
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("view", "click"), "heartbeat").otherwise("check")
+    out = metrics.reconcile(t.events.withColumn("kind", kind), ["user_id"], "ts", "kind", "event_id", 21600, 86400, 43200)
+    return out.select("user_id", "event_id", "verdict")
+
+
 def _sql_runs(condition, period, gap=None, source="events", key="user_id % 5"):
     hole = "" if gap is None else f" OR us - pu > {gap * 1000000}"
     return f"""x AS (SELECT {key} AS series, epoch_us(ts) AS us, event_id, {condition} AS good FROM {source}),

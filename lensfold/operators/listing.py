@@ -48,11 +48,13 @@ def leads(
     sessions: DataFrame, log: DataFrame, session: str, sort: Mapping[str, str], sort_by: str = "guest_name",
     direction: str = "asc", number: int = 1, limit: int = 10, verified: str = "verified",
 ) -> DataFrame:
-    """Verified sessions with their download counts; ``sort`` maps the public sort name to a column."""
+    """A page of the verified sessions with their download counts, and how many there are in all (``total``); ``sort``
+    maps the public sort name to a column."""
     known = sessions.where(F.col(verified))
+    total = known.agg(F.count(F.lit(1))).scalar()
     counted = per_key(known, log.where(F.col("action") == "download"), [session], downloads=F.count(F.lit(1)))
     column = sort.get(sort_by, next(iter(sort.values())))
-    return list_sorted(counted, column, session, direction, (clamp(number, 1) - 1) * limit, limit)
+    return list_sorted(counted, column, session, direction, (clamp(number, 1) - 1) * limit, limit).withColumn("total", total)
 
 
 def first_n(df: DataFrame, part: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:

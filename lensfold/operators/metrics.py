@@ -110,11 +110,13 @@ def notifications(alerts: DataFrame, group: Sequence[str], ts: str, repeat: floa
 def daily_budget(points: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, budget: float, days: int = 3) -> DataFrame:
     """Per day: the latest point of each series within ``days``, summed, and whether that is over budget.
 
-    One row per day is the once-a-day rule. A point is offered to every day that may still see it.
+    One row per day is the once-a-day rule. The last point of a series and day is offered to every day that may still see
+    it.
     """
-    day = F.to_date(ts)
-    seen = points.where(F.col(value).isNotNull()).withColumn("day", F.explode(F.sequence(day, F.date_add(day, days - 1))))
-    last = seen.groupBy("day", *series).agg(F.max_by(value, F.struct(ts, tie)).alias("_v"))
+    latest = lambda df, of: df.groupBy("day", *series).agg(F.max_by("_v", of).alias("_v"), F.max(of).alias("_at"))
+    daily = latest(points.where(F.col(value).isNotNull()).withColumns({"day": F.to_date(ts), "_v": F.col(value)}), F.struct(ts, tie))
+    seen = daily.withColumn("day", F.explode(F.sequence("day", F.date_add("day", days - 1))))
+    last = latest(seen, F.col("_at"))
     total = last.groupBy("day").agg(F.sum("_v").alias("total"))
     return total.withColumn("alert", F.col("total") > budget)
 

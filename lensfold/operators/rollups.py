@@ -93,12 +93,15 @@ def storage_breakdown(
 
 
 def child_counts(parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, Column | None]]) -> DataFrame:
-    """Counts of several child tables per parent: one aggregate and one join each, no query per parent."""
-    out = parents
+    """Counts per parent of several child tables and conditions: each table is read, aggregated and joined once."""
+    tables: dict[int, tuple[DataFrame, dict[str, Column]]] = {}
     for name, (child, condition) in children.items():
-        rows = child if condition is None else child.where(condition)
-        out = per_key(out, rows, [key], **{name: F.count(F.lit(1))})
-    return out
+        wanted = F.lit(True) if condition is None else condition
+        tables.setdefault(id(child), (child, {}))[1][name] = F.count_if(wanted)
+    out = parents
+    for child, counts in tables.values():
+        out = per_key(out, child, [key], **counts)
+    return out.select(*parents.columns, *children)
 
 
 def outcome_counts(df: DataFrame, status: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

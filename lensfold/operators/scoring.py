@@ -25,13 +25,21 @@ def score_batches(
     """Unit-norm model output per row, ``batch`` rows per model call.
 
     ``make_model`` is called once per task, so a model is loaded where it is used. A failure of the first model
-    fails the job; a failing batch of the second model gives nulls.
+    fails the job; a failing batch of the second model gives nulls, and so does a second model that can't be loaded.
     """
 
     def scorer(make: Callable[[], Model], optional: bool):
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = make()
+            try:
+                model = make()
+            except Exception:
+                if not optional:
+                    raise
+                model = None
             for rows in batches:
+                if model is None:
+                    yield pd.Series([None] * len(rows))
+                    continue
                 result: list = []
                 for start in range(0, len(rows), batch):
                     part = rows.iloc[start : start + batch]

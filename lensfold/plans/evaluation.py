@@ -66,18 +66,17 @@ def run_metrics(members: DataFrame, hits: DataFrame, part: Sequence[str], passed
 
 def product_kpis(log: DataFrame, sessions: DataFrame, parents: DataFrame, items: DataFrame, month: str) -> DataFrame:
     """Views of a month, owners with items, share of visitors who download, mean matches, share of repeat owners."""
-    figure = lambda df, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("kpi"), "value")
-    in_month = log.where(F.date_format("ts", "yyyy-MM") == month)
+    first = F.lit(f"{month}-01").cast("timestamp")
+    in_month = (F.col("ts") >= first) & (F.col("ts") < F.add_months(first, 1))
     used = parents.join(items.select("event_id").distinct(), "event_id", "left_semi").groupBy("owner_id").agg(F.count(F.lit(1)).alias("_n"))
     downloads = F.when(F.col("action") == "download", F.col("session_id"))
-    out = [
-        figure(in_month, "monthly_views", F.count_if(F.col("action") == "view")),
-        figure(used, "active_owners", F.count(F.lit(1))),
-        figure(log, "download_conversion", F.round(F.countDistinct(downloads) / F.countDistinct("session_id"), 4)),
-        figure(sessions, "mean_matches", F.round(F.avg("matched"), 4)),
-        figure(used, "repeat_rate", F.round(F.count_if(F.col("_n") > 1) / F.count(F.lit(1)), 4)),
-    ]
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    visits = log.agg(
+        F.count_if(in_month & (F.col("action") == "view")).cast("double").alias("monthly_views"),
+        F.round(F.countDistinct(downloads) / F.countDistinct("session_id"), 4).alias("download_conversion"),
+    )
+    owners = used.agg(
+        F.count(F.lit(1)).cast("double").alias("active_owners"), F.round(F.count_if(F.col("_n") > 1) / F.count(F.lit(1)), 4).alias("repeat_rate")
+    )
+    guests = sessions.agg(F.round(F.avg("matched"), 4).alias("mean_matches"))
+    figures = lambda df: df.unpivot([], df.columns, "kpi", "value")
+    return figures(visits).unionByName(figures(owners)).unionByName(figures(guests))
