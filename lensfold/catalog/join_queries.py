@@ -1,5 +1,6 @@
 """Joins, roll-ups, listings, sets and trees."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lensfold.catalog.registry import query
@@ -327,6 +328,16 @@ def h9_rollup(t):
     return subtree_rollup(_tree(t), "folder_id", per, ["photos", "bytes"])
 
 
+@query("g3_order_chains", """WITH o AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n,
+  min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders) SELECT o_orderkey, root, CAST(least(rn, 10) AS INTEGER) AS depth, n - rn + 1 AS below FROM o""")
+def g3_chains(t):
+    """Every order hangs under the customer's order before it: trees far deeper than the depth limit."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    paths = tree(t.raw("orders").select("o_orderkey", before.alias("parent")), "o_orderkey", "parent")
+    below = closure(paths, "o_orderkey").groupBy(F.col("ancestor").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("below"))
+    return paths.join(below, "o_orderkey").select("o_orderkey", "root", "depth", "below")
+
+
 @query("h9_rejected_moves", with_roles("folders", body=TREE + """, m AS (SELECT folder_id, (folder_id * 4 + 1) % (SELECT count(*) FROM folders) AS target FROM folders)
 SELECT m.folder_id, m.target FROM m JOIN up ON up.folder_id = m.target AND up.anc = m.folder_id""", recursive=True))
 def h9_moves(t):

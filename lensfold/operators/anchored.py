@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensfold.operators.sliced import SLICE, last_known, micros, running_sum, time_slice
-from lensfold.session import cut_lineage
+from lensfold.operators.sliced import SLICE, last_known, micros, range_slice, running_sum, time_slice
 
 
 HEAVY = 100_000  # rows of a key above which it is sliced
@@ -125,8 +124,8 @@ def throttle(log: DataFrame, key: Sequence[str], ts: str, tie: str, ttl: float,
     """Log with ``place`` inside its anchored window and ``allowed``: only the first ``most`` of a window pass."""
     on = list(key)
     flags = anchors(log, key, ts, ttl, **kw).select(*on, "_us", "opens")
-    rows = time_slice(log.withColumn("_us", micros(ts)), ts, 64 * ttl).join(flags, [*on, "_us"])
-    rows = cut_lineage(running_sum(rows, on, ["_us", tie], F.lit(1).cast("bigint"), "_ix"))
+    rows = range_slice(log.withColumn("_us", micros(ts)).join(flags, [*on, "_us"]), on, ["_us", tie])
+    rows = running_sum(rows, on, ["_us", tie], F.lit(1).cast("bigint"), "_ix")
     heads = rows.where("opens").groupBy(*on, "_us").agg(F.min("_ix").alias("_head"))
     rows = rows.join(heads, [*on, "_us"], "left")
     rows = last_known(rows, on, ["_us", tie], F.when(F.col("_ix") == F.col("_head"), F.col("_ix")), "_start")

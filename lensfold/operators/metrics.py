@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lensfold.operators.anchored import debounce as debounced
 from lensfold.operators.anchored import finite_machine
 from lensfold.operators.runs import sustained
-from lensfold.operators.sliced import last_known, micros, previous_value, range_slice, running_sum, sliding_count, time_slice, trailing
+from lensfold.operators.sliced import last_known, micros, previous_value, range_slice, running_sum, sliding_count, trailing
 from lensfold.session import cut_lineage
 
 # Quota bands in percent, and how far usage must fall before a band can alert again.
@@ -24,12 +24,12 @@ def bucket(ts: str, seconds: int) -> Column:
     return (F.floor(micros(ts) / F.lit(seconds * 1_000_000)) * seconds).cast("bigint")
 
 
-def counter_rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, window: int, slice_seconds: float = 86400) -> DataFrame:
+def counter_rate(samples: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, window: int, slices: int | None = None) -> DataFrame:
     """Increase per second of a counter per series and window; a drop means the counter was reset to zero.
 
     Plain rate between samples: nothing is extrapolated to the edges of the window.
     """
-    rows = time_slice(samples.select(*series, ts, tie, value), ts, slice_seconds).withColumn("_now", F.struct(F.col(ts), F.col(value)))
+    rows = range_slice(samples.select(*series, ts, tie, value), series, [ts, tie], slices).withColumn("_now", F.struct(F.col(ts), F.col(value)))
     rows = previous_value(rows, series, [ts, tie], "_now", "_before").where(F.col("_before").isNotNull())
     old = F.col("_before").getField(value)
     grown = F.when(F.col(value) < old, F.col(value)).otherwise(F.col(value) - old)
@@ -129,7 +129,7 @@ def latest_progress(updates: DataFrame, job: Sequence[str], ts: str, tie: str, d
     return out.where(micros(now) - micros("_last") < int(expiry * 1_000_000)).drop("_last")
 
 
-def attempts(log: DataFrame, key: Sequence[str], ts: str, tie: str, success: str, ttl: float, most: int, slice_seconds: float = 86400) -> DataFrame:
+def attempts(log: DataFrame, key: Sequence[str], ts: str, tie: str, success: str, ttl: float, most: int, slices: int | None = None) -> DataFrame:
     """Log with ``attempt`` (number since the last reset) and ``blocked``.
 
     Every attempt renews the time to live; a silence of ``ttl`` or an accepted success resets the count. A success
@@ -137,7 +137,7 @@ def attempts(log: DataFrame, key: Sequence[str], ts: str, tie: str, success: str
     are blocked.
     """
     on, order = list(key), [ts, tie]
-    rows = time_slice(log, ts, slice_seconds).withColumn("_now", F.struct(F.col(ts), F.col(success)))
+    rows = range_slice(log, on, order, slices).withColumn("_now", F.struct(F.col(ts), F.col(success)))
     rows = previous_value(rows, on, order, "_now", "_before")
     silent = F.col("_before").isNull() | (micros(ts) - micros(F.col("_before").getField(ts)) >= int(ttl * 1_000_000))
     rows = rows.withColumn("_silent", silent).withColumn("_reset", silent | F.col("_before").getField(success))

@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.operators.sliced import SLICE, last_known, micros, previous_value, time_slice
+from lensfold.operators.sliced import SLICE, last_known, micros, previous_value, range_slice
 
 
 def runs(
     samples: DataFrame, key: Sequence[str], ts: str, tie: str, condition: Column, period: float,
-    max_gap: float | None = None, slice_seconds: float = 6 * 3600,
+    max_gap: float | None = None, slices: int | None = None,
 ) -> DataFrame:
     """One row per unbroken run of ``condition``: start, end, samples, and when it had lasted ``period`` (or null).
 
     A false sample breaks a run, and so does a hole longer than ``max_gap`` (no data counts as fine).
     """
-    rows = time_slice(samples.select(*key, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), condition.alias("_on")), "_ts", slice_seconds)
+    rows = samples.select(*key, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), condition.alias("_on"))
+    rows = range_slice(rows, key, ["_ts", "_tie"], slices)
     rows = rows.withColumn("_on", F.coalesce("_on", F.lit(False))).withColumn("_at", F.struct("_ts", "_on"))
     rows = previous_value(rows, key, ["_ts", "_tie"], "_at", "_before")
     fresh = F.col("_before").isNull() | ~F.col("_before._on")

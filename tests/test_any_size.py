@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lensfold import session
-from lensfold.operators import boxes, centroids, similarity
+from lensfold.operators import boxes, centroids, metrics, similarity, sliced
 from lensfold.operators.linkage import average_linkage
 from lensfold.operators.tree import closure, rejected_creates, rejected_moves, tree
 
@@ -124,3 +124,20 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session())
+
+
+def test_sliced_operators_read_their_input_twice_at_most(spark, tmp_path):
+    """Once for the range boundaries, once for the rows; everything after runs on the written slices."""
+    path = str(tmp_path / "log")
+    spark.range(500).selectExpr("id % 3 as key", "timestamp_seconds(1700000000 + id * 60) as ts", "id", "id % 5 = 0 as ok").write.parquet(path)
+    log = spark.read.parquet(path)
+    plan = metrics.attempts(log, ["key"], "ts", "id", "ok", 300, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # both scans ran before, eagerly
+
+
+def test_a_burst_is_split(spark):
+    """All rows of a key within one second still fall into several slices."""
+    rows = spark.range(4000).selectExpr("0 as key", "timestamp_micros(1700000000000000 + id * 100) as ts", "id", "id % 7 = 0 as ok").repartition(4)
+    sliced_rows = sliced.range_slice(rows, ["key"], ["ts", "id"], 6)
+    sizes = [r["count"] for r in sliced_rows.groupBy(sliced.SLICE).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2000

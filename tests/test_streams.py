@@ -82,7 +82,7 @@ def test_throttle_and_debounce(spark, log):
 
 def test_attempts(spark, log):
     got = _drain(stateful.attempts_stream(_stream(spark, log), ["key"], "ts", "ok", 1800, 3), "attempted")
-    twin = metrics.attempts(_batch(spark, log), ["key"], "ts", "id", "ok", 1800, 3, slice_seconds=3600)
+    twin = metrics.attempts(_batch(spark, log), ["key"], "ts", "id", "ok", 1800, 3, slices=7)
     assert _set(got, "key", "us", "attempt", "blocked") == _set(twin, "key", US(), "attempt", "blocked")
     assert got.where("blocked").count() > 0
 
@@ -92,7 +92,7 @@ def test_runs(spark, log, gap):
     high = F.col("value") > 25
     stream = stateful.runs_stream(_stream(spark, log).withColumn("on", high), ["key"], "ts", "on", 900, gap)
     got = _set(_drain(stream, f"runs_{gap}"), "key", "started_us", "fired_us")
-    twin = runs.runs(_batch(spark, log), ["key"], "ts", "id", high, 900, gap, slice_seconds=1800).where("fired_at is not null")
+    twin = runs.runs(_batch(spark, log), ["key"], "ts", "id", high, 900, gap, slices=7).where("fired_at is not null")
     assert got == _set(twin, "key", F.unix_micros("started"), F.unix_micros("fired_at")) and got
 
 
