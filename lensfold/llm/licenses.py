@@ -7,8 +7,8 @@ anchor words are so many that the others alone stay below the threshold, so a li
 A file's own licence is the best template of its lines. A file without one inherits what the licence file of the nearest
 directory above it says. Only DataFrame functions are used.
 
-Null texts count as empty. Ties go to the smaller licence name. A null path has no directory and inherits nothing. Rows that
-repeat an id count as files of their own, with the same licence if their texts are equal. An empty table gives no rows.
+Null texts count as empty. Ties go to the smaller licence name. A null path has no directory and inherits nothing. Rows with
+equal keys are one file, with the notices of all of them. An empty table gives no rows.
 """
 
 from __future__ import annotations

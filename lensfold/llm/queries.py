@@ -125,17 +125,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(rows, quality.sites(rows), "host", "path", "evidence")
 
 
-@query("op7_licenses")
+def licence_sql(templates: licenses.Templates) -> str:
+    """The same scan without anchors: every line is scored."""
+    idf = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in templates.idf.items())
+    vectors = ", ".join(f"({i}, '{licence}', '{w}', {x!r}::DOUBLE)" for i, licence, w, x in templates.vectors)
+    return f"""
+    WITH idf(word, idf) AS (VALUES {idf}), vec(template, licence, word, weight) AS (VALUES {vectors}),
+    f AS (SELECT doc_id, nullif(concat_ws('/', source, lang), '') AS directory, coalesce(text, '') AS text FROM documents),
+    tl AS (SELECT DISTINCT text, unnest(string_split(lower(text), chr(10))) AS line FROM (SELECT DISTINCT text FROM f)),
+    w AS (SELECT line, unnest(regexp_split_to_array(line, '[^\\p{{L}}\\p{{N}}]+')) AS word FROM (SELECT DISTINCT line FROM tl)),
+    c AS (SELECT line, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+    x AS (SELECT line, word, n * coalesce(idf, {templates.unseen!r}::DOUBLE) AS wt FROM c LEFT JOIN idf USING (word)),
+    norms AS (SELECT line, sqrt(sum(wt * wt)) AS norm FROM x GROUP BY 1),
+    s AS (SELECT line, licence, round(sum(wt * weight) / any_value(norm), 6) AS score FROM x JOIN vec USING (word) JOIN norms USING (line) GROUP BY line, template, licence),
+    own AS (SELECT text, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM tl JOIN s USING (line) WHERE score >= {licenses.THRESHOLD} GROUP BY 1),
+    files AS (SELECT doc_id, directory, licence, score FROM f LEFT JOIN own USING (text)),
+    anc AS (SELECT directory, i, array_to_string(string_split(directory, '/')[1:i], '/') AS a
+        FROM (SELECT DISTINCT directory, unnest(range(1, len(string_split(directory, '/')) + 1)) AS i FROM f WHERE directory IS NOT NULL)),
+    declared AS (SELECT a, arg_min(licence, doc_id) AS licence FROM files JOIN anc USING (directory) WHERE licence IS NOT NULL GROUP BY 1),
+    passed AS (SELECT anc.directory, arg_max(licence, i) AS passed, arg_max(anc.a, i) AS place FROM anc JOIN declared USING (a) GROUP BY 1)
+    SELECT doc_id, directory, licence AS own_licence, score, coalesce(licence, passed) AS licence, CASE WHEN licence IS NULL THEN place END AS inherited_from
+    FROM files LEFT JOIN passed USING (directory)
+    """
+
+
+@query("op7_licenses", sql=licence_sql(licenses.Templates()))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no file names: they lie in ``source/lang``, and the licence file of a directory is its first document
     (by doc_id, also in directories below) that has a notice."""
-    docs = table(spark, sf_dir, "documents")
-    own = written(licenses.notices(docs, "doc_id", "text", licenses.Templates()), "licence-own")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("directory"))
-    files = written(files.join(own, "doc_id", "left"), "licence-files")
-    with_notice = files.where("licence is not null").select("doc_id", "licence", F.explode(licenses.ancestors(F.col("directory"))).alias("directory"))
+    text = text_or_empty()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+    own = written(licenses.notices(docs, "digest", "text", licenses.Templates()), "licence-own")
+    files = docs.select("doc_id", "digest", F.nullif(F.concat_ws("/", "source", "lang"), F.lit("")).alias("directory"))
+    files = written(files.join(own, "digest", "left").drop("digest"), "licence-files")
+    with_notice = files.where("licence is not null and doc_id is not null").select("doc_id", "licence", F.explode(licenses.ancestors(F.col("directory"))).alias("directory"))
     declared = with_notice.groupBy("directory").agg(F.min(F.struct("doc_id", "licence")).alias("f")).select("directory", F.col("f.licence").alias("licence"))
-    passed = licenses.inherited(files.select("directory"), declared).select("directory", F.col("licence").alias("passed"), "inherited_from")
+    passed = written(licenses.inherited(files.select("directory"), declared), "licence-passed").select("directory", F.col("licence").alias("passed"), "inherited_from")
     has = F.col("licence").isNotNull()
     return files.join(passed, "directory", "left").select(
         "doc_id", "directory", F.col("licence").alias("own_licence"), "score", F.coalesce("licence", "passed").alias("licence"),
