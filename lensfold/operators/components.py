@@ -4,42 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lensfold.operators import similarity as S
 from lensfold.session import cut_lineage
 
 
-def components(nodes: DataFrame, edges: DataFrame, ident: str, part: Sequence[str]) -> DataFrame:
+#: Edges that are finished in one task for each part.
+SMALL = 10_000
+
+
+def _smallest(edges: pa.Table, part: Sequence[str], kind: pa.DataType) -> pa.Table:
+    """(part, _v, _to) of a small graph's vertices: each points at the smallest vertex it is connected with."""
+    top: dict = {}
+
+    def find(v):
+        while top.setdefault(v, v) != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    for a, b in zip(edges["src"].to_pylist(), edges["dst"].to_pylist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            top[max(a, b)] = min(a, b)
+    heads = [find(v) for v in list(top)]
+    keys = {p: pa.repeat(edges[p][0], len(top)) for p in part}
+    return pa.table(keys | {"_v": pa.array(top, kind), "_to": pa.array(heads, kind)})
+
+
+def _finished(graph: DataFrame, on: list[str]) -> DataFrame:
+    kind = graph.schema["src"].dataType
+    out = T.StructType([*[graph.schema[p] for p in on], T.StructField("_v", kind), T.StructField("_to", kind)])
+    arrow = to_arrow_schema(out).field("_v").type
+    return graph.groupBy(*on).applyInArrow(lambda edges: _smallest(edges, on, arrow), out)
+
+
+def components(nodes: DataFrame, edges: DataFrame, ident: str, part: Sequence[str], small: int = SMALL) -> DataFrame:
     """(part, id, comp): comp is the smallest id of the component. ``edges`` has (part, src, dst).
 
     Each round hooks every vertex of the remaining graph to its smallest neighbour, halves the chains twice, and
     contracts the graph. The graph that is left shrinks by a constant factor per round, so rounds are
-    logarithmic; every round is written to reliable storage, since lineage would otherwise double.
+    logarithmic; every round is written to reliable storage, since lineage would otherwise double. Once no more
+    than ``small`` edges are left, each part is finished in one task; the result is the same.
     """
     on = list(part)
     out = nodes.select(*on, F.col(ident), F.col(ident).alias("comp"))
     graph = cut_lineage(edges.where("src <> dst").select(*on, "src", "dst").distinct())
-    while not graph.isEmpty():
-        both = graph.unionByName(graph.select(*on, F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hook = both.groupBy(*on, "src").agg(F.min("dst").alias("_m"))
-        hook = hook.select(*on, F.col("src").alias("_v"), F.least("src", "_m").alias("_to"))
-        for _ in range(2):
-            jump = hook.select(*on, F.col("_v").alias("_to"), F.col("_to").alias("_next"))
-            hook = hook.join(jump, [*on, "_to"], "left").select(*on, "_v", F.coalesce("_next", "_to").alias("_to"))
-        hook = cut_lineage(hook)
-        as_src = hook.select(*on, F.col("_v").alias("src"), F.col("_to").alias("_a"))
-        as_dst = hook.select(*on, F.col("_v").alias("dst"), F.col("_to").alias("_b"))
-        graph = cut_lineage(
-            graph.join(as_src, [*on, "src"]).join(as_dst, [*on, "dst"]).where("_a <> _b")
-            .select(*on, F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct()
-        )
+    while left := graph.count():
+        if left <= small:
+            hook, graph = cut_lineage(_finished(graph, on)), graph.limit(0)
+        else:
+            hook, graph = _contracted(graph, on)
         moved = hook.select(*on, F.col("_v").alias("comp"), "_to")
         out = out.join(moved, [*on, "comp"], "left").select(*on, ident, F.coalesce("_to", "comp").alias("comp"))
     return out
 
 
+def _contracted(graph: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Where each vertex goes, and the edges between different goals."""
+    both = graph.unionByName(graph.select(*on, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    hook = both.groupBy(*on, "src").agg(F.min("dst").alias("_m"))
+    hook = hook.select(*on, F.col("src").alias("_v"), F.least("src", "_m").alias("_to"))
+    for _ in range(2):
+        jump = hook.select(*on, F.col("_v").alias("_to"), F.col("_to").alias("_next"))
+        hook = hook.join(jump, [*on, "_to"], "left").select(*on, "_v", F.coalesce("_next", "_to").alias("_to"))
+    hook = cut_lineage(hook)
+    as_src = hook.select(*on, F.col("_v").alias("src"), F.col("_to").alias("_a"))
+    as_dst = hook.select(*on, F.col("_v").alias("dst"), F.col("_to").alias("_b"))
+    rest = graph.join(as_src, [*on, "src"]).join(as_dst, [*on, "dst"]).where("_a <> _b")
+    return hook, cut_lineage(rest.select(*on, F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct())
+
+
 def _fingerprint(vec: str):
     """128 bits that stand for a vector when exact copies are collapsed."""
     return F.struct(F.xxhash64(vec).alias("a"), F.xxhash64(F.reverse(vec)).alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lensfold import session
 from lensfold.operators import boxes, centroids, metrics, similarity, sliced
+from lensfold.operators.components import components
 from lensfold.operators.linkage import average_linkage
 from lensfold.operators.tree import closure, rejected_creates, rejected_moves, tree
 
@@ -141,3 +142,16 @@ def test_a_burst_is_split(spark):
     sliced_rows = sliced.range_slice(rows, ["key"], ["ts", "id"], 6)
     sizes = [r["count"] for r in sliced_rows.groupBy(sliced.SLICE).count().collect()]
     assert len(sizes) == 6 and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("small", [0, 5, 10_000])
+def test_components_in_rounds_and_in_one_task(spark, small):
+    rng = random.Random(small)
+    edges = [(i % 2, f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for i in range(110)]
+    nodes = sorted({(p, v) for p, a, b in edges for v in (a, b)} | {(0, "alone")})
+    label = {n: n[1] for n in nodes}
+    for _ in nodes:
+        for p, a, b in edges:
+            label[p, a] = label[p, b] = min(label[p, a], label[p, b])
+    found = components(spark.createDataFrame(nodes, "part int, id string"), spark.createDataFrame(edges, "part int, src string, dst string"), "id", ["part"], small)
+    assert {(r.part, r.id): r.comp for r in found.collect()} == label
