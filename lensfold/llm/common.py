@@ -14,6 +14,9 @@ from lensfold.session import checkpoint_root
 #: Rows that Arrow hands to Python at once. Documents can be long; the session's default of 10,000 would hold too many.
 ARROW_ROWS = 1000
 
+#: Rows of a few dozen bytes that are sent to every executor rather than shuffling texts to them.
+MOST_BROADCAST_ROWS = 300_000
+
 #: White space inside a text, as in the size of a document.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A written table of rows of fixed width, marked for broadcast where it has at most ``most`` of them. Beyond that Spark
+    shuffles both sides as usual; the result is the same."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}

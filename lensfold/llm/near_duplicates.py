@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import own_name, partitions, text_or_empty, utf8_bytes, written
+from lensfold.llm.common import few, own_name, partitions, text_or_empty, utf8_bytes, written
 from lensfold.operators.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -216,14 +216,15 @@ def verified(groups: DataFrame, sets: DataFrame, words: int, threshold: float) -
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_digest, label, links) for each row: rows with equal ``label`` are one class (null: alone), ``links``
-    counts the other texts at the threshold or above."""
+    """(doc_id, text_digest, label, class_id, links) for each row: rows with equal ``label`` are one class (null: alone),
+    ``class_id`` is its smallest doc_id, ``links`` counts the other texts at the threshold or above."""
     rows = written(signed(docs, key, text, words, threshold), "near-signed")
     each = rows.where("node is not null").groupBy("node", "text_digest").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
     nodes = written(each.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.first("keys").alias("keys"), F.min_by(F.struct("doc_id", "text_digest"), F.struct("doc_id", "text_digest")).alias("shown")), "near-nodes")
     groups = written(candidate_groups(nodes.select("node", "keys")), "near-groups")
 
     shown = groups.join(nodes, "node").select("node", "texts", F.col("shown.doc_id").alias("s_id"), F.col("shown.text_digest").alias("s_digest"))
+    shown = few(written(shown, "near-shown"))
     body = docs.select(F.col(key).cast("long").alias("t_id"), text_or_empty(text).alias("text"))
     body = body.join(shown, body["t_id"].eqNullSafe(shown["s_id"]) & (text_digest(F.col("text")) == shown["s_digest"])).select("node", "texts", "text").dropDuplicates(["node"])
     found = written(verified(groups, body, words, threshold), "near-links")
@@ -231,19 +232,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     edges = found.where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
     comps = components(found.select("node").distinct(), edges, "node", [])
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "texts").join(comps, "node", "left").join(links, "node", "left").select(
-        "node", F.coalesce("comp", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links")
+    known = nodes.select("node", "texts", F.col("shown.doc_id").alias("first_id")).join(comps, "node", "left").join(links, "node", "left").select(
+        "node", "first_id", F.coalesce("comp", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links")
     )
     known = written(known, "near-classes")
+    # Written apart, so that the joins read plain tables and Spark can split a large class or a large group of copies.
+    named = written(known.groupBy("label").agg(F.min("first_id").alias("class_id")), "near-names")
+    known = written(known.join(named, "label").select("node", "label", "class_id", "links"), "near-known")
     return rows.select("doc_id", "text_digest", "node").join(known, "node", "left").select(
-        "doc_id", "text_digest", "label", F.coalesce("links", F.lit(0)).alias("links")
+        "doc_id", "text_digest", "label", "class_id", F.coalesce("links", F.lit(0)).alias("links")
     )
 
 
 def class_ids(found: DataFrame) -> DataFrame:
     """(doc_id, class_id, links): the class is named after its smallest doc_id."""
-    smallest = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return found.join(smallest, "label", "left").select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "links")
+    return found.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "links")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,7 +258,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: st
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_digest") == F.col("k_digest"))
     gone = named.select("doc_id", "text_digest").distinct().join(kept, same, "left_anti")
     digest, gone_id, gone_digest = (own_name(docs, c) for c in ("near_digest", "near_id", "near_gone"))
-    gone = written(gone.select(F.col("doc_id").alias(gone_id), F.col("text_digest").alias(gone_digest)), "near-gone")
+    gone = few(written(gone.select(F.col("doc_id").alias(gone_id), F.col("text_digest").alias(gone_digest)), "near-gone"))
     marked = docs.withColumn(digest, text_digest(text_or_empty(text)))
     left = marked.join(gone, docs[key].cast("long").eqNullSafe(gone[gone_id]) & (marked[digest] == gone[gone_digest]), "left_anti")
     repeated = found.where("label is not null").groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
