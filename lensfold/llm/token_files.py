@@ -12,9 +12,11 @@ an id come first. An empty table gives no rows. Columns other than id and text a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,11 @@ LAYOUT = {
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose matches never hold white space: known words are looked up, new ones go to the
-    library together. Ids are little-endian unsigned 32-bit integers."""
+    """Ids of texts by a tokenizer that lowers case and whose matches never hold white space: known words are looked up, new
+    ones go to the library together. Marks at the end of a word are a match of their own where a plain letter or digit
+    stands before them, and are looked up apart. Ids are little-endian unsigned 32-bit integers."""
+
+    MARKED = re.compile(rb"(.*(?:[0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:#$%&*|]+)", re.DOTALL)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,25 +58,37 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def known(self, word: bytes) -> bytes | None:
+        if (ids := self.young.get(word)) is None and (ids := self.old.get(word)) is not None:
+            self.young[word] = ids
+        return ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        known = self.young
-        here = {}
-        new = []
-        for w in wanted:
-            if (ids := known.get(w)) is None:
-                if (ids := self.old.get(w)) is None:
-                    new.append(w)
-                    continue
-                known[w] = ids
-            here[w] = ids
+        split = [t.lower().split() for t in texts]
+        here, marked, new = {}, [], set()
+        for w in set().union(*split):
+            if (ids := self.known(w)) is not None:
+                here[w] = ids
+            elif m := self.MARKED.fullmatch(w):
+                marked.append((w, *m.groups()))
+            else:
+                new.add(w)
+        for _, *parts in marked:
+            for p in parts:
+                if p not in here and p not in new:
+                    if (ids := self.known(p)) is None:
+                        new.add(p)
+                    else:
+                        here[p] = ids
+        new = list(new)
         for w, x in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            here[w] = ids = np.array(x.ids, "<u4").tobytes()
+            here[w] = ids = pack(f"<{len(x.ids)}I", *x.ids)
             if len(w) <= LONG_WORD:
-                known[w] = ids
-        if len(known) > REMEMBERED:
-            self.old, self.young = known, {}
+                self.young[w] = ids
+        for w, word, marks in marked:
+            here[w] = here[word] + here[marks]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
         get = here.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

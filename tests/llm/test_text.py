@@ -96,7 +96,7 @@ def test_words_equal_library():
     library = Tokenizer.from_file(WORDS)
     library.encode_special_tokens = True
     rng, own = random.Random(3), token_files.WordEncoder(WORDS)
-    parts = ["A", "b", "The", " ", "  ", "\n", "\xa0", "'s", "'S", "é", "é", "́", "日本", "1", "23", "!", "?!", "\x1c", "\r\n", "İ", "ΣΑΣ", "\x85", "<|endoftext|>", "\U0001f600", "\x0b"]
+    parts = ["a.", "B,,", "é!", "ñ$$$", "÷!", "×.", "don't,", "x)#", "word###", "A", "b", "The", " ", "  ", "\n", "\xa0", "'s", "'S", "é", "é", "́", "日本", "1", "23", "!", "?!", "\x1c", "\r\n", "İ", "ΣΑΣ", "\x85", "<|endoftext|>", "\U0001f600", "\x0b"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 20))) for _ in range(5000)]
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
