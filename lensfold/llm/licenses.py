@@ -46,8 +46,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Words that stand in all kinds of text: last choice as anchors.
-COMMON = {"a", "all", "and", "by", "for", "form", "free", "general", "in", "into", "is", "of", "source", "sa", "subject", "terms", "the", "this", "to", "under", "use", "v", "version", "work", "0", "1", "2", "3", "4"}
+#: Words that stand in all kinds of text, also in other languages: last choice as anchors.
+COMMON = {"a", "all", "and", "by", "for", "form", "free", "general", "in", "into", "is", "mit", "of", "source", "sa", "subject", "terms", "the", "this", "to", "under", "use", "v", "version", "work", "0", "1", "2", "3", "4"}
 WORD_ENDS = r"[^\p{L}\p{N}]+"
 
 
