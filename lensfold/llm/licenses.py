@@ -4,7 +4,12 @@ A line is compared with each template as a vector of its words' counts times the
 words that no template has weigh most. Lines that could reach the threshold are found first: for each template, its
 anchor words are so many that the others alone stay below the threshold, so a line without any anchor can't reach it.
 
-A file's own licence is the best template of its lines. A file without one inherits what the licence file of the nearest
+Headers are found in windows as well: neighbouring lines and sentences of any text that names a licence, compared with the usual
+variants and SPDX ids of each licence; and texts as a whole are compared with licence texts. There words that no template has,
+such as names and years, weigh little, and repeated words count by their logarithm. Windows hold at most ``LINES`` lines or
+``SENTENCES`` sentences, which may be of any length, or what stands between blank lines.
+
+A file that is a licence text has its licence; else the best template of its lines and windows decides, equal ones by name. A file without one inherits what the licence file of the nearest
 directory above it says. Only DataFrame functions are used.
 
 Null texts count as empty. Ties go to the smaller licence name. A null path has no directory and inherits nothing. Rows with
@@ -16,10 +21,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensfold.llm import licence_notices
 from lensfold.llm.common import text_or_empty, written
 
 THRESHOLD = 0.8
@@ -50,6 +57,22 @@ TEMPLATES = (
 COMMON = {"a", "all", "and", "by", "for", "form", "free", "general", "in", "into", "is", "mit", "of", "source", "sa", "subject", "terms", "the", "this", "to", "under", "use", "v", "version", "work", "0", "1", "2", "3", "4"}
 WORD_ENDS = r"[^\p{L}\p{N}]+"
 
+#: Weight of unseen words beside a header or in a licence text, as a part of the rarest word's; neighbours in a window.
+DAMP, LINES, SENTENCES = 0.2, 6, 3
+#: Words that headers and licence texts are compared without.
+STOP = {"a", "an", "and", "as", "at", "be", "by", "can", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "v", "version", "with", "you", "your"}
+#: Spellings made alike, in lower case; written so that Python and Java read them alike.
+NORMAL = (
+    (r"licence", "license"),
+    (r"gplv([0-9])", "gpl $1"),
+    (r"\bv([0-9])", "$1"),
+    (r"\bmit(\W+licens)", "mitlicense$1"),
+    (r"\b(under|the|an|licensed?|identifier)(\W{1,4})mit\b", "$1$2mitlicense"),
+)
+#: What a header or a licence text holds somewhere; and what one of its lines or sentences holds.
+NAMING = r"licen[sc]|copyright|spdx|gpl|cc0|cc[ -]by|rights\W+reserved|public\W+domain|permission\W+is|neither\W+the\W+name|creative\W+commons|attribution\W|redistribut|under\W+(?:the\W+)?(?:mit|isc|apache|bsd|mpl|zlib)\b"
+NEAR = r"licen[sc]|copyright|spdx|gpl|cc0|cc[ -]by|reserved|domain|permission|neither|commons|attribution|redistribut|\b(?:mit|isc|apache|bsd|mpl|zlib)\b"
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
@@ -82,12 +105,10 @@ class Templates:
         return sorted(chosen)
 
 
-def notices(files: DataFrame, key: str, text: str, templates: Templates, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, licence, score): the best licence of each file that has a notice. Equal lines are scored once."""
-    spark = files.sparkSession
-    anchor = r"(?<![\p{L}\p{N}])(?:" + "|".join(templates.anchors(threshold)) + r")(?![\p{L}\p{N}])"
-    low = F.lower(text_or_empty(text))
-    lines = files.select(F.col(key).alias("file"), low.alias("low")).where(F.col("low").rlike(anchor))
+def line_notices(rows: DataFrame, anchor: str, templates: Templates, threshold: float) -> DataFrame:
+    """(file, licence, score): the best licence of the single lines of each of ``rows`` (file, low). Equal lines are scored once."""
+    spark = rows.sparkSession
+    lines = rows.where(F.col("low").rlike(anchor))
     lines = lines.select("file", F.explode(F.array_distinct(F.split("low", "\n"))).alias("line")).where(F.col("line").rlike(anchor))
     lines = written(lines, "licence-lines")
 
@@ -103,10 +124,132 @@ def notices(files: DataFrame, key: str, text: str, templates: Templates, thresho
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
     by_line = scores.groupBy("line").agg(best).select("line", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"))
     return lines.join(by_line, "line").groupBy("file").agg(best).select(
-        F.col("file").alias(key), F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")
+        "file", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")
     )
 
 
+class Damped(Templates):
+    """Templates of words as ``normal`` gives them: repeated words count by their logarithm, words in ``STOP`` not at all,
+    and words that no template has, such as names and years, little. Where ``names`` is given, other words than these weigh no
+    more than unseen ones."""
+
+    def __init__(self, templates, damp: float, names: set[str] | None = None):
+        counts = [{w: 1 + math.log(n) for w, n in Counter(words_of(normal_text(text))).items() if w not in STOP} for _, text in templates]
+        # Variants that come to the same words are one.
+        templates = sorted({(licence, tuple(sorted(c.items()))) for (licence, _), c in zip(templates, counts)})
+        seen = Counter(w for _, c in templates for w, _ in c)
+        rarity = lambda df: math.log((1 + len(templates)) / (1 + df)) + 1
+        self.unseen = damp * rarity(0)
+        most = lambda w: math.inf if names is None or w in names else self.unseen
+        self.idf = {w: min(rarity(df), most(w)) for w, df in sorted(seen.items())}
+        self.vectors = []
+        for i, (licence, c) in enumerate(templates):
+            norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c))
+            self.vectors += [(i, licence, w, n * self.idf[w] / norm) for w, n in c]
+
+    def anchored(self, threshold: float) -> list[tuple[int, str]]:
+        """(template, word): a text must hold one of a template's words here to reach the threshold with it."""
+        out = []
+        for i in {v[0] for v in self.vectors}:
+            rest = 1.0
+            for _, _, word, weight in sorted((v for v in self.vectors if v[0] == i), key=lambda v: (-self.idf[v[2]], v[2])):
+                if rest < threshold**2 - 1e-9:
+                    break
+                out.append((i, word))
+                rest -= weight**2
+        return out
+
+
+@lru_cache(maxsize=1)
+def headers() -> Damped:
+    return Damped(licence_notices.HEADERS, DAMP, set(words_of(normal_text(licence_notices.NAMING_WORDS))))
+
+
+@lru_cache(maxsize=1)
+def whole_texts() -> Damped:
+    return Damped(licence_notices.texts(), DAMP)
+
+
+def normal_text(text: str) -> str:
+    """Lower case; one spelling; MIT is a word of its own where it can't be the German one."""
+    text = text.lower()
+    for pattern, to in NORMAL:
+        text = re.sub(pattern, to.replace("$", "\\"), text)
+    return text
+
+
+def normal(text: Column) -> Column:
+    """``normal_text`` of a text in lower case."""
+    for pattern, to in NORMAL:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def runs(parts: Column, longest: int) -> Column:
+    """All runs of up to so many neighbours that name a licence, joined."""
+    cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i)), lambda n: F.array_join(F.slice(parts, i + 1, n), " "))
+    # A long text has few starts with a naming part in reach; the others are not cut.
+    near = lambda i: F.exists(F.slice(parts, i + 1, F.lit(longest)), lambda x: x.rlike(NEAR))
+    starts = F.filter(F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), near)
+    return F.filter(F.flatten(F.transform(starts, cut)), lambda w: w.rlike(NAMING))
+
+
+def windows(low: Column) -> Column:
+    """Where a notice may stand: neighbouring lines, neighbouring sentences across line ends, pieces between blank lines."""
+    lines = F.filter(F.split(low, r"\R"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    flat = F.regexp_replace(low, r"\R[^\p{L}\p{N}\n]*", " ")
+    sentences = F.filter(F.split(flat, r"(?<=[.;:!?])\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    blocks = F.filter(F.split(low, r"\R[^\p{L}\p{N}\n]*\R"), lambda x: x.rlike(NAMING))
+    return F.array_distinct(F.concat(runs(lines, LINES), runs(sentences, SENTENCES), blocks))
+
+
+def damped_scores(pieces: DataFrame, templates: Damped, threshold: float) -> DataFrame:
+    """(piece, score, licence) of those ``pieces`` (unique piece, low) that reach the threshold; the best template's licence."""
+    spark = pieces.sparkSession
+    # These tables have a row for each word of the templates, however many files there are.
+    idf = F.broadcast(spark.createDataFrame(list(templates.idf.items()), "word string, idf double"))
+    vectors = F.broadcast(spark.createDataFrame(templates.vectors, "template int, licence string, word string, weight double"))
+    anchored = templates.anchored(threshold)
+    anchors = F.broadcast(spark.createDataFrame(anchored, "template int, word string"))
+    vocabulary, stop, needed = (F.array(*map(F.lit, sorted(x))) for x in (templates.idf, STOP | {""}, {w for _, w in anchored}))
+
+    words = F.split(normal(F.col("low")), WORD_ENDS)
+    rows = pieces.select("piece", words.alias("words")).where(F.arrays_overlap("words", needed))
+    others = F.size(F.array_except(F.array_except("words", vocabulary), stop))
+    rows = rows.select("piece", others.alias("others"), F.explode("words").alias("word")).join(idf, "word")
+    rows = rows.groupBy("piece", "word").agg(((F.log(F.count(F.lit(1)).cast("double")) + 1) * F.first("idf")).alias("w"), F.first("others").alias("others"))
+    rows = written(rows, "licence-words")
+    norms = rows.groupBy("piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("others") * templates.unseen**2).alias("norm"))
+    could = rows.join(anchors, "word").select("piece", "template").distinct()
+    dots = rows.join(could, "piece").join(vectors, ["template", "word"]).groupBy("piece", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scores = dots.join(norms, "piece").select("piece", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
+    return scores.groupBy("piece").agg(best).select("piece", (-F.col("best.minus")).alias("score"), F.col("best.licence").alias("licence"))
+
+
+def notices(files: DataFrame, key: str, text: str, templates: Templates, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, licence, score): the licence of each file that has a notice. What is a licence text as a whole has that licence;
+    else the best line or window decides. Equal lines, windows and texts are scored once."""
+    anchor = r"(?<![\p{L}\p{N}])(?:" + "|".join(templates.anchors(threshold)) + r")(?![\p{L}\p{N}])"
+    low = F.lower(text_or_empty(text))
+    rows = files.select(F.col(key).alias("file"), low.alias("low"))
+    lines = line_notices(rows, anchor, templates, threshold).select("file", F.lit(1).alias("rank"), "licence", "score")
+
+    named = written(rows.where(F.col("low").rlike(NAMING)), "licence-named")
+    digest = F.unhex(F.md5("low"))
+    found = [lines]
+    for rank, pieces, compared in (
+        (0, named, whole_texts()),
+        (1, named.select("file", F.explode(windows(F.col("low"))).alias("low")), headers()),
+    ):
+        pieces = written(pieces.withColumn("piece", digest), "licence-windows")
+        scores = damped_scores(pieces.dropDuplicates(["piece"]), compared, threshold)
+        found.append(pieces.select("file", "piece").join(scores, "piece").select("file", F.lit(rank).alias("rank"), "licence", "score"))
+    best = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "licence")).alias("best")
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("file").agg(best).select(F.col("file").alias(key), F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"))
+
+
 def ancestors(directory: Column) -> Column:
     """The directory and those above it, nearest first, without the root."""
     parts = F.split(directory, "/")

@@ -1,13 +1,14 @@
 """Mixing, packing, near duplicates, quality, licences, nearest neighbours."""
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lensfold.llm import licenses, mixing, near_duplicates, nearest, packing, quality
+from lensfold.llm import licence_notices, licenses, mixing, near_duplicates, nearest, packing, quality
 from lensfold.llm.common import small_batches
 from tests.llm.frames import awkward, empty, prose, simple
 
@@ -255,6 +256,60 @@ def test_no_line_reaches_the_threshold_without_an_anchor():
             assert sum(w**2 for j, _, word, w in t.vectors if j == i and word not in anchors) ** 0.5 < threshold
 
 
+def wrapped(text, width, mark):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+GPL = "This file is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+WORDINGS = [
+    ("All-rights-reserved", "Copyright (c) 2020 Jane Doe. All rights reserved."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("MIT", "Copyright 2021 The Foo Authors. Licensed under the MIT license, see LICENSE.txt for details."),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+    ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"),
+    ("Apache-2.0", wrapped(APACHE, 38, "# ")),
+    ("Apache-2.0", f"Copyright 2019 Ann Other\n\n{wrapped(APACHE, 72, ' * ')}"),
+    ("GPL-3.0", wrapped(GPL.format("", "3"), 50, "// ")),
+    ("GPL-2.0", wrapped(GPL.format("", "2"), 60, " * ")),
+    ("LGPL-2.1", wrapped(GPL.format("Lesser ", "2.1"), 60, " * ")),
+    ("AGPL-3.0", wrapped(GPL.format("Affero ", "3"), 60, " * ")),
+    ("GPL-3.0", "This project is distributed under the terms of the GPLv3 license."),
+    ("MPL-2.0", wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", 45, "// ")),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", f"{prose(3, 8)} licensed under the\nCreative Commons Attribution-NonCommercial 4.0\nInternational licence. {prose(4, 8)}"),
+    ("ISC", "Released under the terms of the ISC licence"),
+    (None, "the license of poets"),
+    (None, "Sie kam mit der Lizenz, the license was lost."),
+    (None, "Copyright law and the public domain are discussed in the next chapter of this book by many authors."),
+]
+
+
+def test_licence_headers_in_other_wordings(spark):
+    texts = [f"{prose(i, 30)}\n{t}\n{prose(i + 50, 20)}" for i, (_, t) in enumerate(WORDINGS)]
+    found = {r["doc_id"]: r["licence"] for r in licenses.notices(simple(spark, texts), "doc_id", "text", licenses.Templates()).collect()}
+    assert [(found.get(i), t) for i, (_, t) in enumerate(WORDINGS)] == WORDINGS
+
+
+def test_whole_licence_texts(spark):
+    """Also with names, another line width, a title or without the appendix."""
+    known = licence_notices.texts()
+    texts = [t for _, t in known]
+    texts += [f"Foo 1.2\nCopyright 2011-2024 Jane Doe and contributors <jane@example.org>\n\n{wrapped(t, 50, '')}" for t in texts]
+    found = {r["doc_id"]: r["licence"] for r in licenses.notices(simple(spark, texts), "doc_id", "text", licenses.Templates()).collect()}
+    want = [licence for licence, _ in known]
+    assert [found.get(i) for i in range(len(texts))] == want + want
+
+
+def test_no_header_or_text_reaches_the_threshold_without_an_anchor():
+    for t in (licenses.headers(), licenses.whole_texts()):
+        anchors = set(t.anchored(0.8))
+        for i in {v[0] for v in t.vectors}:
+            assert sum(w**2 for j, _, word, w in t.vectors if j == i and (i, word) not in anchors) ** 0.5 < 0.8
+
+
 def test_nearest_ancestor_wins(spark):
     dirs = spark.createDataFrame([("a/b/c",), ("a/b",), ("a/x/y",), ("z",), (None,)], "directory string")
     said = spark.createDataFrame([("a", "MIT"), ("a/b", "ISC")], "directory string, licence string")
