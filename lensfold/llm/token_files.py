@@ -6,7 +6,8 @@ and pages are small and every page is in the page index, so a reader of a range
 skips the rest. ``shard`` numbers the ranges of ids; ``starts`` gives what lies before each of them.
 
 A null text counts as empty; an empty text has the end id alone. Rows with equal ids are ordered by text, rows without
-an id come first. An empty table gives no rows. Columns other than id and text aren't written.
+an id come first. An empty table gives no rows. Added tokens in a
+text get their own ids, as the library gives by default. Columns other than id and text aren't written.
 """
 
 from __future__ import annotations
@@ -44,17 +45,23 @@ LAYOUT = {
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers case and whose matches never hold white space: known words are looked up, new
-    ones go to the library together. Marks at the end of a word are a match of their own where a plain letter or digit
+    ones go to the library together. Only plain ASCII words are lower-cased here: others are composed first, by the library. Texts
+    that may hold an added token go to the library whole, unless ``added_are_text``. Marks at the end of a word are a match of their own where a plain letter or digit
     stands before them, and are looked up apart. Ids are little-endian unsigned 32-bit integers."""
 
     MARKED = re.compile(rb"(.*(?:[0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:#$%&*|]+)", re.DOTALL)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_are_text: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        if added_are_text:
+            self.library.encode_special_tokens = True
+            self.added = None
+        else:
+            added = [re.escape(t.content.lower().encode()) for t in self.library.get_added_tokens_decoder().values()]
+            self.added = re.compile(b"|".join(added)) if added else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -64,9 +71,15 @@ class WordEncoder:
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
+        whole = {}
+        if self.added:
+            whole = {i: texts[i] for i, t in enumerate(texts) if self.added.search(t.lower())}
+            for i in whole:
+                split[i] = []
+        key = {w: w.lower() if w.isascii() else w for w in set().union(*split)}
         here, marked, new = {}, [], set()
-        for w in set().union(*split):
+        for w in set(key.values()):
             if (ids := self.known(w)) is not None:
                 here[w] = ids
             elif m := self.MARKED.fullmatch(w):
@@ -89,13 +102,16 @@ class WordEncoder:
             here[w] = here[word] + here[marks]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        get = here.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = {w: here[k] for w, k in key.items()}.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for i, x in zip(whole, self.library.encode_batch_fast([t.decode() for t in whole.values()], add_special_tokens=False), strict=True):
+            out[i] = pack(f"<{len(x.ids)}I", *x.ids)
+        return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return WordEncoder(path, added_are_text=False)
 
 
 def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:

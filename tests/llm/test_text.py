@@ -102,6 +102,23 @@ def test_words_equal_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
 
 
+def test_words_equal_untouched_library():
+    library = Tokenizer.from_file(WORDS)
+    rng, own = random.Random(4), token_files.WordEncoder(WORDS, added_are_text=False)
+    texts = [f"{c}{m}adith" for c in "HJTWYAEhjtwy" for m in "\u0331\u030c\u0308\u030a\u0301"]
+    texts += ["x <|endoftext|> y", "<|ENDOFTEXT|>", "a<|startoftext|>B", "<|endoftext|>.", "x <|endoftext|"]
+    parts = ["H", "J", "T", "W", "Y", "A", "\u0331", "\u030c", "\u0308", "\u030a", "a.", "B,,", "É!", "ñ$$$", "The", " ", "  ", "\n", "\xa0", "'S", "日本", "1", "?!", "İ", "ΣΑΣ", "=\u0338", "<|endoftext|>", "\u2028"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
+
+
+def test_token_files_keep_added_tokens(spark, tmp_path):
+    token_files.write(simple(spark, ["x <|endoftext|> y", "H\u0331adith"]), str(tmp_path / "ids"), WORDS, end_id=2)
+    got = token_files.read(spark, str(tmp_path / "ids")).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [[343, 49407, 344, 2], [327, 136, 365, 594, 1757, 2]]
+
+
 def test_token_files(spark, tmp_path):
     small_batches(spark)
     docs, path = awkward(spark), str(tmp_path / "ids")
