@@ -21,11 +21,12 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import partitions, text_or_empty, utf8_bytes
+from lensfold.llm.common import chunks, partitions, text_or_empty, utf8_bytes
 from lensfold.llm.ordered import boundaries, bucket, ordered_key
 
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
@@ -44,12 +45,18 @@ LAYOUT = {
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that lowers case and whose matches never hold white space: known words are looked up, new
-    ones go to the library together. Only plain ASCII words are lower-cased here: others are composed first, by the library. Texts
-    that may hold an added token go to the library whole, unless ``added_are_text``. Marks at the end of a word are a match of their own where a plain letter or digit
-    stands before them, and are looked up apart. Ids are little-endian unsigned 32-bit integers."""
+    """Ids of texts by a tokenizer that lowers case, whose matches never hold white space and are either letters, one digit or marks.
+    Known words are looked up; new ones go to the library together, with a mark between them that none of them holds, and the
+    ids are cut there.
 
-    MARKED = re.compile(rb"(.*(?:[0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:#$%&*|]+)", re.DOTALL)
+    ASCII capitals are lowered here, but for those before a character that isn't ASCII: the two may be composed, and the library
+    composes before it lowers. Marks at the end of a word become a word of their own where a plain letter or digit stands before
+    them. Texts that may hold an added token go to the library whole, unless ``added_are_text``. Ids are little-endian unsigned
+    32-bit integers."""
+
+    BETWEEN = b"|"
+    COMPOSED = "[A-Z][^\\x00-\\x7f]"
+    MARKS = "([0-9a-z])([.,!?;:#$%&*|]+(?:[\\x20\\x09-\\x0d]|$))"
 
     def __init__(self, path: str, added_are_text: bool = True):
         from tokenizers import Tokenizer
@@ -60,52 +67,57 @@ class WordEncoder:
             self.library.encode_special_tokens = True
             self.added = None
         else:
-            added = [re.escape(t.content.lower().encode()) for t in self.library.get_added_tokens_decoder().values()]
-            self.added = re.compile(b"|".join(added)) if added else None
+            added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+            self.added = "|".join(added)
+        (self.cut,) = self.library.encode(self.BETWEEN.decode(), add_special_tokens=False).ids
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def known(self, word: bytes) -> bytes | None:
-        if (ids := self.young.get(word)) is None and (ids := self.old.get(word)) is not None:
-            self.young[word] = ids
-        return ids
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
-        whole = {}
-        if self.added:
-            whole = {i: texts[i] for i, t in enumerate(texts) if self.added.search(t.lower())}
-            for i in whole:
-                split[i] = []
-        key = {w: w.lower() if w.isascii() else w for w in set().union(*split)}
-        here, marked, new = {}, [], set()
-        for w in set(key.values()):
-            if (ids := self.known(w)) is not None:
-                here[w] = ids
-            elif m := self.MARKED.fullmatch(w):
-                marked.append((w, *m.groups()))
-            else:
-                new.add(w)
-        for _, *parts in marked:
-            for p in parts:
-                if p not in here and p not in new:
-                    if (ids := self.known(p)) is None:
-                        new.add(p)
-                    else:
-                        here[p] = ids
-        new = list(new)
-        for w, x in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            here[w] = ids = pack(f"<{len(x.ids)}I", *x.ids)
-            if len(w) <= LONG_WORD:
-                self.young[w] = ids
-        for w, word, marks in marked:
-            here[w] = here[word] + here[marks]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        get = {w: here[k] for w, k in key.items()}.__getitem__
+    def looked_up(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) by the library, for words without the mark ``BETWEEN``."""
+        between = b" " + self.BETWEEN + b" "
+        groups = list(chunks(words, 200))
+        found = self.library.encode_batch_fast([(between.join(some) + between).decode() for some in groups], add_special_tokens=False)
+        for some, x in zip(groups, found, strict=True):
+            ids = np.array(x.ids, "<u4")
+            data, cuts = ids.tobytes(), 4 * np.flatnonzero(ids == self.cut)
+            for w, a, b in zip(some, [0, *(cuts[:-1] + 4).tolist()], cuts.tolist(), strict=True):
+                yield w, data[a:b]
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+
+    def words(self, texts: pa.Array) -> list[list[bytes]]:
+        low = pc.ascii_lower(texts)
+        if pc.any(composed := pc.match_substring_regex(texts, self.COMPOSED)).as_py():
+            own = [np.frombuffer(x, "u1") for x in utf8_bytes(texts.filter(composed))]
+            kept = [np.append(x[1:] > 127, False) & (x >= 65) & (x <= 90) for x in own]
+            restored = [np.where((x >= 65) & (x <= 90) & ~k, x + 32, x).astype("u1").tobytes().decode() for x, k in zip(own, kept, strict=True)]
+            low = pc.replace_with_mask(low, composed, pa.array(restored, low.type))
+        return [x.split() for x in utf8_bytes(pc.replace_substring_regex(low, self.MARKS, "\\1 \\2"))]
+
+    def encode(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.binary())
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = self.words(texts)
+        special = np.flatnonzero(pc.match_substring_regex(texts, self.added, ignore_case=True)).tolist() if self.added else []
+        for i in special:
+            split[i] = []
+        unknown = set().union(*split) - self.young.keys()
+        self.young.update((w, self.old[w]) for w in unknown & self.old.keys())
+        unknown -= self.old.keys()
+        odd = [w for w in unknown if self.BETWEEN in w]
+        self.young.update(self.looked_up(list(unknown.difference(odd))))
+        self.young.update(zip(odd, self.whole(odd), strict=True))
+        get = self.young.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        for i, x in zip(whole, self.library.encode_batch_fast([t.decode() for t in whole.values()], add_special_tokens=False), strict=True):
-            out[i] = pack(f"<{len(x.ids)}I", *x.ids)
+        for i, ids in zip(special, self.whole(utf8_bytes(texts.take(pa.array(special, pa.int64())))), strict=True):
+            out[i] = ids
+        if len(self.young) > REMEMBERED:
+            self.old = {w: ids for w, ids in self.young.items() if len(w) <= LONG_WORD}
+            self.young = {}
         return out
 
 
@@ -124,7 +136,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, key: str = "doc
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = encoder(tokenizer), 0
         for batch in batches:
-            ids = [x + end for x in own.encode(utf8_bytes(batch["text"]))]
+            ids = [x + end for x in own.encode(batch["text"])]
             lengths = np.array([len(x) // 4 for x in ids], "int64")
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             values = np.frombuffer(b"".join(ids), "<i4")
