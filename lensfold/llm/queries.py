@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensfold.llm import byte_bpe, fingerprints, licenses, mixing, near_duplicates, nearest, packing, quality, secrets, token_files
+from lensfold.llm import byte_bpe, fingerprints, licenses, mixing, merkle, near_duplicates, nearest, packing, periodic, quality, secrets, sequences, token_files, twins
 from lensfold.llm.common import shared_path, text_or_empty, written
 from lensfold.llm.registry import QUERIES, SQL, query
 
@@ -166,3 +166,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "directory", F.col("licence").alias("own_licence"), "score", F.coalesce("licence", "passed").alias("licence"),
         F.when(~has, F.col("inherited_from")).alias("inherited_from"),
     )
+
+
+@query("op11_sequences")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def id_crc32() -> Column:
+    """CRC-32 of the decimal id; null without one."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@query("op12_merkle_manifest", sql=twins.MANIFEST)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are not tampered with."""
+    fields = ("doc_id", "source", "lang", "n_chars")
+    altered = merkle.leaf(*fields, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = table(spark, sf_dir, "documents").select(
+        "source", "doc_id", merkle.leaf(*fields, "text").alias("leaf"), F.when(id_crc32() % 2 == 0, altered).alias("altered")
+    )
+    rows = written(rows, "manifest-leaves").withColumn("now", F.coalesce("altered", "leaf"))
+    found = merkle.proofs(rows, "source", "doc_id", "leaf", "now")
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op13_periodic_runs", sql=twins.PERIODIC_RUNS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is planted into rows without an id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.found(periodic.looped(F.col("text").cast("string"), id_crc32())).alias("s"))
+    found = docs.select("doc_id", "s.runs", "s.collapsed").withColumn("best", periodic.most_repeated(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
