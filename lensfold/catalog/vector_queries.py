@@ -12,8 +12,9 @@ from lensfold.operators import similarity as S
 from lensfold.operators.components import dbscan
 from lensfold.operators.gates import band_filter, size_class
 from lensfold.operators.linkage import average_linkage
-from lensfold.operators.listing import best_target
+from lensfold.operators.listing import best_target, first_n
 from lensfold.operators.scoring import score_batches
+from lensfold.operators.vector_index import indexed_topk
 from lensfold.plans import evaluation, identity, matching
 
 PART = ["part"]
@@ -71,9 +72,21 @@ def c10(t):
     return S.topk_search(left, right, "k", "v", PART, 4, 0.05).withColumn("score", F.round("score", 6))
 
 
-C17 = """, p AS (SELECT a.part, a.cluster_id AS src, b.cluster_id AS dst, list_cosine_similarity(a.centroid, b.centroid) AS mm,
-  coalesce(list_cosine_similarity(a.centroid, b.pyr_centroid), -2) AS mp, coalesce(list_cosine_similarity(a.pyr_centroid, b.pyr_centroid), -2) AS pp
-  FROM cl a JOIN cl b ON a.part = b.part AND a.cluster_size <= 3 AND b.cluster_size > 3),
+@query("c10_indexed", f"""WITH {R.SQL_SINGLE}, s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS score FROM fix a JOIN fix b ON a.vec_id % 5 = 0 AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 12) DESC, dst) AS rank FROM s WHERE score >= 0.55)
+SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def c10_indexed(t):
+    """All vectors in one key: the index answers from 500 rows on. A row is among its own targets, so six are asked for."""
+    rows = R.single_level(t).select(F.lit(0).alias("all"), "vec_id", F.col("id").alias("k"), "v")
+    hits = indexed_topk(rows.where("vec_id % 5 = 0").drop("vec_id"), rows.drop("vec_id"), "k", "v", ["all"], 6, 0.55).where("src <> dst").drop("rank")
+    return first_n(hits, ["src"], [F.col("score").desc(), F.col("dst")], 5).select("src", "dst", F.round("score", 6).alias("score"), "rank")
+
+
+# Unit vectors once, so that a pair costs dot products; the large tables are not inlined again.
+C17 = """, u AS MATERIALIZED (SELECT part, cluster_id, cluster_size, list_transform([sqrt(list_dot_product(centroid, centroid))], lambda n: list_transform(centroid, lambda x: x / n))[1] AS m,
+  list_transform([sqrt(list_dot_product(pyr_centroid, pyr_centroid))], lambda n: list_transform(pyr_centroid, lambda x: x / n))[1] AS p FROM cl),
+p AS MATERIALIZED (SELECT a.part, a.cluster_id AS src, b.cluster_id AS dst, list_dot_product(a.m, b.m) AS mm, coalesce(list_dot_product(a.m, b.p), -2) AS mp, coalesce(list_dot_product(a.p, b.p), -2) AS pp
+  FROM u a JOIN u b ON a.part = b.part AND a.cluster_size <= 3 AND b.cluster_size > 3),
 q AS (SELECT part, src, dst, greatest(mm, mp, pp) AS score, CASE WHEN pp > greatest(mm, mp) THEN 'pyr_centroid' WHEN mp > mm THEN 'centroid_vs_pyr' ELSE 'centroid' END AS channel FROM p)"""
 
 

@@ -92,7 +92,7 @@ def clusters(t) -> DataFrame:
     return main.unionByName(twin)
 
 
-SQL_MACROS = """emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+SQL_MACROS = """emb AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sz AS (SELECT g, greatest(4, g // 6) AS p FROM (SELECT greatest(25, count(*) // 20) AS g FROM embeddings))"""
 
 
@@ -118,7 +118,7 @@ fix AS (SELECT CAST(m.vec_id % sz.g % sz.p AS INTEGER) AS part, 'v' || lpad(CAST
   CASE WHEN m.vec_id % 6 <> 0 THEN {sql_mix(("b.e", 1.0), ("m.e", 0.4))} END AS second
   FROM sz CROSS JOIN emb m JOIN emb a ON a.vec_id = m.vec_id % sz.g JOIN emb b ON b.vec_id = m.vec_id % (4 * sz.g) + 4 * sz.g)"""
 
-SQL_CLUSTERS = f"""cl AS (SELECT CAST(m.vec_id % sz.p AS INTEGER) AS part, 'cv' || lpad(CAST(m.vec_id AS VARCHAR), 9, '0') AS cluster_id, m.vec_id, {sql_mix(("m.e", 1.0))} AS centroid,
+SQL_CLUSTERS = f"""cl AS MATERIALIZED (SELECT CAST(m.vec_id % sz.p AS INTEGER) AS part, 'cv' || lpad(CAST(m.vec_id AS VARCHAR), 9, '0') AS cluster_id, m.vec_id, {sql_mix(("m.e", 1.0))} AS centroid,
   CASE WHEN m.vec_id % 3 <> 0 THEN {sql_mix(("m.e", 1.0), ("c.e", 0.8))} END AS pyr_centroid, {sql_mix(("b.e", 1.0))} AS secondary_centroid,
   m.vec_id % 7 + 4 AS cluster_size, CASE WHEN m.vec_id % 3 <> 0 THEN m.vec_id % 4 ELSE 0 END AS pyr_size
   FROM sz CROSS JOIN (SELECT DISTINCT vec_id % g AS anchor FROM emb CROSS JOIN sz) k JOIN emb m ON m.vec_id = k.anchor JOIN emb b ON b.vec_id = m.vec_id + sz.g JOIN emb c ON c.vec_id = m.vec_id + 2 * sz.g

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lensfold.operators import pivots
 from lensfold.operators import similarity as S
+from lensfold.operators.centroids import vector_dim
 from lensfold.session import cut_lineage
 
 
@@ -85,30 +87,43 @@ def _fingerprint(vec: str):
 
 
 def dbscan(
-    df: DataFrame, ident: str, vec: str, part: Sequence[str], eps: float, min_samples: int = 1, block: int = S.BLOCK
+    df: DataFrame, ident: str, vec: str, part: Sequence[str], eps: float, min_samples: int = 1, block: int = S.BLOCK,
+    pivots_from: int = pivots.PIVOTS_FROM,
 ) -> DataFrame:
     """(part, id, label) of density clustering on cosine distance <= eps; label is the smallest core id, null is noise.
 
     With ``min_samples=1`` every row is core. Exact copies are then collapsed first, so a group of copies costs
     one row. Otherwise: cores have enough neighbours (themselves included), components run over cores, and a
-    border row joins the smallest component in reach.
+    border row joins the smallest component in reach. Keys of ``pivots_from`` rows or more are cut by pivots, others into blocks;
+    the labels are the same.
     """
     on = list(part)
     near = 1.0 - eps
+
+    def spanning(rows: DataFrame, key: str) -> DataFrame:
+        if near <= 0 or not pivots.large_keys(rows, on, pivots_from):
+            return S.spanning_edges(rows, key, vec, on, near, block)
+        cut = pivots.pieces(rows, key, vec, on, near, vector_dim(rows, vec), pivots_from, block)
+        return pivots.spanning_edges(cut, key, vec, on, near, block)
+
     if min_samples <= 1:
         marked = df.withColumn("_print", _fingerprint(vec))
         heads = marked.groupBy(*on, "_print").agg(F.min(ident).alias("_head"), F.min_by(vec, ident).alias(vec))
         unique = cut_lineage(heads)
-        found = components(unique, S.spanning_edges(unique, "_head", vec, on, near, block), "_head", on)
+        found = components(unique, spanning(unique, "_head"), "_head", on)
         labelled = unique.select(*on, "_print", "_head").join(found, [*on, "_head"])
         narrow = marked.select(*on, ident, "_print")  # the way back to all rows moves no vectors
         return narrow.join(labelled.select(*on, "_print", F.col("comp").alias("label")), [*on, "_print"]).select(*on, ident, "label")
-    counted = S.neighbour_counts(df, ident, vec, on, near, block)
+    if near > 0 and pivots.large_keys(df, on, pivots_from):
+        cut = pivots.pieces(df, ident, vec, on, near, vector_dim(df, vec), pivots_from, block)
+        counted = pivots.neighbour_counts(cut, ident, vec, on, near, block)
+    else:
+        counted = S.neighbour_counts(df, ident, vec, on, near, block)
     core = cut_lineage(
         df.join(counted.where(F.col("neighbours") >= min_samples).select(*on, F.col("src").alias(ident)), [*on, ident], "left_semi")
         .select(*on, ident, vec)
     )
-    found = cut_lineage(components(core, S.spanning_edges(core, ident, vec, on, near, block), ident, on))
+    found = cut_lineage(components(core, spanning(core, ident), ident, on))
     rest = df.join(found.select(*on, ident), [*on, ident], "left_anti").select(*on, ident, vec)
     border = S.smallest_label_in_reach(rest, core.join(found, [*on, ident]), ident, vec, "comp", on, near, block)
     known = found.select(*on, ident, F.col("comp").alias("label")).unionByName(

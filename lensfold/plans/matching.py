@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensfold.functions import vectors as V
-from lensfold.operators import similarity as S
+from lensfold.operators.vector_index import search
 
 HIGH, LOW = "high", "low"
 
@@ -20,9 +20,9 @@ def confidence(agrees: Column, tagging: Column) -> Column:
 def match(
     queries: DataFrame, clusters: DataFrame, query: str, cluster: str, part: Sequence[str], primary: str = "primary",
     secondary: str = "secondary", centroid: str = "centroid", second_centroid: str = "secondary_centroid",
-    threshold: float = 0.55, k: int = 5, dual: bool = True,
+    threshold: float = 0.55, k: int = 5, dual: bool = True, index_from: int = 500,
 ) -> DataFrame:
-    """(part, query, cluster, similarity, rank, confidence).
+    """(part, query, cluster, similarity, rank, confidence). Parts with ``index_from`` clusters or more are searched by index.
 
     The primary model decides which clusters match. The secondary model is only asked about those k, so it costs
     k cosines per query and no second search; a hit of the secondary model alone never appears.
@@ -30,7 +30,7 @@ def match(
     on = list(part)
     src = queries.select(*on, F.col(query).cast("string").alias("k"), F.col(primary).alias("v"))
     dst = clusters.select(*on, F.col(cluster).cast("string").alias("k"), F.col(centroid).alias("v"))
-    hits = S.topk_search(src, dst, "k", "v", on, k, threshold)
+    hits = search(src, dst, "k", "v", on, k, threshold, index_from)
     hits = hits.select(*on, F.col("src").alias(query), F.col("dst").alias(cluster), F.col("score").alias("similarity"), "rank")
     if not dual:
         return hits.withColumn("confidence", F.lit(HIGH))
