@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by banding of MinHash values, verified exactly.
 
-A text is the set of its five-word windows (of all its words, if fewer than five). ``TREES`` prefix tries hold the
-documents' MinHash sequences; two documents meet in a trie when they share a prefix. Prefixes are shortened from
-``DEEPEST`` until documents at the threshold meet in some trie with probability ``RECALL``. Texts that meet, directly or
-through others, form a candidate group; inside a group every pair is verified on the real sets.
+A text is the set of its five-word windows (of all its words, if fewer than five). It has ``TREES`` keys of as many MinHash
+values each; two documents meet where a key is equal. The number of values in a key is fixed before any row is read: the largest
+up to ``DEEPEST`` at which documents at the threshold meet in some key with probability ``RECALL``. This is banding and takes
+the place of an LSH forest, whose prefixes would be shortened from the data. Texts that meet, directly or through others, form a
+candidate group; inside a group every pair is verified on the real sets.
 
 Equal sets are one node, so copies cost one row. A group of more than ``BLOCK`` nodes is cut into blocks, and a task
 verifies a pair of blocks; it returns one row a node (its links and the smallest node it is connected with), never
@@ -35,7 +36,7 @@ BLOCK, REMEMBERED = 384, 500_000
 
 
 def prefix_length(threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
-    """The longest shared prefix that still finds documents at the threshold with the wanted recall."""
+    """The most values of a key that still finds documents at the threshold with the wanted recall."""
     length = DEEPEST
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
@@ -78,8 +79,8 @@ def shingles(words: int) -> Shingles:
     return Shingles(words)
 
 
-class Forest:
-    """Prefix keys of a set in each tree."""
+class Bands:
+    """The keys of a set, one a band."""
 
     def __init__(self, trees: int, length: int):
         rng = np.random.default_rng(trees * 100 + length)
@@ -104,13 +105,13 @@ def signed(docs: DataFrame, key: str, text: str, words: int, threshold: float) -
     length = prefix_length(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, forest = shingles(words), Forest(TREES, length)
+        own, bands = shingles(words), Bands(TREES, length)
         for batch in batches:
             nodes, keys = [], []
             for raw in utf8_bytes(batch["text"]):
                 found = own.of(raw)
                 nodes.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(forest.keys(found) if len(found) else None)
+                keys.append(bands.keys(found) if len(found) else None)
             yield pa.record_batch(
                 {"doc_id": batch["doc_id"], "text_digest": batch["text_digest"], "node": pa.array(nodes, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
@@ -250,18 +251,22 @@ def class_ids(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the smallest id (then text) stays, once.
-    Where rows repeat an id and its text, rows without words that do so are reduced to one as well."""
+    """The rows of ``docs`` without near copies: of each class one row stays, that with the smallest id, then text, then other columns
+    (by the digest of their JSON). Rows without words have no copies: all of them stay."""
     named = found.where("label is not null")
     first = F.struct("doc_id", "text_digest")
     kept = named.groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_digest").alias("k_digest"))
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_digest") == F.col("k_digest"))
-    gone = named.select("doc_id", "text_digest").distinct().join(kept, same, "left_anti")
+    each = named.groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("n"))
     digest, gone_id, gone_digest = (own_name(docs, c) for c in ("near_digest", "near_id", "near_gone"))
-    gone = few(written(gone.select(F.col("doc_id").alias(gone_id), F.col("text_digest").alias(gone_digest)), "near-gone"))
+    as_gone = [F.col("doc_id").alias(gone_id), F.col("text_digest").alias(gone_digest)]
+    gone = few(written(each.join(kept, same, "left_anti").select(*as_gone), "near-gone"))
+    repeated = few(written(each.where("n > 1").select(*as_gone), "near-repeated"))
+
     marked = docs.withColumn(digest, text_digest(text_or_empty(text)))
-    left = marked.join(gone, docs[key].cast("long").eqNullSafe(gone[gone_id]) & (marked[digest] == gone[gone_digest]), "left_anti")
-    repeated = found.where("label is not null").groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    return left.dropDuplicates([key, digest]).select(*docs.columns)
+    meets = lambda t: docs[key].cast("long").eqNullSafe(t[gone_id]) & (marked[digest] == t[gone_digest])
+    left = marked.join(gone, meets(gone), "left_anti")
+    others = F.md5(F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)]))) if len(docs.columns) > 2 else F.lit("")
+    # Copies of a row are reduced where they are read: no text of theirs is shuffled more than once a task.
+    once = left.join(repeated, meets(repeated), "left_semi").groupBy(F.col(key), F.col(digest)).agg(F.min_by(F.struct(*docs.columns), others).alias("row")).select("row.*")
+    return left.join(repeated, meets(repeated), "left_anti").select(*docs.columns).unionAll(once)

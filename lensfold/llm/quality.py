@@ -168,10 +168,11 @@ def judged(rows: DataFrame, found: Sites, host: str, path: str, evidence: str, p
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, columns unchanged. Only group sums move, no text is shuffled."""
+    """The rows of ``docs`` that the classifier keeps, columns unchanged. Texts are measured once and written beside their evidence;
+    no text is shuffled."""
     model = fit(docs, labels)
-    found = sites(written(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), model.evidence().alias("evidence")), "quality-evidence"))
     evidence = own_name(docs, "quality_evidence")
     prefix = own_name(docs, "quality_") + "_"
-    out = judged(docs.withColumn(evidence, model.evidence()), found, host, path, evidence, prefix)
-    return out.where(F.col(f"{prefix}keep")).select(*docs.columns)
+    scored = written(docs.withColumn(evidence, model.evidence()), "quality-evidence")
+    found = sites(scored.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(evidence).alias("evidence")))
+    return judged(scored, found, host, path, evidence, prefix).where(F.col(f"{prefix}keep")).select(*docs.columns)

@@ -199,7 +199,7 @@ def test_shared_counts():
     assert (near_duplicates.shared_counts(sets) == want).all()
 
 
-def test_prefix_is_shortened_until_recall_is_met():
+def test_keys_are_as_long_as_the_recall_allows():
     n = near_duplicates.prefix_length(0.8)
     assert 1 - (1 - 0.8**n) ** near_duplicates.TREES >= near_duplicates.RECALL > 1 - (1 - 0.8 ** (n + 1)) ** near_duplicates.TREES
     assert near_duplicates.prefix_length(0.5) < n < near_duplicates.prefix_length(0.95)

@@ -57,3 +57,29 @@ def test_quality_model_keeps_clean_documents(spark):
     half = quality.fit(docs, labels.where("doc_id % 2 = 0"))
     rows = docs.select("doc_id", half.evidence().alias("e")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     assert sum((r["e"] > 0) == (r["quality"] == 1) for r in rows) / len(rows) > 0.97
+
+
+def test_repeated_rows_follow_one_rule(spark):
+    """Blank rows stay whatever other rows do; of rows with one id and text the first by the other columns stays, in any order of rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    blank = [(1, "", "en", "a", 0), (1, "", "en", "b", 0), (3, None, None, "b", None), (3, None, None, "b", None)]
+    text = [(2, "a text of some words here", "en", s, 5) for s in "bca"]
+    for rows, repeats in ((blank + text[:1], 1), (blank + text, 3), (blank + text + text, 6)):
+        outs = []
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, schema).repartition(3)
+            outs.append(sorted(map(tuple, corpus_pipeline.without_near_copies(spark, docs, SF_DIR).collect()), key=repr))
+        kept = [r for r in outs[0] if r[0] == 2]
+        assert outs[0] == outs[1] and len(kept) == 1 and kept[0] in text and sorted((r for r in outs[0] if r[0] != 2), key=repr) == sorted(blank, key=repr), repeats
+
+
+def test_run_gives_the_same_rows_again(spark, tmp_path):
+    """Also when the table's rows lie in another order."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    outs = []
+    for name, order in (("a", docs.coalesce(1)), ("b", docs.orderBy("text").repartition(5))):
+        order.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        outs.append(sorted((r["doc_id"], r["source"], r["n_tokens"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()))
+    assert outs[0] == outs[1]
