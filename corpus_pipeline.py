@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensfold.llm import byte_bpe, mixing, near_duplicates, quality, secrets
-from lensfold.llm.common import own_name, small_batches
+from lensfold.llm.common import own_name, small_batches, written
 
 #: The mix: weights that repeat over the sources, words in all against words given, most repetitions, seed.
 CYCLE, SHARE, MAX_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 1
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *others, (_, last) = STAGES
+    for name, stage in others:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return last(spark, docs, sf_dir)
