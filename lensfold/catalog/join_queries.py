@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from lensfold.catalog.registry import query
 from lensfold.catalog.roles import with_roles
 from lensfold.functions import scalars as X
-from lensfold.operators import access, listing, rollups
+from lensfold.operators import access, intervals, listing, rollups
 from lensfold.operators.sliced import position, sliding_count
-from lensfold.operators.tree import closure, rejected_moves, subtree_rollup, tree
+from lensfold.operators.tree import tree
 
 
 @query("c1_favorites", with_roles("photos", "favorites", body="SELECT photo_id, event_id, epoch_us(marked_at) AS marked_us FROM favorites JOIN photos USING (photo_id)"))
@@ -311,6 +311,10 @@ def _tree(t):
     return tree(t.folders, "folder_id", "parent_id")
 
 
+def _labels(t):
+    return intervals.labels(t.folders, "folder_id", "parent_id")
+
+
 @query("h9_tree", with_roles("folders", body=TREE + """SELECT folder_id, min(anc) AS root, CAST(max(depth) AS INTEGER) AS depth, string_agg(CAST(anc AS VARCHAR), '/' ORDER BY depth DESC) AS path FROM up GROUP BY 1""", recursive=True))
 def h9(t):
     return _tree(t).select("folder_id", "root", "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
@@ -318,14 +322,14 @@ def h9(t):
 
 @query("g3_descendants", with_roles("folders", body=TREE + "SELECT anc AS ancestor, folder_id FROM up", recursive=True))
 def g3(t):
-    return closure(_tree(t), "folder_id").select("ancestor", "folder_id")
+    return intervals.descendants(_labels(t), "folder_id").select("ancestor", "folder_id")
 
 
 @query("h9_cascade_rollup", with_roles("folders", "photos", body=TREE + """, n AS (SELECT folder_id, count(*) AS photos, sum(file_size_bytes) AS bytes FROM photos WHERE folder_id IS NOT NULL GROUP BY 1)
 SELECT anc AS folder_id, CAST(sum(photos) AS BIGINT) AS photos, CAST(sum(bytes) AS BIGINT) AS bytes FROM up JOIN n USING (folder_id) GROUP BY 1""", recursive=True))
 def h9_rollup(t):
     per = t.photos.where("folder_id IS NOT NULL").groupBy("folder_id").agg(F.count(F.lit(1)).alias("photos"), F.sum("file_size_bytes").alias("bytes"))
-    return subtree_rollup(_tree(t), "folder_id", per, ["photos", "bytes"])
+    return intervals.subtree_sums(_labels(t), "folder_id", per, ["photos", "bytes"])
 
 
 @query("g3_order_chains", """WITH o AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n,
@@ -333,9 +337,8 @@ def h9_rollup(t):
 def g3_chains(t):
     """Every order hangs under the customer's order before it: trees far deeper than the depth limit."""
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    paths = tree(t.raw("orders").select("o_orderkey", before.alias("parent")), "o_orderkey", "parent")
-    below = closure(paths, "o_orderkey").groupBy(F.col("ancestor").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("below"))
-    return paths.join(below, "o_orderkey").select("o_orderkey", "root", "depth", "below")
+    labelled = intervals.labels(t.raw("orders").select("o_orderkey", before.alias("parent")), "o_orderkey", "parent")
+    return labelled.select("o_orderkey", "root", F.least("depth", F.lit(10)).alias("depth"), (F.col("leave") - F.col("enter") + 1).alias("below"))
 
 
 @query("h9_rejected_moves", with_roles("folders", body=TREE + """, m AS (SELECT folder_id, (folder_id * 4 + 1) % (SELECT count(*) FROM folders) AS target FROM folders)
@@ -343,7 +346,7 @@ SELECT m.folder_id, m.target FROM m JOIN up ON up.folder_id = m.target AND up.an
 def h9_moves(t):
     n = t.folders.agg(F.count(F.lit(1)).alias("n")).scalar()
     moves = t.folders.select("folder_id", F.pmod(F.col("folder_id") * 4 + 1, n).alias("target"))
-    return rejected_moves(moves, _tree(t), "folder_id", "target")
+    return intervals.moves_below(moves, _labels(t), "folder_id", "target")
 
 
 @query("f6_sibling_order", with_roles("folders", body="""SELECT parent_id, folder_id, row_number() OVER (PARTITION BY parent_id ORDER BY sort_order, name, folder_id) AS place
