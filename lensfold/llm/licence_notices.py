@@ -22,6 +22,9 @@ NAMES = {
     "CC-BY-NC-SA-4.0": (("CC-BY-NC-SA-4.0",), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "CC BY-NC-SA 4.0")),
     "CC-BY-ND-4.0": (("CC-BY-ND-4.0",), ("Creative Commons Attribution-NoDerivatives 4.0 International", "CC BY-ND 4.0")),
     "CC0-1.0": (("CC0-1.0",), ("CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0", "CC0")),
+    "CDDL-1.0": (("CDDL-1.0",), ("Common Development and Distribution License 1.0", "Common Development and Distribution License, Version 1.0", "CDDL 1.0")),
+    "EPL-2.0": (("EPL-2.0",), ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "EPL 2.0")),
+    "EUPL-1.2": (("EUPL-1.2",), ("European Union Public License, Version 1.2", "European Union Public Licence 1.2", "EUPL 1.2")),
     "GPL-2.0": (("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), ("GNU General Public License version 2", "GNU General Public License v2.0", "GNU General Public License v2", "GNU GPL version 2", "GNU GPL v2", "GPLv2", "GPL v2", "GPL 2.0", "GPL version 2")),
     "GPL-3.0": (("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), ("GNU General Public License version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GNU GPL version 3", "GNU GPL v3", "GPLv3", "GPL v3", "GPL 3.0", "GPL version 3")),
     "ISC": (("ISC",), ("ISC",)),
@@ -42,6 +45,10 @@ SENTENCES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("Apache-2.0", 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0 OR MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("Apache-2.0 OR MIT", "This project is dual licensed under the Apache License, Version 2.0 and the MIT license."),
+    ("Apache-2.0 OR MIT", "SPDX-License-Identifier: Apache-2.0 OR MIT"),
+    ("Apache-2.0 OR MIT", "SPDX-License-Identifier: MIT OR Apache-2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),

@@ -6,8 +6,10 @@ anchor words are so many that the others alone stay below the threshold, so a li
 
 Headers are found in windows as well: neighbouring lines and sentences of any text that names a licence, compared with the usual
 variants and SPDX ids of each licence; and texts as a whole are compared with licence texts. There words that no template has,
-such as names and years, weigh little, and repeated words count by their logarithm. Windows hold at most ``LINES`` lines or
-``SENTENCES`` sentences, which may be of any length, or what stands between blank lines.
+such as names and years, weigh little, and repeated words count by their logarithm. Windows are up to ``LINES`` lines, as many
+sentences as the longest header has, so that each header is in one window however it is wrapped, and what stands between blank lines.
+A window has to name a licence (``NAMING``): the bare word "ISC" is no notice. What says that something is not licensed gives nothing.
+A choice of licences is one licence, such as "Apache-2.0 OR MIT".
 
 A file that is a licence text has its licence; else the best template of its lines and windows decides, equal ones by name. A file without one inherits what the licence file of the nearest
 directory above it says. Only DataFrame functions are used.
@@ -57,8 +59,12 @@ TEMPLATES = (
 COMMON = {"a", "all", "and", "by", "for", "form", "free", "general", "in", "into", "is", "mit", "of", "source", "sa", "subject", "terms", "the", "this", "to", "under", "use", "v", "version", "work", "0", "1", "2", "3", "4"}
 WORD_ENDS = r"[^\p{L}\p{N}]+"
 
-#: Weight of unseen words beside a header or in a licence text, as a part of the rarest word's; neighbours in a window.
-DAMP, LINES, SENTENCES = 0.2, 6, 3
+#: Weight of unseen words beside a header or in a licence text, as a part of the rarest word's.
+DAMP = 0.2
+#: Neighbouring lines of a window. Headers over more lines are found by their sentences: ``sentences_of_headers``.
+LINES, SENTENCE_ENDS = 6, r"(?<=[.;:!?])\s+"
+#: A line or window that says this gives no licence.
+DENIED = r"\b(?:not|never|no\W+longer)\W+(?:\w+\W+){0,2}?licen[sc]ed\b"
 #: Words that headers and licence texts are compared without.
 STOP = {"a", "an", "and", "as", "at", "be", "by", "can", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "v", "version", "with", "you", "your"}
 #: Spellings made alike, in lower case; written so that Python and Java read them alike.
@@ -109,7 +115,7 @@ def line_notices(rows: DataFrame, anchor: str, templates: Templates, threshold:
     """(file, licence, score): the best licence of the single lines of each of ``rows`` (file, low). Equal lines are scored once."""
     spark = rows.sparkSession
     lines = rows.where(F.col("low").rlike(anchor))
-    lines = lines.select("file", F.explode(F.array_distinct(F.split("low", "\n"))).alias("line")).where(F.col("line").rlike(anchor))
+    lines = lines.select("file", F.explode(F.array_distinct(F.split("low", "\n"))).alias("line")).where(F.col("line").rlike(anchor) & ~F.col("line").rlike(DENIED))
     lines = written(lines, "licence-lines")
 
     # Both tables have a row for each word of the templates, however many files there are.
@@ -185,22 +191,33 @@ def normal(text: Column) -> Column:
     return text
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: an expression inside a lambda would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def runs(parts: Column, longest: int) -> Column:
-    """All runs of up to so many neighbours that name a licence, joined."""
+    """All runs of up to so many neighbours that name a licence, joined. ``parts`` must be bound."""
     cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i)), lambda n: F.array_join(F.slice(parts, i + 1, n), " "))
     # A long text has few starts with a naming part in reach; the others are not cut.
-    near = lambda i: F.exists(F.slice(parts, i + 1, F.lit(longest)), lambda x: x.rlike(NEAR))
-    starts = F.filter(F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), near)
-    return F.filter(F.flatten(F.transform(starts, cut)), lambda w: w.rlike(NAMING))
+    naming = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(NEAR), i)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(naming, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), i))))
+    return F.filter(F.flatten(F.transform(starts, cut)), lambda w: w.rlike(NAMING) & ~w.rlike(DENIED))
 
 
 def windows(low: Column) -> Column:
     """Where a notice may stand: neighbouring lines, neighbouring sentences across line ends, pieces between blank lines."""
     lines = F.filter(F.split(low, r"\R"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     flat = F.regexp_replace(low, r"\R[^\p{L}\p{N}\n]*", " ")
-    sentences = F.filter(F.split(flat, r"(?<=[.;:!?])\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    blocks = F.filter(F.split(low, r"\R[^\p{L}\p{N}\n]*\R"), lambda x: x.rlike(NAMING))
-    return F.array_distinct(F.concat(runs(lines, LINES), runs(sentences, SENTENCES), blocks))
+    sentences = F.filter(F.split(flat, SENTENCE_ENDS), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    blocks = F.filter(F.split(low, r"\R[^\p{L}\p{N}\n]*\R"), lambda x: x.rlike(NAMING) & ~x.rlike(DENIED))
+    return F.array_distinct(F.concat(bound(lines, lambda p: runs(p, LINES)), bound(sentences, lambda p: runs(p, sentences_of_headers())), blocks))
+
+
+@lru_cache(maxsize=1)
+def sentences_of_headers() -> int:
+    """The most sentences of any header: windows of so many hold every header whole, over however many lines it is wrapped."""
+    return max(len(re.split(SENTENCE_ENDS, text)) for _, text in licence_notices.HEADERS)
 
 
 def damped_scores(pieces: DataFrame, templates: Damped, threshold: float) -> DataFrame:
@@ -213,10 +230,11 @@ def damped_scores(pieces: DataFrame, templates: Damped, threshold: float) -> Dat
     anchors = F.broadcast(spark.createDataFrame(anchored, "template int, word string"))
     vocabulary, stop, needed = (F.array(*map(F.lit, sorted(x))) for x in (templates.idf, STOP | {""}, {w for _, w in anchored}))
 
-    words = F.split(normal(F.col("low")), WORD_ENDS)
-    rows = pieces.select("piece", words.alias("words")).where(F.arrays_overlap("words", needed))
-    others = F.size(F.array_except(F.array_except("words", vocabulary), stop))
-    rows = rows.select("piece", others.alias("others"), F.explode("words").alias("word")).join(idf, "word")
+    unknown = lambda words: F.size(F.array_except(F.array_except(words, vocabulary), stop))
+    tagged = lambda words: bound(unknown(words), lambda n: F.transform(words, lambda w: F.struct(w.alias("word"), n.alias("others"))))
+    # One expression for all that is asked of a text's words: they are cut once.
+    words = bound(F.split(normal(F.col("low")), WORD_ENDS), lambda words: F.when(F.arrays_overlap(words, needed), tagged(words)))
+    rows = pieces.select("piece", F.explode(words).alias("w")).select("piece", "w.word", "w.others").join(idf, "word")
     rows = rows.groupBy("piece", "word").agg(((F.log(F.count(F.lit(1)).cast("double")) + 1) * F.first("idf")).alias("w"), F.first("others").alias("others"))
     rows = written(rows, "licence-words")
     norms = rows.groupBy("piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("others") * templates.unseen**2).alias("norm"))

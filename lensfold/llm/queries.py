@@ -133,7 +133,8 @@ def licence_sql(templates: licenses.Templates) -> str:
     WITH idf(word, idf) AS (VALUES {idf}), vec(template, licence, word, weight) AS (VALUES {vectors}),
     f AS (SELECT doc_id, nullif(concat_ws('/', source, lang), '') AS directory, coalesce(text, '') AS text FROM documents),
     tl AS (SELECT DISTINCT text, unnest(string_split(lower(text), chr(10))) AS line FROM (SELECT DISTINCT text FROM f)),
-    w AS (SELECT line, unnest(regexp_split_to_array(line, '[^\\p{{L}}\\p{{N}}]+')) AS word FROM (SELECT DISTINCT line FROM tl)),
+    denied AS (SELECT DISTINCT line FROM tl WHERE regexp_matches(line, '{licenses.DENIED}')),
+    w AS (SELECT line, unnest(regexp_split_to_array(line, '[^\\p{{L}}\\p{{N}}]+')) AS word FROM (SELECT DISTINCT line FROM tl ANTI JOIN denied USING (line))),
     c AS (SELECT line, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
     x AS (SELECT line, word, n * coalesce(idf, {templates.unseen!r}::DOUBLE) AS wt FROM c LEFT JOIN idf USING (word)),
     norms AS (SELECT line, sqrt(sum(wt * wt)) AS norm FROM x GROUP BY 1),
