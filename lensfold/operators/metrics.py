@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lensfold.operators.anchored import debounce as debounced
 from lensfold.operators.anchored import finite_machine
 from lensfold.operators.runs import sustained
-from lensfold.operators.sliced import last_known, micros, previous_value, range_slice, running_sum, sliding_count, trailing
+from lensfold.operators.sliced import last_known, micros, previous_value, range_slice, running_sum, sliding_count, sliding_first, sliding_max
 from lensfold.session import cut_lineage
 
 # Quota bands in percent, and how far usage must fall before a band can alert again.
@@ -60,13 +60,13 @@ def quiet_while_running(state: DataFrame, load: DataFrame, key: Sequence[str], t
     both = state.where(F.col(value) == 1).select(*key, ts, F.lit(True).alias("_state"), F.lit(None).cast("double").alias("_load")).unionByName(
         load.select(*key, ts, F.lit(False).alias("_state"), F.col(value).cast("double").alias("_load"))
     )
-    seen = trailing(both, key, ts, seconds, peak=F.max("_load")).where("_state")
+    seen = sliding_max(both, key, ts, seconds, F.col("_load"), "peak").where("_state")
     return seen.where(F.col("peak").isNull() | (F.col("peak") < below)).select(*key, ts, F.col("peak").isNull().alias("absent"))
 
 
 def not_draining(samples: DataFrame, key: Sequence[str], ts: str, tie: str, value: str, above: float, seconds: float, **kw) -> DataFrame:
     """Alerts: the backlog is above a limit and has not shrunk over the trailing window, for that long."""
-    rows = trailing(samples, key, ts, seconds, _first=F.min_by(value, F.struct(ts, tie)))
+    rows = sliding_first(samples, key, ts, tie, seconds, value, "_first")
     stuck = (F.col(value) > above) & ~(F.col(value) - F.col("_first") < 0)
     return sustained(rows, key, ts, tie, stuck, pending=seconds, **kw)
 

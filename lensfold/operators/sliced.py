@@ -105,25 +105,53 @@ def position(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str,
     return running_sum(ranged, part, order, F.lit(1).cast("bigint"), out).drop(SLICE)
 
 
-def trailing(
-    df: DataFrame, part: Sequence[str], ts: str, seconds: float, **aggregates: Column
-) -> DataFrame:
-    """Aggregates over the left-open time window ``(ts - seconds, ts]`` of each row.
+def running_max(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Largest value up to and including the current row, in ``order`` within ``part``."""
+    inner, across = _spans(part, order)
+    carry = df.groupBy(*part, SLICE).agg(F.max(value).alias("_t")).withColumn("_carry", F.max("_t").over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    local = df.withColumn(out, F.max(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return local.join(carry, [*part, SLICE]).withColumn(out, F.greatest(out, "_carry")).drop("_carry")
+
+
+def _with_instants(df: DataFrame, part: Sequence[str], ts: str, found: DataFrame) -> DataFrame:
+    us = micros(ts)
+    return df.withColumn("_us", us).join(found, [*part, "_us"]).drop("_us")
+
 
-    Every row goes to its own span of ``seconds`` and, as a source only, to the next span. A window then never
-    needs more than two spans of one key. The frame is by value, so rows with an equal ``ts`` see each other.
+def sliding_max(df: DataFrame, part: Sequence[str], ts: str, seconds: float, value: Column, out: str) -> DataFrame:
+    """Largest ``value`` of the left-open time window ``(ts - seconds, ts]`` of each row; null without values.
+
+    Time is cut into blocks as long as the window. A window is the end of one block and the beginning of the next, so it is
+    the larger of a running maximum from the block's start and one from the end of the block before, backwards. Both run over slices
+    of rows: work and groups don't depend on how many rows a window holds.
     """
-    width = int(seconds * 1_000_000)
-    at = micros(ts)
-    frame = Window.partitionBy(*part, "_span").orderBy("_us").rangeBetween(-(width - 1), 0)
-    spread = (
-        df.withColumn("_us", at)
-        .withColumn("_home", F.floor(F.col("_us") / F.lit(width)))
-        .withColumn("_span", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    )
-    for name, agg in aggregates.items():
-        spread = spread.withColumn(name, agg.over(frame))
-    return spread.where(F.col("_span") == F.col("_home")).drop("_us", "_home", "_span")
+    on, width = list(part), int(seconds * 1_000_000)
+    at = cut_lineage(df.select(*on, micros(ts).alias("_us"), value.alias("_v")).groupBy(*on, "_us").agg(F.max("_v").alias("_v")))
+    block = lambda us: F.floor(us / F.lit(width)).alias("_block")
+    begun = range_slice(at.select(*on, block(F.col("_us")), "_us", "_v"), [*on, "_block"], ["_us"])
+    begun = running_max(begun, [*on, "_block"], ["_us"], "_v", "_begun").select(*on, "_us", "_begun")
+    since = F.col("_us") - width
+    asked = at.select(*on, block(since), (-since).alias("_back"), F.lit(0).alias("_kind"), F.lit(None).cast(at.schema["_v"].dataType).alias("_v"))
+    kept = at.select(*on, block(F.col("_us")), (-F.col("_us")).alias("_back"), F.lit(1).alias("_kind"), "_v")
+    ended = range_slice(asked.unionAll(kept), [*on, "_block"], ["_back", "_kind"])
+    ended = running_max(ended, [*on, "_block"], ["_back", "_kind"], "_v", "_ended").where("_kind = 0")
+    ended = ended.select(*on, (width - F.col("_back")).alias("_us"), "_ended")
+    return _with_instants(df, on, ts, begun.join(ended, [*on, "_us"]).select(*on, "_us", F.greatest("_begun", "_ended").alias(out)))
+
+
+def sliding_first(df: DataFrame, part: Sequence[str], ts: str, tie: str, seconds: float, value: str, out: str) -> DataFrame:
+    """``value`` of the first row by (ts, tie) of the left-open time window ``(ts - seconds, ts]`` of each row.
+
+    It is what stands next behind the window's start, found by one ordered pass over rows and window starts.
+    """
+    on, width = list(part), int(seconds * 1_000_000)
+    first = F.min_by(F.struct(F.col(value).alias("v")), F.col(tie)).alias("_v")
+    at = cut_lineage(df.withColumn("_us", micros(ts)).groupBy(*on, "_us").agg(first))
+    since = F.col("_us") - width
+    asked = at.select(*on, (-since).alias("_back"), F.lit(0).alias("_kind"), F.lit(None).cast(at.schema["_v"].dataType).alias("_v"))
+    both = range_slice(asked.unionAll(at.select(*on, (-F.col("_us")).alias("_back"), F.lit(1).alias("_kind"), "_v")), on, ["_back", "_kind"])
+    found = last_known(both, on, ["_back", "_kind"], F.col("_v"), "_first").where("_kind = 0")
+    return _with_instants(df, on, ts, found.select(*on, (width - F.col("_back")).alias("_us"), F.col("_first.v").alias(out)))
 
 
 def sliding_count(
@@ -134,7 +162,7 @@ def sliding_count(
 
     A sweep: an instant enters at its time and leaves ``seconds`` later, and the running sum of both is the count.
     A sliding window frame would walk through the whole window again for every row. ``distinct`` counts events at
-    the same instant once.
+    the same instant once. Slices are ranges of rows unless ``slice_seconds`` cuts them by time.
     """
     width = int(seconds * 1_000_000)
     at = df.select(*part, micros(ts).alias("_us")).groupBy(*part, "_us").agg(F.count(F.lit(1)).alias("_n"))
@@ -144,6 +172,9 @@ def sliding_count(
         F.struct((F.col("_us") + width).alias("_at"), F.lit(0).alias("_in"), (-weight).alias("_w")),
     )
     sweep = at.select(*part, F.explode(moves).alias("_m")).select(*part, "_m.*")
-    sweep = sweep.withColumn(SLICE, F.floor(F.col("_at") / F.lit(int((slice_seconds or seconds) * 1_000_000))))
+    if slice_seconds:
+        sweep = sweep.withColumn(SLICE, F.floor(F.col("_at") / F.lit(int(slice_seconds * 1_000_000))))
+    else:
+        sweep = range_slice(sweep, part, ["_at", "_in"])
     counted = running_sum(sweep, part, ["_at", "_in"], F.col("_w"), out)
     return counted.where("_in = 1").select(*part, F.col("_at").alias("us"), out)

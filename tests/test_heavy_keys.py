@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensfold.operators import anchored
+from lensfold.operators import anchored, sliced
 from lensfold.operators.sliced import SLICE
 
 START = 1_700_000_000_000_000
@@ -79,3 +79,32 @@ def test_a_machine_over_slices(spark):
     df = spark.createDataFrame(log, "key string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
     got = [{(r["key"], r["s"]): r["n"] for r in anchored.finite_machine(df, ["key"], "ts", "s", 6, run, "v", "n", T.LongType(), heavy=h).collect()} for h in (100, 10**6)]
     assert got[0] == got[1] and len(got[0]) == 2030 and set(got[0].values()) == set(range(6))
+
+
+@pytest.mark.parametrize("seconds", [5, 60, 3000])
+def test_windows_that_slide(spark, seconds):
+    """Largest and first value of a window, with ties, gaps and missing values, against all rows."""
+    rng, log = random.Random(seconds), []
+    for key, n in (("hot", 500), ("cold", 20)):
+        at = -50
+        for i in range(n):
+            at += rng.choice([0, 0, 1, 3, 40])
+            log.append((key, at, i, rng.choice([None, *range(20)])))
+    df = spark.createDataFrame(log, "key string, s long, id long, v long").withColumn("ts", F.timestamp_seconds("s"))
+    window = lambda k, s: [r for r in log if r[0] == k and s - seconds < r[1] <= s]
+    most = {(k, i): max((r[3] for r in window(k, s) if r[3] is not None), default=None) for k, s, i, _ in log}
+    first = {(k, i): min(window(k, s), key=lambda r: (r[1], r[2]))[3] for k, s, i, _ in log}
+    assert {(r["key"], r["id"]): r["m"] for r in sliced.sliding_max(df, ["key"], "ts", seconds, F.col("v"), "m").collect()} == most
+    assert {(r["key"], r["id"]): r["f"] for r in sliced.sliding_first(df, ["key"], "ts", "id", seconds, "v", "f").collect()} == first
+    counts = {(r["key"], r["us"] // 1_000_000): r["in_window"] for r in sliced.sliding_count(df, ["key"], "ts", seconds).collect()}
+    assert counts == {(k, s): len(window(k, s)) for k, s, *_ in log}
+
+
+def test_a_window_over_a_million_rows(spark):
+    """Every window holds all rows before: time does not grow with what a window holds."""
+    n = 1_000_000
+    log = spark.range(n).select(F.lit("k").alias("key"), F.timestamp_micros(F.lit(START) + F.col("id")).alias("ts"), "id", ((F.col("id") * 7919) % 1_000_003).alias("v"))
+    out = sliced.sliding_max(log, ["key"], "ts", 3600, F.col("v"), "m")
+    got = out.where("id in (0, 10, 999999)").select("id", "m").orderBy("id").collect()
+    best = [max((i * 7919) % 1_000_003 for i in range(last + 1)) for last in (0, 10, 999_999)]
+    assert [r["m"] for r in got] == best
