@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lensfold.operators import pivots
 from lensfold.operators import similarity as S
 from lensfold.operators.centroids import vector_dim
+from lensfold.operators.skew import lookup
 from lensfold.session import cut_lineage
 
 
@@ -48,36 +49,53 @@ def _finished(graph: DataFrame, on: list[str]) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, ident: str, part: Sequence[str], small: int = SMALL) -> DataFrame:
     """(part, id, comp): comp is the smallest id of the component. ``edges`` has (part, src, dst).
 
-    Each round hooks every vertex of the remaining graph to its smallest neighbour, halves the chains twice, and
-    contracts the graph. The graph that is left shrinks by a constant factor per round, so rounds are
-    logarithmic; every round is written to reliable storage, since lineage would otherwise double. Once no more
+    Each round hooks every vertex of the remaining graph to one neighbour, follows the pointers, and contracts the graph. Which
+    neighbour comes first is drawn anew each round, so chains of pointers stay short whatever order ids have, and the graph shrinks by a
+    constant factor per round. Every round is written to reliable storage, since lineage would otherwise double. Once no more
     than ``small`` edges are left, each part is finished in one task; the result is the same.
     """
     on = list(part)
     out = nodes.select(*on, F.col(ident), F.col(ident).alias("comp"))
     graph = cut_lineage(edges.where("src <> dst").select(*on, "src", "dst").distinct())
+    rounds = size = 0
     while left := graph.count():
         if left <= small:
             hook, graph = cut_lineage(_finished(graph, on)), graph.limit(0)
         else:
-            hook, graph = _contracted(graph, on)
+            hook, graph = _contracted(graph, on, left, rounds)
         moved = hook.select(*on, F.col("_v").alias("comp"), "_to")
-        out = out.join(moved, [*on, "comp"], "left").select(*on, ident, F.coalesce("_to", "comp").alias("comp"))
-    return out
-
-
-def _contracted(graph: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Where each vertex goes, and the edges between different goals."""
+        if rounds:
+            out = lookup(out, moved, [*on, "comp"], size)
+        else:  # every node still has a name of its own
+            out = out.join(moved, [*on, "comp"], "left")
+        out = out.select(*on, ident, F.coalesce("_to", "comp").alias("comp"))
+        if not left <= small or rounds:
+            out = cut_lineage(out)
+            size = size or out.count()
+            rounds += 1
+    if not rounds:
+        return out
+    names = out.groupBy(*on, "comp").agg(F.min(ident).alias("_name"))
+    return lookup(out, names, [*on, "comp"], size, "inner").select(*on, ident, F.col("_name").alias("comp"))
+
+
+def _contracted(graph: DataFrame, on: list[str], size: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Where each vertex goes, and the edges between different goals. A vertex that many edges or pointers meet is looked up where
+    they lie.
+
+    All vertices point at the neighbour that comes first. Pointers run in a circle only between two vertices that point at each other:
+    the smaller one stays."""
     both = graph.unionByName(graph.select(*on, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    hook = both.groupBy(*on, "src").agg(F.min("dst").alias("_m"))
-    hook = hook.select(*on, F.col("src").alias("_v"), F.least("src", "_m").alias("_to"))
-    for _ in range(2):
+    first = F.min(F.struct(F.xxhash64("dst", F.lit(turn)).alias("h"), "dst"))
+    hook = cut_lineage(both.groupBy(*on, F.col("src").alias("_v")).agg(first.alias("_f")).select(*on, "_v", F.col("_f.dst").alias("_to")))
+    for step in range(4):
         jump = hook.select(*on, F.col("_v").alias("_to"), F.col("_to").alias("_next"))
-        hook = hook.join(jump, [*on, "_to"], "left").select(*on, "_v", F.coalesce("_next", "_to").alias("_to"))
-    hook = cut_lineage(hook)
+        to = F.col("_next") if step else F.when(F.col("_next") == F.col("_v"), F.least("_v", "_to")).otherwise(F.col("_to"))
+        hook = cut_lineage(lookup(hook, jump, [*on, "_to"], 2 * size).select(*on, "_v", to.alias("_to")))
     as_src = hook.select(*on, F.col("_v").alias("src"), F.col("_to").alias("_a"))
     as_dst = hook.select(*on, F.col("_v").alias("dst"), F.col("_to").alias("_b"))
-    rest = graph.join(as_src, [*on, "src"]).join(as_dst, [*on, "dst"]).where("_a <> _b")
+    half = cut_lineage(lookup(graph, as_src, [*on, "src"], size, "inner"))
+    rest = lookup(half, as_dst, [*on, "dst"], size, "inner").where("_a <> _b")
     return hook, cut_lineage(rest.select(*on, F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct())
 
 
