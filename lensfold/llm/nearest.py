@@ -4,7 +4,9 @@ Vectors are projected at random once per curve, shifted, laid on a grid and orde
 is cut into ranges of about ``SLICE_ROWS`` rows, which Spark deals out. A query goes to its own range and to the
 neighbouring ones on every curve; what these windows hold is ranked by the exact distance, and the ranks of all curves
 are merged. The width of the windows is measured: for at most ``PROBES`` queries the true neighbours are searched in
-all rows, and the width is the one at which ``target`` of them share a window on at least one curve.
+all rows, and the width is the one at which ``target`` of them share a window on at least one curve. Vectors that lie close
+together share keys, so a range may hold any number of rows: beyond ``MOST_ROWS`` its rows are dealt to several parts by a hash of
+the id, its queries go to each part, and their answers are merged like those of other ranges.
 
 Projections, grid and range boundaries come from at most ``SAMPLE`` vectors (by hash of the id); all rows are indexed.
 Only the k + 1 smallest ids of equal vectors can be among k neighbours, so other copies aren't indexed; equal queries are
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import written
+from lensfold.llm.common import few, written
 
 CURVES, AXES, BITS = 24, 7, 9
-SLICE_ROWS, MOST_SLICES, SAMPLE, PROBES = 512, 4096, 20_000, 100
+SLICE_ROWS, SAMPLE, PROBES = 512, 20_000, 100
+#: Rows of a range that one task loads at most, about: a range with more is dealt to several.
+MOST_ROWS = 4 * SLICE_ROWS
 #: Neighbours taken from a window by rounded distance before the exact one is computed.
 SPARE = 8
 
@@ -66,7 +70,7 @@ class Curves:
         dim = sample.shape[1]
         axes = min(AXES, dim)
         self.mean = sample.mean(axis=0)
-        slices = max(1, min(rows // SLICE_ROWS, MOST_SLICES, len(sample)))
+        slices = max(1, min(rows // SLICE_ROWS, len(sample)))
         self.turns, self.low, self.span, self.shift, self.bounds = [], [], [], [], []
         for _ in range(curves):
             self.turns.append(np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :axes])
@@ -167,9 +171,19 @@ def nearest(
 
         return run
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = index.slices(stacked(batch["v"], dim)).astype("int32")
+            yield pa.record_batch({"curve": np.tile(np.arange(at.shape[1], dtype="int32"), len(at)), "slice": at.ravel()})
+
     schema = "curve int, slice int, id long, v array<double>"
-    left = indexed.select("vec_id", "v").mapInArrow(placed(0), schema)
-    right = queries.select("cls", "v").mapInArrow(placed(wide), schema)
+    ranges = indexed.select("v").mapInArrow(counted, "curve int, slice int").groupBy("curve", "slice").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).cast("int").alias("parts"))
+    full = few(written(ranges.where("parts > 1"), "ann-full"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = indexed.select("vec_id", "v").mapInArrow(placed(0), schema).join(full, ["curve", "slice"], "left")
+    left = left.select("curve", "slice", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "v")
+    right = queries.select("cls", "v").mapInArrow(placed(wide), schema).join(full, ["curve", "slice"], "left")
+    right = right.select("curve", "slice", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", "v")
 
     def ranked(rows: pa.Table, asked: pa.Table) -> pa.Table:
         cls, ids, scores = asked["id"].to_pylist(), [], []
@@ -181,7 +195,8 @@ def nearest(
             cls = []
         return pa.Table.from_batches([found_table(cls, ids, scores)])
 
-    found = left.groupBy("curve", "slice").cogroup(right.groupBy("curve", "slice")).applyInArrow(ranked, FOUND)
+    at = ["curve", "slice", "part"]
+    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(ranked, FOUND)
     best = written(merged(found, k + 1), "ann-best")
     pairs = asked.join(classes, "same").select(F.col("vec_id").alias("query_id"), "cls").distinct().join(best, "cls").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))

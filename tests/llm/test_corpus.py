@@ -351,6 +351,27 @@ def test_nearest_against_brute_force(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_nearest_with_a_dense_cell(spark, monkeypatch):
+    """A third of all vectors in one grid cell: its ranges are dealt to groups of bounded size and nothing is lost."""
+    rng = np.random.default_rng(8)
+    spread = rng.normal(size=(2000, 16))
+    dense = spread[0] + 1e-7 * rng.normal(size=(1000, 16))
+    vectors = np.concatenate([spread, dense])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nearest, "MOST_ROWS", 100)
+    monkeypatch.setattr(nearest, "SLICE_ROWS", 128)
+    found = nearest.nearest(df, "vec_id % 100 = 0", k=10).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits / 300 >= 0.95 and all(len(x) == 10 for x in got.values())
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(100, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(df, "vec_id % 100 = 0").orderBy("rank").collect()]
