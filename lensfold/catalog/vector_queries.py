@@ -183,6 +183,22 @@ def h1(t):
     return dbscan(R.single_level(t), "id", "v", PART, 0.45)
 
 
+@query("h1_pivots", f"WITH RECURSIVE {R.SQL_SINGLE.replace('fix AS', 'cut AS')}, fix AS (SELECT 0 AS part, id, v FROM cut), {R.sql_components(0.75)} SELECT id, label FROM comp")
+def h1_pivots(t):
+    """All vectors in one key, cut by pivots."""
+    rows = R.single_level(t).select(F.lit(0).alias("part"), "id", "v")
+    return dbscan(rows, "id", "v", PART, 0.25, pivots_from=0).select("id", "label")
+
+
+@query("k2_wide_vectors", f"""WITH {R.SQL_MACROS}, l AS (SELECT label, flatten(list_transform(range(8), lambda k: list_transform(e, lambda x: x * (k + 1)))) AS w FROM embeddings JOIN emb USING (vec_id))
+SELECT label, {_sql_pick('centroid', 1, 512)} FROM {R.sql_unit_mean('l', 'label', 'w')}""")
+def k2_wide(t):
+    """Eight multiples of each vector behind one another: 512 dimensions."""
+    parts = [V.scale("embedding", F.lit(float(k))) for k in range(1, 9)]
+    rows = t.raw("embeddings").select("label", F.concat(*parts).alias("w"))
+    return C.weighted_unit_mean(rows, ["label"], "w", dim=512).select("label", *_pick("centroid", 1, 512))
+
+
 @query("h1_dbscan_noise", f"""WITH RECURSIVE {R.SQL_SINGLE}, all_edge AS (SELECT a.part, a.id AS u, b.id AS w FROM fix a JOIN fix b ON a.part = b.part AND list_cosine_similarity(a.v, b.v) >= 0.925),
 core AS (SELECT part, u AS id FROM all_edge GROUP BY 1, 2 HAVING count(*) >= 4), fix2 AS (SELECT f.part, f.id, f.v FROM fix f JOIN core USING (part, id)), {R.sql_components(0.925, 'fix2')}
 SELECT part, id, coalesce(c.label, b.label, '-') AS label FROM fix LEFT JOIN comp c USING (part, id)

@@ -17,6 +17,7 @@ from lensfold.operators import similarity as S
 from lensfold.operators.components import dbscan
 from lensfold.operators.gates import band_filter
 from lensfold.operators.linkage import average_linkage
+from lensfold.operators.pivots import PIVOTS_FROM
 from lensfold.operators.sliced import position
 from lensfold.session import cut_lineage
 
@@ -64,6 +65,7 @@ class ResolveConfig:
     recount_sizes: bool = False
     dim: int | None = None
     block: int = S.BLOCK
+    pivots_from: int = PIVOTS_FROM
     names: Names = field(default_factory=Names)
 
 
@@ -113,7 +115,7 @@ def member_rows(pending: DataFrame, clusters: DataFrame, n: Names) -> DataFrame:
 def group_members(rows: DataFrame, n: Names, config: ResolveConfig) -> DataFrame:
     """Final group of every member row; null for noise. Density components first, then average linkage."""
     on = list(n.part)
-    labels = cut_lineage(dbscan(rows, "mid", "v", on, config.eps, config.min_samples, config.block))
+    labels = cut_lineage(dbscan(rows, "mid", "v", on, config.eps, config.min_samples, config.block, config.pivots_from))
     labelled = rows.join(labels, [*on, "mid"])
     means = C.weighted_unit_mean(
         labelled.where(F.col("label").isNotNull()), [*on, "label"], "v", dim=config.dim, out="mean"
@@ -126,14 +128,16 @@ def classify(grouped: DataFrame, n: Names, config: ResolveConfig, policy: Policy
     """One row per group: kind in new, expanded, merged, unassigned, skipped, with id, size and centroid."""
     on = list(n.part)
     cent, size = F.col("is_centroid"), F.col("size")
-    agg = grouped.where(F.col("grp").isNotNull()).withColumn("v", C.of_length("v", config.dim)).groupBy(*on, "grp").agg(
-        F.count_if(cent).alias("n_centroids"),
-        F.count_if(~cent).alias("n_members"),
-        F.sum("size").alias("old_size"),
-        F.min(F.when(cent, F.struct((-size).alias("s"), F.col(CLUSTER).alias("c")))).alias("_largest"),
-        F.min(F.when(~cent, F.col("mid"))).alias("_first"),
-        C.vector_sum("v", config.dim, "weight").alias("_sum"),
-    )
+    agg = C.vector_sums(
+        grouped.where(F.col("grp").isNotNull()).withColumn("v", C.of_length("v", config.dim)), [*on, "grp"], "v", config.dim, "weight",
+        {
+            "n_centroids": F.count_if(cent),
+            "n_members": F.count_if(~cent),
+            "old_size": F.sum("size"),
+            "_largest": F.min(F.when(cent, F.struct((-size).alias("s"), F.col(CLUSTER).alias("c")))),
+            "_first": F.min(F.when(~cent, F.col("mid"))),
+        },
+    ).withColumnRenamed("_s", "_sum")
     alone = (F.col("n_members") == 0) & (F.col("n_centroids") <= 1)
     kind = (
         F.when(alone, "skipped")
