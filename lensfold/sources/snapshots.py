@@ -1,4 +1,4 @@
-"""Versioned snapshots: plain Parquet has no update, so a change is the next version of the table."""
+"""Changes by key: plain Parquet has no update, so a change gives the rows of the table as they are afterwards."""
 
 from __future__ import annotations
 
@@ -33,18 +33,6 @@ def bulk_set(base: DataFrame, wanted: DataFrame, key: Sequence[str], **values) -
     return apply_changes(base, keys.withColumns({c: F.lit(v) for c, v in values.items()}), key)
 
 
-def _marker(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/published/version={version}"
-
-
-def publish(tables: dict[str, DataFrame], root: str, version: int) -> None:
-    """Write every table of a version, then the marker that makes the version visible."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/version={version}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(version).alias("v")).coalesce(1).write.mode("overwrite").parquet(_marker(root, version))
-
-
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -53,17 +41,3 @@ def _folder(spark: SparkSession, path: str):
 def path_exists(spark: SparkSession, path: str) -> bool:
     folder, fs = _folder(spark, path)
     return fs.exists(folder)
-
-
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest version whose marker was written; half-written versions are never seen."""
-    if not path_exists(spark, f"{root.rstrip('/')}/published"):
-        return None
-    folder, fs = _folder(spark, f"{root.rstrip('/')}/published")
-    names = [status.getPath().getName() for status in fs.listStatus(folder)]
-    versions = [int(name.split("=")[1]) for name in names if name.startswith("version=")]
-    return max((v for v in versions if path_exists(spark, f"{_marker(root, v)}/_SUCCESS")), default=None)
-
-
-def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}/version={version}")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lensfold.operators.metrics import windowed_counts
 from lensfold.plans.identity import CLUSTER, CLUSTER_COLUMNS, ResolveConfig, resolve
@@ -49,26 +51,67 @@ def ingest_stream(notices: DataFrame, key: str, ts: str, order: Sequence[str], p
     return distinct_notices(notices, key, ts, watermark).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+STATE = ("member", "cluster")  # kinds of rows
+#: Touched keys that are named in a filter; more are joined.
+MOST_NAMED = 1000
+
+
+def _pruned(table: DataFrame, touched: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Rows of the touched keys, which are partitions of the table: others aren't read."""
+    keys = touched.limit(MOST_NAMED + 1).collect()
+    if len(keys) > MOST_NAMED:
+        return table.join(F.broadcast(touched), list(part), "left_semi")
+    wanted = F.lit(False)
+    for key in keys:
+        wanted = wanted | reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(key[p])) for p in part])
+    return table.where(wanted)
+
+
+def resolved_tables(spark: SparkSession, root: str, members: DataFrame, config: ResolveConfig) -> tuple[DataFrame, DataFrame]:
+    """(members with vectors, state) below ``root``, both partitioned by the key; empty before the first batch."""
+    n = config.names
+    key = [f for f in members.schema.fields if f.name in n.part]
+    state = T.StructType([
+        *key, T.StructField("kind", T.StringType()), T.StructField(n.ident, T.StringType()), T.StructField(CLUSTER, T.StringType()),
+        *[T.StructField(c, T.LongType() if c.endswith("size") else T.ArrayType(T.FloatType())) for c in CLUSTER_COLUMNS], T.StructField("batch", T.LongType()),
+    ])
+    vectors = T.StructType([*[f for f in members.schema.fields if f.name != CLUSTER], T.StructField("batch", T.LongType())])
+    vectors = T.StructType([T.StructField(f.name, T.StringType()) if f.name == n.ident else f for f in vectors.fields])
+    folders = (f"{root.rstrip('/')}/members", vectors), (f"{root.rstrip('/')}/state", state)
+    return tuple(spark.read.schema(schema).parquet(path) if snapshots.path_exists(spark, path) else spark.createDataFrame([], schema) for path, schema in folders)
+
+
 def resolve_stream(members: DataFrame, root: str, checkpoint: str, config: ResolveConfig):
-    """Writer that resolves arriving vectors against the clusters so far, one snapshot version per batch.
+    """Writer that resolves arriving vectors against the clusters so far. Of two tables partitioned by the key, only the partitions that a
+    batch touches are read and replaced: ``members`` gets the batch's vectors beside the others, ``state`` holds a narrow row for each member
+    and one for each cluster, in the same files.
 
-    Version N+1 is a function of version N and the batch, new ids come from content, and the marker is written
-    last: a batch that is run again gives the same version. Pending members of earlier batches take part again.
+    A batch that is run again replaces its own vectors and leaves keys alone whose state it has already written; new ids come from
+    content. Pending members of earlier batches take part again.
     """
     n = config.names
+    on = list(n.part)
+
+    def overwrite(df: DataFrame, name: str, keys: list[str]) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root.rstrip('/')}/{name}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        fresh = batch.withColumn(n.ident, F.col(n.ident).cast("string"))
-        known, clusters = fresh, None
-        if version > 1:
-            known = snapshots.read_version(spark, root, "members", version - 1).unionByName(fresh, allowMissingColumns=True)
-            clusters = snapshots.read_version(spark, root, "clusters", version - 1)
-        known = cut_lineage(known)
-        done = resolve(known, clusters, replace(config))
-        state = known.drop(CLUSTER).join(done.members, [*n.part, n.ident])
-        table = done.clusters.select(*n.part, CLUSTER, *CLUSTER_COLUMNS)
-        snapshots.publish({"members": state, "clusters": table}, root, version)
+        fresh = batch.drop(CLUSTER).withColumn(n.ident, F.col(n.ident).cast("string")).withColumn("batch", F.lit(batch_id).cast("long"))
+        overwrite(fresh, "members", [*on, "batch"])
+        vectors, state = resolved_tables(batch.sparkSession, root, batch, config)
+        touched = cut_lineage(batch.select(*on).distinct())
+        before = cut_lineage(_pruned(state, touched, on))
+        written = before.where(F.col("batch") >= batch_id).select(*on).distinct()
+        touched = cut_lineage(touched.join(written, on, "left_anti"))
+        if touched.isEmpty():
+            return
+        before = before.join(written, on, "left_anti")
+        assigned = before.where("kind = 'member'").select(*on, n.ident, CLUSTER)
+        known = cut_lineage(_pruned(vectors.where(F.col("batch") <= batch_id).drop("batch"), touched, on).join(assigned, [*on, n.ident], "left"))
+        clusters = before.where("kind = 'cluster'").select(*on, CLUSTER, *CLUSTER_COLUMNS)
+        done = resolve(known, None if clusters.isEmpty() else clusters, replace(config))
+        rows = [done.members.withColumn("kind", F.lit(STATE[0])), done.clusters.withColumn("kind", F.lit(STATE[1]))]
+        after = rows[0].unionByName(rows[1], allowMissingColumns=True).withColumn("batch", F.lit(batch_id).cast("long"))
+        overwrite(cut_lineage(after.select(*state.columns)).hint("rebalance", *on), "state", on)
 
     return members.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

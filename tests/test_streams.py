@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lensfold.operators import anchored, metrics, runs
 from lensfold.plans import identity
-from lensfold.sources import snapshots
 from lensfold.streaming import ingest, stateful
 
 T0 = dt.datetime(2024, 3, 1)
@@ -206,7 +205,38 @@ def test_incremental_resolution(spark, tmp_path):
     stream = ingest.file_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
     query = ingest.resolve_stream(stream, root, f"{tmp_path}/check", config).trigger(availableNow=True).start()
     assert query.awaitTermination(300)
-    assert snapshots.latest_version(spark, root) == 2
-    sizes = sorted(r.cluster_size for r in snapshots.read_version(spark, root, "clusters", 2).collect())
-    members = snapshots.read_version(spark, root, "members", 2)
-    assert sizes == [4, 4, 4] and members.where("cluster_id is null").count() == 0 and members.count() == 12
+    members, state = ingest.resolved_tables(spark, root, spark.read.parquet(str(folder)), config)
+    sizes = sorted(r.cluster_size for r in state.where("kind = 'cluster'").collect())
+    found = state.where("kind = 'member'")
+    assert sizes == [4, 4, 4] and found.where("cluster_id is null").count() == 0 and found.count() == members.count() == 12
+
+
+def test_resolution_touches_the_keys_of_a_batch_only(spark, tmp_path):
+    """Files of other keys keep their names; a batch that is run again changes nothing."""
+    schema = "part int, id string, embedding array<double>, yaw double, pitch double, roll double, quality_passed boolean, cluster_id string"
+    folder, root, config = tmp_path / "in", f"{tmp_path}/state", identity.ResolveConfig(dim=3)
+
+    def arrive(parts, name):
+        rows = [(p, f"{name}{p}{c}", [float(x == c) for x in range(3)], 5.0, 5.0, 5.0, True, None) for p in parts for c in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def run(checkpoint):
+        stream = ingest.file_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
+        query = ingest.resolve_stream(stream, root, f"{tmp_path}/{checkpoint}", config).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+
+    files = lambda: {p.parent.name: {f.name for f in p.parent.glob("*.parquet")} for p in (tmp_path / "state" / "state").glob("part=*/*.parquet")}
+    arrive([1, 2, 3], "a")
+    run("c")
+    before = files()
+    arrive([2], "b")
+    run("c")
+    after = files()
+    assert before.keys() == after.keys() == {"part=1", "part=2", "part=3"}
+    assert before["part=1"] == after["part=1"] and before["part=3"] == after["part=3"] and before["part=2"] != after["part=2"]
+    _, state = ingest.resolved_tables(spark, root, spark.read.parquet(str(folder)), config)
+    rows = lambda: sorted((r.part, r.kind, r.id or "", r.cluster_id, r.cluster_size or 0) for r in ingest.resolved_tables(spark, root, spark.read.parquet(str(folder)), config)[1].collect())
+    first = rows()
+    assert sorted(r.cluster_size for r in state.where("kind = 'cluster'").collect()) == [1] * 6 + [2] * 3
+    run("started anew")
+    assert rows() == first
