@@ -188,6 +188,17 @@ def d13(t):
     return rollups.outcome_counts(t.photos, "processing_status", ["completed", "failed", "pending"], ["event_id"])
 
 
+@query("d13_observed", with_roles("photos", body="""SELECT count(*) AS total, count(*) FILTER (WHERE processing_status = 'completed') AS completed,
+  count(*) FILTER (WHERE processing_status = 'failed') AS failed, count(*) FILTER (WHERE processing_status = 'pending') AS pending FROM photos"""))
+def d13_observed(t):
+    """Counters of a job that goes over the photos for its own purpose."""
+    names = ["completed", "failed", "pending"]
+    rows, watch = rollups.observed(t.photos, "outcomes", "processing_status", names)
+    rows.write.format("noop").mode("overwrite").save()
+    found = watch.get
+    return t.spark.createDataFrame([tuple(found[n] for n in ("total", *names))], "total long, completed long, failed long, pending long")
+
+
 @query("d14_eta", with_roles("photos", body=COUNTS + """SELECT event_id, total, terminal, CASE WHEN terminal <= 0 THEN -1 WHEN total - terminal <= 0 THEN 0
   ELSE CAST(floor((total - terminal) / (terminal / (event_id % 600 + 1))) AS BIGINT) END AS eta FROM c"""))
 def d14(t):

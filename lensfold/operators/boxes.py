@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensfold.operators.listing import best_per_group, first_n
@@ -156,6 +156,55 @@ def _nms_packs(boxes: DataFrame, image: list[str], corners: Sequence[str], score
     return packed.groupBy("_pack").applyInArrow(suppress, boxes.schema)
 
 
+class _Suppress:
+    """Rows of one image, best first, go out unless a box that went out before covers them by more than ``limit``."""
+
+    corners: Sequence[str] = ()
+    limit = 1.0
+
+    def __init__(self):
+        self.kept, self.n = np.empty((64, 4)), 0
+
+    def eval(self, row):
+        box = np.array([row[c] for c in self.corners], dtype=np.float64)
+        kept = self.kept[: self.n]
+        side = np.minimum(kept[:, 2:], box[2:]) + 1.0 - np.maximum(kept[:, :2], box[:2])
+        both = np.clip(side, 0, None).prod(axis=1)
+        area = np.prod(kept[:, 2:] + 1.0 - kept[:, :2], axis=1) + np.prod(box[2:] + 1.0 - box[:2]) - both
+        if (both / area > self.limit).any():
+            return
+        if self.n == len(self.kept):
+            self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
+        self.kept[self.n] = box
+        self.n += 1
+        yield tuple(row)
+
+
+def register_suppression(spark: SparkSession, name: str, boxes: DataFrame, corners: Sequence[str], limit: float) -> None:
+    """Make suppression a table function of SQL for tables like ``boxes``::
+
+        SELECT * FROM name(TABLE(boxes) PARTITION BY image ORDER BY score DESC, ord)
+
+    Rows of an image are read one after the other; only those that stay are held."""
+    own = type("Suppress", (_Suppress,), {"corners": tuple(corners), "limit": float(limit)})
+    spark.udtf.register(name, F.udtf(own, returnType=boxes.schema))
+
+
+def suppressed_by_sql(
+    boxes: DataFrame, image: Sequence[str], corners: Sequence[str], score: str, order: str, limit: float, group_limit: int = 5000, cell: float = 256.0
+) -> DataFrame:
+    """``nms`` through the table function. Images with more than ``group_limit`` boxes go to rounds of joins, so that no
+    call reads more."""
+    on, spark = list(image), boxes.sparkSession
+    heavy = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_limit).select(*on)
+    large = not heavy.isEmpty()
+    register_suppression(spark, "suppressed_boxes", boxes, corners, limit)
+    light = boxes.join(heavy, on, "left_anti") if large else boxes
+    names = lambda cols: ", ".join(f"`{c}`" for c in cols)
+    out = spark.sql(f"SELECT * FROM suppressed_boxes(TABLE({{boxes}}) PARTITION BY ({names(on)}) ORDER BY (`{score}` DESC, `{order}`))", boxes=light)
+    return out.unionByName(_nms_rounds(boxes.join(heavy, on, "left_semi"), on, corners, score, order, limit, cell)) if large else out
+
+
 def _nms_rounds(boxes: DataFrame, image: list[str], corners: Sequence[str], score: str, order: str, limit: float, cell: float) -> DataFrame:
     """A box is kept once no better open box overlaps it; boxes overlapping a kept one are closed. Below a limit of 1, copies
     of a box are covered by their best copy, so only that one enters the overlap join; from 1 on nothing covers anything."""

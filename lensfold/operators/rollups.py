@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -108,6 +108,17 @@ def outcome_counts(df: DataFrame, status: str, names: Sequence[str], by: Sequenc
     return df.groupBy(*by).agg(*[F.count_if(F.col(status) == n).alias(n) for n in names])
 
 
+def observed(df: DataFrame, name: str, status: str, names: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``df`` with counters of its outcomes that the job which writes it fills on the way: no pass of their own. ``Observation.get`` has
+    them after the job. A stream with counters reports them for every batch, under ``name`` in its progress (``observed_stream``)."""
+    watch = Observation(name)
+    return df.observe(watch, F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == n).alias(n) for n in names]), watch
+
+
+def observed_stream(stream: DataFrame, name: str, status: str, names: Sequence[str]) -> DataFrame:
+    return stream.observe(name, F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == n).alias(n) for n in names])
+
+
 def eta_seconds(total: str, done: str, elapsed: str) -> Column:
     """Whole seconds left at the average pace; null before any progress, 0 when finished."""
     left = F.col(total) - F.col(done)
