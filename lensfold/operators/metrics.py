@@ -113,11 +113,15 @@ def daily_budget(points: DataFrame, series: Sequence[str], ts: str, tie: str, va
     One row per day is the once-a-day rule. The last point of a series and day is offered to every day that may still see
     it.
     """
-    latest = lambda df, of: df.groupBy("day", *series).agg(F.max_by("_v", of).alias("_v"), F.max(of).alias("_at"))
-    daily = latest(points.where(F.col(value).isNotNull()).withColumns({"day": F.to_date(ts), "_v": F.col(value)}), F.struct(ts, tie))
+    last = F.max_by("_v", F.struct(ts, tie)).alias("_v"), F.max(F.struct(ts, tie)).alias("_at")
+    daily = points.where(F.col(value).isNotNull()).withColumns({"day": F.to_date(ts), "_v": F.col(value)}).groupBy("day", *series).agg(*last)
+    return budget_totals(daily, series, budget, days)
+
+
+def budget_totals(daily: DataFrame, series: Sequence[str], budget: float, days: int = 3) -> DataFrame:
+    """(day, total, alert) from the latest point (_v, _at) of each series and day."""
     seen = daily.withColumn("day", F.explode(F.sequence("day", F.date_add("day", days - 1))))
-    last = latest(seen, F.col("_at"))
-    total = last.groupBy("day").agg(F.sum("_v").alias("total"))
+    total = seen.groupBy("day", *series).agg(F.max_by("_v", "_at").alias("_v")).groupBy("day").agg(F.sum("_v").alias("total"))
     return total.withColumn("alert", F.col("total") > budget)
 
 

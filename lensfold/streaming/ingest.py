@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lensfold.operators.metrics import windowed_counts
+from lensfold.operators.metrics import budget_totals, windowed_counts
 from lensfold.plans.identity import CLUSTER, CLUSTER_COLUMNS, ResolveConfig, resolve
 from lensfold.session import cut_lineage
 from lensfold.sources import snapshots
@@ -51,6 +52,34 @@ def ingest_stream(notices: DataFrame, key: str, ts: str, order: Sequence[str], p
     return distinct_notices(notices, key, ts, watermark).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def budget_stream(points: DataFrame, series: Sequence[str], ts: str, tie: str, value: str, budget: float, path: str, checkpoint: str, days: int = 3, watermark: str = WATERMARK):
+    """Writer of the daily budget. The latest point of a series and day comes out once, when the watermark has passed the day; it goes to
+    ``path``/daily, and the totals of the days that may see it, in ``path``/totals, are made anew from the ``days`` days that they see.
+
+    A day's row is final once the watermark has passed it, so an alert is due once a day. Days are partitions and are replaced
+    as a whole: a batch that is run again gives the same rows.
+    """
+    on, root = list(series), path.rstrip("/")
+    known = points.where(F.col(value).isNotNull()).withWatermark(ts, watermark).withColumn("_at", F.struct(ts, tie))
+    last = known.groupBy(F.window(ts, "1 day"), *on).agg(F.max_by(value, "_at").alias("_v"), F.max("_at").alias("_at"))
+    daily = last.select(F.to_date("window.start").alias("day"), *on, "_v", "_at")
+
+    def overwrite(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/{name}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = [r["day"] for r in batch.select("day").distinct().collect()]  # days that the watermark has passed since the last batch
+        if not done:
+            return
+        spark = batch.sparkSession
+        overwrite(batch, "daily")
+        touched = sorted({d + timedelta(days=i) for d in done for i in range(days)})
+        seen = spark.read.schema(batch.schema).parquet(f"{root}/daily").where(F.col("day").between(touched[0] - timedelta(days=days - 1), touched[-1]))
+        overwrite(budget_totals(seen, on, budget, days).where(F.col("day").isin(touched)), "totals")
+
+    return daily.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
 STATE = ("member", "cluster")  # kinds of rows
 #: Touched keys that are named in a filter; more are joined.
 MOST_NAMED = 1000

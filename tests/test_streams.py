@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -240,3 +242,24 @@ def test_resolution_touches_the_keys_of_a_batch_only(spark, tmp_path):
     assert sorted(r.cluster_size for r in state.where("kind = 'cluster'").collect()) == [1] * 6 + [2] * 3
     run("started anew")
     assert rows() == first
+
+
+def test_daily_budget_stream(spark, tmp_path):
+    """Points out of order, over days with holes: the totals are those of the batch, each day once."""
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        day = rng.choice([0, 1, 2, 5, 6, 10])
+        rows.append((rng.choice("ab"), rng.choice("xyz"), 86_400 * day + rng.randrange(86_400), i, rng.choice([None, *map(float, range(9))])))
+    rows.sort(key=lambda r: r[2] // 7200 + rng.random() * 0.01)  # out of order within two hours
+    schema = "bucket string, kind string, s long, id long, v double"
+    for at in range(0, 400, 50):
+        spark.createDataFrame(rows[at : at + 50], schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("z", "z", 86_400 * 30, 999, 1.0)], schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    points = spark.read.parquet(f"{tmp_path}/in")
+    for checkpoint in ("c1", "c2"):  # the second run starts over
+        stream = ingest.file_stream(spark, f"{tmp_path}/in", points.schema)
+        query = ingest.budget_stream(stream, ["bucket", "kind"], "ts", "id", "v", 20.0, f"{tmp_path}/budget", f"{tmp_path}/{checkpoint}", watermark="3 hours").trigger(availableNow=True).start()
+        assert query.awaitTermination(200)
+        got = {(str(r["day"]), round(r["total"], 6), r["alert"]) for r in spark.read.parquet(f"{tmp_path}/budget/totals").collect()}
+        want = metrics.daily_budget(points.where("id < 999"), ["bucket", "kind"], "ts", "id", "v", 20.0).collect()
+        assert got == {(str(r["day"]), round(r["total"], 6), r["alert"]) for r in want} and {a for *_, a in got} == {True, False}
