@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lensfold.operators.metrics import QUOTA_BANDS, quota_step
 
@@ -23,6 +23,84 @@ WATERMARK = "10 minutes"
 Step = Callable[[tuple | None, list[tuple]], tuple[tuple | None, list[tuple]]]
 
 
+#: Rows wait in groups of so many seconds of event time; a group is one value of the map state.
+WAITING_SECONDS = 60
+
+
+class _Machine(StatefulProcessor):
+    """Rows wait in a map from a span of event time to the rows in it; what is stated and the number of the next timer are values.
+
+    A call writes the spans that its rows fall into and removes those that the watermark has passed: others aren't touched, however
+    many rows wait."""
+
+    def __init__(self, step: Step, state: str, waiting: str, names: Sequence[str], places: Sequence[int], timeout, expired):
+        self.step, self.state_schema, self.waiting_schema, self.names = step, state, waiting, list(names)
+        self.places, self.timeout, self.expired = list(places), timeout, expired  # columns of time and inputs: names may be changed on the way
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", self.state_schema)
+        self.waiting = handle.getMapState("waiting", "span bigint", self.waiting_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            for r in pdf.iloc[:, self.places].itertuples(index=False, name=None):
+                spans.setdefault(r[0] // (WAITING_SECONDS * 1_000_000), []).append(r)
+        for span, own in spans.items():
+            held = self._rows(self.waiting.getValue((span,))) if self.waiting.containsKey((span,)) else []
+            self.waiting.updateValue((span,), self._columns(held + own))
+        yield from self._run(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._run(key, timerValues.getCurrentWatermarkInMs())
+
+    @staticmethod
+    def _rows(columns: tuple) -> list[tuple]:
+        return list(zip(*columns, strict=True))
+
+    @staticmethod
+    def _columns(rows: list[tuple]) -> tuple:
+        return tuple(list(c) for c in zip(*rows, strict=True))
+
+    def _run(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        ready, first = [], None
+        spans = sorted(k[0] for k in self.waiting.keys())
+        for span in spans:
+            if span * WAITING_SECONDS * 1000 > mark:
+                first = span * WAITING_SECONDS * 1000
+                break
+            rows = self._rows(self.waiting.getValue((span,)))
+            later = [r for r in rows if r[0] > mark * 1000]
+            ready += [r for r in rows if r[0] <= mark * 1000]
+            if later:
+                if len(later) < len(rows):
+                    self.waiting.updateValue((span,), self._columns(later))
+                first = min(r[0] for r in later) // 1000
+                break
+            self.waiting.removeKey((span,))
+        current = tuple(self.current.get()) if self.current.exists() else None
+        before, out = current, []
+        if ready:
+            current, out = self.step(current, sorted(ready))
+        end = self.timeout(current) if self.timeout is not None and current is not None else None
+        if end is not None and end <= mark:
+            out = out + (self.expired(current) if self.expired else [])
+            current = end = None
+        if current is None and before is not None:
+            self.current.clear()
+        elif current is not None and current != before:
+            self.current.update(tuple(current))
+        due = [t for t in (end, None if first is None else first + 1) if t is not None]
+        if due:
+            self.handle.registerTimer(max(min(due), mark + 1))
+        if out:
+            yield pd.DataFrame([(*key, *row) for row in out], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
 def keyed_machine(
     stream: DataFrame, key: Sequence[str], ts: str, inputs: Sequence[str], step: Step, state: str, output: str,
     timeout: Callable[[tuple], int | None] | None = None, expired: Callable[[tuple], list[tuple]] | None = None, watermark: str = WATERMARK,
@@ -35,39 +113,11 @@ def keyed_machine(
     on = list(key)
     schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in on)
     names = [*on, *[f.name for f in T._parse_datatype_string(output).fields]]
-    width = len(T._parse_datatype_string(state).fields)
-    waiting = ", ".join(["_wait_us array<bigint>", *[f"_wait_{i} array<{stream.schema[c].dataType.simpleString()}>" for i, c in enumerate(inputs)]])
-
-    def update(group, batches: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        live, *held = store.get if store.exists else (False, *[None] * width, *[[]] * (1 + len(inputs)))
-        current = tuple(held[:width]) if live else None
-        rows = list(zip(*held[width:], strict=True))
-        if not store.hasTimedOut:
-            rows += [tuple(r) for pdf in batches for r in pdf[["_us", *inputs]].itertuples(index=False)]
-        mark, out = store.getCurrentWatermarkMs(), []
-        ready = sorted(r for r in rows if r[0] <= mark * 1000)
-        rows = [r for r in rows if r[0] > mark * 1000]
-        if ready:
-            current, out = step(current, ready)
-        end = timeout(current) if timeout is not None and current is not None else None
-        if end is not None and end <= mark:
-            out = out + (expired(current) if expired else [])
-            current = end = None
-        if current is None and not rows:
-            store.remove()
-        else:
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(1 + len(inputs))]
-            store.update((current is not None, *(current or [None] * width), *columns))
-            due = [t for t in (end, min(r[0] for r in rows) // 1000 + 1 if rows else None) if t is not None]
-            if due:
-                store.setTimeoutTimestamp(max(min(due), mark + 1))
-        if out:
-            yield pd.DataFrame([(*group, *row) for row in out], columns=names)
-
-    rows = stream.withWatermark(ts, watermark).select(*on, ts, F.unix_micros(ts).alias("_us"), *[c for c in inputs if c != ts])
-    return rows.groupBy(*on).applyInPandasWithState(
-        update, f"{schema}, {output}", f"_live boolean, {state}, {waiting}", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    waiting = ", ".join(["us array<bigint>", *[f"in_{i} array<{stream.schema[c].dataType.simpleString()}>" for i, c in enumerate(inputs)]])
+    columns = [*on, ts, *[c for c in inputs if c != ts and c not in on]]
+    rows = stream.withWatermark(ts, watermark).select(*columns, F.unix_micros(ts).alias("us"))
+    machine = _Machine(step, state, waiting, names, [len(columns), *[columns.index(c) for c in inputs]], timeout, expired)
+    return rows.groupBy(*on).transformWithStateInPandas(machine, f"{schema}, {output}", "Append", "EventTime")
 
 
 def late_rows(query: StreamingQuery) -> int:
