@@ -20,6 +20,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lensfold.operators.sliced import SLICE, previous_value, range_slice
@@ -109,18 +110,52 @@ def _ranked(tour: DataFrame, on: list[str], small: int) -> DataFrame:
     return known
 
 
+def _at_once(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(part, id, root, depth, enter, leave) of all nodes that hang under a root, walked in one task: for ``SMALL`` elements at most."""
+    ident = rows.schema["_id"]
+    numbers = [T.StructField(c, T.LongType()) for c in ("depth", "enter", "leave")]
+    out = T.StructType([*[rows.schema[p] for p in on], ident, T.StructField("root", ident.dataType), *numbers])
+    arrow = to_arrow_schema(out)
+
+    def walk(table: pa.Table) -> pa.Table:
+        parts = list(zip(*[table[p].to_pylist() for p in on])) if on else [()] * table.num_rows
+        ids, ups = table["_id"].to_pylist(), table["_p"].to_pylist()
+        known, below = set(zip(parts, ids)), {}
+        for part, i, up in zip(parts, ids, ups):
+            below.setdefault((part, up if (part, up) in known else None), []).append(i)
+        found = []
+        for part, head in [(part, i) for (part, up), own in below.items() if up is None for i in own]:
+            n, stack = 0, [(head, 1, None)]
+            while stack:
+                i, depth, row = stack.pop()
+                if row is not None:
+                    row[-1] = n - 1
+                    continue
+                found.append(row := [*part, i, head, depth, n, n])
+                n += 1
+                stack.append((i, depth, row))
+                stack += [(c, depth + 1, None) for c in sorted(below.get((part, i), ()), reverse=True)]
+        columns = zip(*found) if found else [[] for _ in arrow]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.groupBy().applyInArrow(walk, out)
+
+
 def labels(nodes: DataFrame, key: str, parent: str, part: Sequence[str] = (), small: int = SMALL) -> DataFrame:
     """(part, key, root, depth, enter, leave, cycle): depth is 1 at a root, enter and leave count from 0 in each tree."""
     on = list(part)
     rows = cut_lineage(nodes.select(*on, F.col(key).alias("_id"), F.col(parent).alias("_p")))
-    found = _ranked(_tour(rows, on), on, small)
-    ends = found.groupBy(*on, "_id").agg(
-        F.min("_root").alias("root"), F.min(F.when(F.col("_way") == DOWN, F.col("_n"))).alias("_first"),
-        F.max("_n").alias("_last"), F.max(F.when(F.col("_way") == DOWN, F.col("_d"))).alias("depth"),
-    )
+    if 2 * rows.count() <= small:
+        ends = _at_once(rows, on)
+    else:
+        found = _ranked(_tour(rows, on), on, small)
+        down = F.col("_way") == DOWN
+        ends = found.groupBy(*on, "_id").agg(
+            F.min("_root").alias("root"), F.max(F.when(down, F.col("_d"))).alias("depth"), (F.min(F.when(down, F.col("_n"))) - 1).alias("enter"),
+            (F.max("_n") - 1).alias("leave"),
+        )
     return cut_lineage(rows.select(*on, "_id").join(ends, [*on, "_id"], "left").select(
-        *on, F.col("_id").alias(key), "root", F.col("depth").cast("int").alias("depth"), (F.col("_first") - 1).alias("enter"),
-        (F.col("_last") - 1).alias("leave"), F.col("root").isNull().alias("cycle"),
+        *on, F.col("_id").alias(key), "root", F.col("depth").cast("int").alias("depth"), "enter", "leave", F.col("root").isNull().alias("cycle")
     ))
 
 
