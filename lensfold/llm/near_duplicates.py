@@ -32,7 +32,7 @@ from lensfold.operators.components import components
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 16, 0.9999
 #: Nodes of a block, and words that a worker remembers the hash of.
-BLOCK, REMEMBERED = 384, 500_000
+BLOCK, REMEMBERED = 384, 200_000
 
 
 def prefix_length(threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
@@ -115,6 +115,7 @@ def signed(docs: DataFrame, key: str, text: str, words: int, threshold: float) -
             yield pa.record_batch(
                 {"doc_id": batch["doc_id"], "text_digest": batch["text_digest"], "node": pa.array(nodes, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
+        own.known.clear()  # the worker lives on and does other work
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(text_or_empty(text)).alias("text_digest"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_digest binary, node binary, keys array<long>")
