@@ -16,12 +16,21 @@ def newest_of(items: DataFrame, marks: DataFrame, key: str, ts: str) -> DataFram
 def matched_items(items: DataFrame, members: DataFrame, matches: DataFrame, item: str, cluster: str, part: Sequence[str]) -> DataFrame:
     """(session, item) pairs: distinct items that have a member in a matched cluster.
 
-    Memberships are reduced to distinct (part, cluster, item) before the join, so a cluster with many copies
-    in one item shuffles one row.
+    A pair is made once, by the smallest cluster that its session and its item share: both sides carry the clusters that come before in
+    their own list. So pairs are neither shuffled nor made distinct, only memberships are moved.
     """
-    pairs = members.where(F.col(cluster).isNotNull()).select(*part, cluster, item).distinct()
-    hits = pairs.join(matches, [*part, cluster]).drop(cluster).distinct()
-    return hits.join(items.select(item), item, "left_semi")
+    session = [c for c in matches.columns if c not in (*part, cluster)]
+    inside = members.where(F.col(cluster).isNotNull()).select(*part, cluster, item).join(items.select(item), item, "left_semi")
+    seen = _with_earlier(inside, [*part, item], cluster, "_item_before")
+    asked = _with_earlier(matches.where(F.col(cluster).isNotNull()).select(*part, cluster, *session), [*part, *session], cluster, "_session_before")
+    first = (F.size("_session_before") == 0) | (F.size("_item_before") == 0) | ~F.arrays_overlap("_session_before", "_item_before")
+    return seen.join(asked, [*part, cluster]).where(first).select(*part, item, *session)
+
+
+def _with_earlier(rows: DataFrame, owner: Sequence[str], cluster: str, name: str) -> DataFrame:
+    """(owner, cluster, name): each cluster of an owner once, with the smaller ones of that owner."""
+    own = rows.groupBy(*owner).agg(F.array_sort(F.collect_set(cluster)).alias("_all"))
+    return own.select(*owner, "_all", F.posexplode("_all").alias("_pos", cluster)).select(*owner, cluster, F.expr("slice(_all, 1, _pos)").alias(name))
 
 
 def matched_requests(
