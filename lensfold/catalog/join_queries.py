@@ -319,7 +319,7 @@ TREE = """, up(folder_id, anc, depth) AS (SELECT folder_id, folder_id, 1 FROM fo
 
 
 def _tree(t):
-    return tree(t.folders, "folder_id", "parent_id")
+    return tree(t.folders, "folder_id", "parent_id", max_depth=None)
 
 
 def _labels(t):

@@ -13,11 +13,11 @@ from lensfold.session import cut_lineage
 LAZY_ROUNDS = 4
 
 
-def tree(nodes: DataFrame, key: str, parent: str, part: Sequence[str] = (), max_depth: int = 10) -> DataFrame:
+def tree(nodes: DataFrame, key: str, parent: str, part: Sequence[str] = (), max_depth: int | None = 10) -> DataFrame:
     """Root, depth (root = 1), path from the root, and whether the node sits on or under a cycle.
 
     An unknown parent makes a node a root. Paths are whole however deep the tree is: doubling goes on until no node is
-    open. ``max_depth`` only clips the reported ``depth``; nodes on or under a cycle have no root and a partial path.
+    open. ``max_depth`` only clips the reported ``depth`` (None: not at all); nodes on or under a cycle have no root and a partial path.
     """
     on = [*part]
     known = nodes.select(*on, F.col(key).alias("_k"))
@@ -34,11 +34,12 @@ def tree(nodes: DataFrame, key: str, parent: str, part: Sequence[str] = (), max_
     state = cut_lineage(state)
     while not state.where("not _done").isEmpty():
         state = cut_lineage(_doubled(state, on))
+    depth = F.size("_path")
     return state.select(
         *on,
         F.col("_id").alias(key),
         F.when(~F.col("_loop"), F.col("_top")).alias("root"),
-        F.least(F.size("_path"), F.lit(max_depth)).alias("depth"),
+        (depth if max_depth is None else F.least(depth, F.lit(max_depth))).alias("depth"),
         F.col("_path").alias("path"),
         F.col("_loop").alias("cycle"),
     )
