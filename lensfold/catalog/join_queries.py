@@ -226,9 +226,10 @@ x AS (SELECT doc_id, trim(entry) AS entry, pos FROM w WHERE trim(entry) <> '')
 SELECT doc_id, count(*) AS entries, CAST(sum(pos) AS BIGINT) AS places, md5(string_agg(entry, ' ' ORDER BY pos)) AS spelled FROM
  (SELECT doc_id, arg_min(entry, pos) AS entry, min(pos) AS pos FROM x GROUP BY doc_id, lower(entry)) GROUP BY 1""")
 def d18(t):
-    kept = rollups.distinct_ignoring_case(t.raw("documents"), ["doc_id"], "text", " ")
-    spelled = F.md5(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda s: s["entry"])))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("pos").cast("bigint").alias("places"), spelled.alias("spelled"))
+    kept = rollups.spellings(t.raw("documents"), ["doc_id"], "text", " ")
+    places = F.aggregate("spelled", F.lit(0).cast("bigint"), lambda n, x: n + x["pos"])
+    spelled = F.md5(F.concat_ws(" ", F.transform("spelled", lambda x: x["entry"])))
+    return kept.select("doc_id", F.size("spelled").cast("bigint").alias("entries"), places.alias("places"), spelled.alias("spelled"))
 
 
 @query("d22_kpis", with_roles("log", "sessions", "parents", "photos", body="""SELECT 'monthly_views' AS kpi, CAST(count(*) FILTER (WHERE action = 'view') AS DOUBLE) AS value FROM log WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01'

@@ -147,15 +147,37 @@ def upload_sessions(progress: DataFrame, session: str, file: str, ts: str, statu
     )
 
 
+def _first_spellings(entries: Column) -> Column:
+    """Of an array of (_k, pos, entry): the first of each ``_k`` as (pos, entry), in order of their places."""
+    bind = lambda value, use: F.transform(F.array(value), use)[0]
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (x["_k"] != F.get(s, i - 1)["_k"]))
+    return F.sort_array(F.transform(bind(F.sort_array(entries), first), lambda x: F.struct(x["pos"].alias("pos"), x["entry"].alias("entry"))))
+
+
+def spellings(df: DataFrame, by: Sequence[str], text: str, sep: str = ",") -> DataFrame:
+    """(by, spelled): entries of a separated list, unique ignoring case, as an array of (pos, entry) in the order of their first places.
+
+    A key with one row, as ids have, is worked out inside that row and only its text is moved. Rows of other keys are taken apart, so that
+    no list of many rows is in one task before it is unique.
+    """
+    on = list(by)
+    rows = df.where(F.col(text).isNotNull()).select(*on, F.col(text).alias("_text"))
+    keys = rows.select(*on).groupBy(*on).agg((F.count(F.lit(1)) > 1).alias("_several"))
+    same = [F.col(f"_key_{k}").eqNullSafe(F.col(k)) for k in on]
+    several = keys.where("_several").select(*[F.col(k).alias(f"_key_{k}") for k in on])
+    entry = lambda e, i: F.struct(F.lower(F.trim(e)).alias("_k"), i.alias("pos"), F.trim(e).alias("entry"))
+    cut = F.filter(F.transform(F.split("_text", sep), entry), lambda x: x["entry"] != "")
+    filled = F.filter(F.array(_first_spellings(cut)), lambda x: F.size(x) > 0)  # taken out of an array, it is worked out once
+    one = rows.join(several, same, "left_anti").select(*on, F.explode(filled).alias("spelled"))
+    parts = rows.join(several, same, "left_semi").select(*on, F.posexplode(F.split("_text", sep)).alias("pos", "entry")).withColumn("entry", F.trim("entry"))
+    firsts = parts.where(F.col("entry") != "").groupBy(*on, F.lower("entry").alias("_k")).agg(F.min(F.struct("pos", "entry")).alias("_first"))
+    many = firsts.groupBy(*on).agg(F.sort_array(F.collect_list("_first")).alias("spelled"))
+    return one.unionByName(many)
+
+
 def distinct_ignoring_case(df: DataFrame, by: Sequence[str], text: str, sep: str = ",") -> DataFrame:
     """Entries of a separated list, unique ignoring case; first spelling and first place are kept."""
-    parts = df.select(*by, F.posexplode(F.split(text, sep)).alias("pos", "entry")).withColumn("entry", F.trim("entry"))
-    return (
-        parts.where(F.col("entry") != "")
-        .groupBy(*by, F.lower("entry").alias("_k"))
-        .agg(F.min_by("entry", "pos").alias("entry"), F.min("pos").alias("pos"))
-        .drop("_k")
-    )
+    return spellings(df, by, text, sep).select(*by, F.inline("spelled")).select(*by, "entry", "pos")
 
 
 def toggled_on(log: DataFrame, key: Sequence[str]) -> DataFrame:
