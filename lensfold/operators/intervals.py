@@ -3,11 +3,18 @@
 ``enter`` numbers the nodes of a tree in preorder (children by id), ``leave`` is the last number below a node. A node lies under another
 if its number is between the two. Labels take a few numbers a node, however deep the tree is, where paths take one for each ancestor.
 
-The numbers are ranks in the Euler tour, a list for each tree that goes down and up every edge. Lists are ranked by contraction: each round
-a quarter of the elements, no two of them neighbours, hand their counts to the element behind them and leave, and elements behind
-the head of their list are finished and become its head. When ``SMALL`` are left, one task walks along them; then those that left get
-their places back in reverse. All rounds together move a constant number of rows an element, and no node, hub or tree is in one task.
-Fewer elements than that are walked at once; the labels are the same.
+Work goes where it is cheapest, and every step moves a constant number of rows a node:
+
+* While at least half of the nodes have no children, these leave in layers: their parents count them. Bushy trees and hubs are gone after
+  a few rounds. At the end a layer hangs under the numbers of its parents, each node behind its siblings, whose sizes are summed over slices.
+* What remains looks for its root by pointer doubling; nodes that found it are not joined again. Trees that fit a pack are dealt by
+  their root, and a task walks along packs.
+* Trees larger than a pack, and what never finds a root, are ranked in the Euler tour, a list for each tree that goes down and up every edge.
+  Lists are ranked by contraction: each round a quarter of the elements, no two of them neighbours, hand their counts to the element behind
+  them and leave, and elements behind the head of their list are finished and become its head. When ``SMALL`` are left, one task walks
+  along them; then those that left get their places back in reverse.
+
+No hub and no large tree is in one task. Tables of fewer elements than ``SMALL`` are walked at once; the labels are the same.
 
 An unknown parent makes a node a root. Nodes on or under a cycle are in no list that has a head: they have no root.
 """
@@ -17,31 +24,39 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lensfold.operators.sliced import SLICE, previous_value, range_slice
+from lensfold.operators.sliced import SLICE, previous_value, range_slice, running_sum
 from lensfold.session import cut_lineage
 
-#: Elements of the tour that one task walks along.
+#: Elements of the tour that one task walks along; a pack of trees has a quarter of that in nodes.
 SMALL = 200_000
+#: Roots of large trees that are sent to all tasks, at most.
+MOST_KEYS = 5_000
 DOWN, UP = 0, 1
 
 
 def _tour(nodes: DataFrame, on: list[str]) -> DataFrame:
-    """(part, id, way, before, before_way) of every element: what stands before it in the tour; null before a root."""
-    known = nodes.select(*on, F.col("_id").alias("_p"), F.lit(True).alias("_has"))
-    up = nodes.join(known, [*on, "_p"], "left").select(*on, "_id", F.when(F.col("_has"), F.col("_p")).alias("_p"))
-    sliced = range_slice(up, [*on, "_p"], ["_id"])
-    kids = previous_value(sliced.where("_p is not null"), [*on, "_p"], ["_id"], "_id", "_sibling")
-    last = kids.groupBy(*on, F.col("_p").alias("_id")).agg(F.max("_id").alias("_last"))
-    down = kids.select(*on, "_id", F.lit(DOWN).alias("_way"), F.coalesce("_sibling", "_p").alias("_b"), F.when(F.col("_sibling").isNull(), DOWN).otherwise(UP).alias("_bw"))
-    roots = sliced.where("_p is null").select(*on, "_id", F.lit(DOWN).alias("_way"), F.lit(None).cast(nodes.schema["_id"].dataType).alias("_b"), F.lit(DOWN).alias("_bw"))
-    ups = nodes.select(*on, "_id").join(last, [*on, "_id"], "left").select(
-        *on, "_id", F.lit(UP).alias("_way"), F.coalesce("_last", "_id").alias("_b"), F.when(F.col("_last").isNull(), DOWN).otherwise(UP).alias("_bw")
+    """(part, id, way, before, before_way, n) of every element: what stands before it in the tour, null before a root, and how many nodes
+    the step passes: its own on the way down, and those of the layers that left between it and what stands before it."""
+    sliced = range_slice(nodes.withColumn("_self", F.struct("_id", "_skip")), [*on, "_p"], ["_id"])
+    kids = previous_value(sliced.where("_p is not null"), [*on, "_p"], ["_id"], "_self", "_sibling")
+    last = kids.groupBy(*on, F.col("_p").alias("_id")).agg(F.max("_self").alias("_last"))
+    behind = lambda at, first: [
+        F.coalesce(f"{at}._id", first).alias("_b"), F.when(F.col(at).isNull(), DOWN).otherwise(UP).alias("_bw"),
+    ]
+    passed = lambda at: F.coalesce(f"{at}._skip", F.lit(0))
+    down = kids.select(*on, "_id", F.lit(DOWN).alias("_way"), *behind("_sibling", "_p"), (1 + F.col("_skip") - passed("_sibling")).alias("_n"))
+    no_id = F.lit(None).cast(nodes.schema["_id"].dataType)
+    roots = sliced.where("_p is null").select(*on, "_id", F.lit(DOWN).alias("_way"), no_id.alias("_b"), F.lit(DOWN).alias("_bw"), F.lit(1).cast("long").alias("_n"))
+    ups = nodes.select(*on, "_id", "_own").join(last, [*on, "_id"], "left").select(
+        *on, "_id", F.lit(UP).alias("_way"), *behind("_last", "_id"), (F.col("_own") - 1 - passed("_last")).alias("_n")
     )
     return down.unionByName(roots).unionByName(ups)
 
@@ -81,10 +96,9 @@ def _added(rows: DataFrame, before: DataFrame, on: list[str], how: str) -> DataF
 
 
 def _ranked(tour: DataFrame, on: list[str], small: int) -> DataFrame:
-    """Sums ``_n`` (1 for down) and ``_d`` (1 for down, -1 for up) from the head of its list up to and with each element, and its root."""
-    step = F.when(F.col("_way") == DOWN, 1)
+    """Sums ``_n`` (nodes passed) and ``_d`` (1 for down, -1 for up) from the head of its list up to and with each element, and its root."""
     rest = cut_lineage(tour.select(
-        *on, "_id", "_way", "_b", "_bw", step.otherwise(0).cast("long").alias("_n"), step.otherwise(-1).cast("long").alias("_d"),
+        *on, "_id", "_way", "_b", "_bw", "_n", F.when(F.col("_way") == DOWN, 1).otherwise(-1).cast("long").alias("_d"),
         F.when(F.col("_b").isNull(), F.col("_id")).alias("_root"),
     ))
     found, gone = [], []
@@ -110,53 +124,169 @@ def _ranked(tour: DataFrame, on: list[str], small: int) -> DataFrame:
     return known
 
 
-def _at_once(rows: DataFrame, on: list[str]) -> DataFrame:
-    """(part, id, root, depth, enter, leave) of all nodes that hang under a root, walked in one task: for ``SMALL`` elements at most."""
+def _walked_trees(rows: DataFrame, on: list[str], pack: str | None = None) -> DataFrame:
+    """(part, id, root, depth, enter, leave) of whole trees, walked pack by pack or at once; nulls where no root is above."""
     ident = rows.schema["_id"]
     numbers = [T.StructField(c, T.LongType()) for c in ("depth", "enter", "leave")]
     out = T.StructType([*[rows.schema[p] for p in on], ident, T.StructField("root", ident.dataType), *numbers])
     arrow = to_arrow_schema(out)
 
     def walk(table: pa.Table) -> pa.Table:
-        parts = list(zip(*[table[p].to_pylist() for p in on])) if on else [()] * table.num_rows
-        ids, ups = table["_id"].to_pylist(), table["_p"].to_pylist()
-        known, below = set(zip(parts, ids)), {}
-        for part, i, up in zip(parts, ids, ups):
-            below.setdefault((part, up if (part, up) in known else None), []).append(i)
-        found = []
-        for part, head in [(part, i) for (part, up), own in below.items() if up is None for i in own]:
-            n, stack = 0, [(head, 1, None)]
-            while stack:
-                i, depth, row = stack.pop()
-                if row is not None:
-                    row[-1] = n - 1
-                    continue
-                found.append(row := [*part, i, head, depth, n, n])
-                n += 1
-                stack.append((i, depth, row))
-                stack += [(c, depth + 1, None) for c in sorted(below.get((part, i), ()), reverse=True)]
-        columns = zip(*found) if found else [[] for _ in arrow]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return rows.groupBy().applyInArrow(walk, out)
+        n, ids = table.num_rows, table["_id"].combine_chunks()
+        codes = pa.concat_arrays([ids, table["_p"].combine_chunks()]).dictionary_encode().indices
+        keys = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+        for p in on:
+            code = table[p].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            keys = np.where(keys < 0, -1, keys * (code.max(initial=0) + 1) + np.tile(code, 2))
+            known = keys >= 0
+            keys[known] = np.unique(keys[known], return_inverse=True)[1]
+        place = np.full(keys.max(initial=0) + 2, -1)  # the last for null
+        place[keys[:n]] = np.arange(n)
+        up = np.where(keys[n:] < 0, -1, place[keys[n:]])
+        by_id = pc.sort_indices(ids).to_numpy()
+        kids = by_id[np.argsort(up[by_id], kind="stable")]  # by parent, then by id
+        many = np.bincount(up + 1, minlength=n + 1)
+        start = np.cumsum(many) - many
+        levels = [kids[: many[0]]]
+        while len(levels[-1]):
+            at = levels[-1] + 1
+            ends = np.cumsum(many[at])
+            levels.append(kids[np.repeat(start[at] - ends + many[at], many[at]) + np.arange(ends[-1])])
+        size, skip = table["_own"].to_numpy().copy(), table["_skip"].to_numpy()
+        for level in reversed(levels[1:]):
+            np.add.at(size, up[level], size[level])
+        root, depth, enter = np.full(n, -1), np.ones(n, "int64"), np.zeros(n, "int64")
+        root[levels[0]] = levels[0]
+        for level in levels[1:]:
+            over = up[level]
+            upto = np.cumsum(size[level]) - size[level]
+            family = np.cumsum(np.diff(over, prepend=over[:1]) != 0)
+            first = np.searchsorted(family, family)
+            root[level], depth[level] = root[over], depth[over] + 1
+            enter[level] = enter[over] + 1 + skip[level] + upto - upto[first]
+        lost = root < 0
+        numbers = [pa.array(c, "int64", mask=lost) for c in (depth, enter, enter + size - 1)]
+        columns = [*[table[p] for p in on], ids, ids.take(pa.array(root, mask=lost)), *numbers]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return (rows.groupBy(pack) if pack else rows.groupBy()).applyInArrow(walk, out)
+
+
+def _before(kids: DataFrame, on: list[str]) -> DataFrame:
+    """Children with ``_skip``: the sum of ``_size`` over their siblings with smaller ids."""
+    sliced = range_slice(kids, [*on, "_p"], ["_id"])
+    return running_sum(sliced, [*on, "_p"], ["_id"], F.col("_size"), "_upto").withColumn("_skip", F.col("_upto") - F.col("_size")).drop("_upto", SLICE)
+
+
+def _shares(live: DataFrame, on: list[str]) -> tuple[int, int]:
+    """Nodes, and about how many of them have children."""
+    parents = F.approx_count_distinct(F.when(F.col("_p").isNotNull(), F.xxhash64(*on, "_p")))
+    return tuple(live.agg(F.count(F.lit(1)), parents).first())
+
+
+def _raked(up: DataFrame, on: list[str], small: int, size: int, parents: int) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Nodes that stay, with ``_own`` (themselves and what left below them), their number, and layers of childless nodes that left, the lowest first."""
+    live, layers = up.withColumn("_own", F.lit(1).cast("long")), []
+    while 2 * size > small and 2 * parents <= size:
+        above = live.where("_p is not null").groupBy(*on, F.col("_p").alias("_id")).agg(F.lit(True).alias("_has"))
+        flagged = cut_lineage(live.join(above, [*on, "_id"], "left"))
+        layers.append(flagged.where("_has is null").drop("_has"))
+        less = layers[-1].where("_p is not null").groupBy(*on, F.col("_p").alias("_id")).agg(F.sum("_own").alias("_less"))
+        live = cut_lineage(flagged.where("_has").join(less, [*on, "_id"], "left").select(*on, "_id", "_p", (F.col("_own") + F.coalesce("_less", F.lit(0))).alias("_own")))
+        size, parents = _shares(live, on)
+    return live, size, layers
+
+
+def _with_roots(up: DataFrame, on: list[str], rounds: int) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes with their root ``_top``, and those that don't have it after ``rounds`` doublings and their number: deep ones, and those without
+    a root. Stops where eight doublings find the root of less than a tenth of the nodes."""
+    open_ = up.where("_p is not null").withColumn("_top", F.col("_p"))
+    found = [up.where("_p is null").withColumn("_top", F.col("_id"))]
+    size, turn = None, 0
+    while turn < rounds:
+        at = [d.select(*on, F.col("_id").alias("_top"), F.col("_top").alias("_over"), F.lit(done).alias("_done")) for d, done in [*[(f, True) for f in found], (open_, False)]]
+        next_ = open_.join(reduce(DataFrame.unionByName, at), [*on, "_top"]).select(*open_.drop("_top").columns, F.col("_over").alias("_top"), "_done")
+        next_ = cut_lineage(next_)
+        found.append(next_.where("_done").drop("_done"))
+        open_ = next_.where("not _done").drop("_done")
+        left, all_ = next_.agg(F.count_if(~F.col("_done")), F.count(F.lit(1))).first()
+        size, turn = size or all_, turn + 1
+        if not left or (turn >= 8 and 10 * left > 9 * size):
+            break
+    return reduce(DataFrame.unionByName, found), open_, left
+
+
+def _core(live: DataFrame, on: list[str], small: int, size: int) -> DataFrame:
+    """(part, id, root, depth, enter, leave) of ``size`` nodes with ``_own`` and ``_skip``; nulls where no root is above."""
+    if 2 * size <= small:
+        return cut_lineage(_walked_trees(live, on))
+    pack = max(1, small // 4)
+    rooted, deep, left = _with_roots(live, on, pack.bit_length())
+    tree = [*on, "_top"]
+    # A tree goes whole into one pack. Packs that are too full hold the trees that are too large.
+    packs = rooted.withColumn("_pack", F.pmod(F.xxhash64(*tree), F.lit(-(-size // pack))))
+    full = cut_lineage(packs.groupBy("_pack").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * pack).select("_pack"))
+    if not left and full.isEmpty():
+        return cut_lineage(_walked_trees(packs, on, "_pack"))
+    large = packs.join(F.broadcast(full), "_pack", "left_semi").groupBy(*tree).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > pack).select(*tree)
+    if left:
+        over = rooted.select(*on, F.col("_id").alias("_top"), F.col("_top").alias("_root"))
+        large = large.unionByName(deep.join(over, tree).select(*on, F.col("_root").alias("_top"))).distinct()
+    large = cut_lineage(large)
+    large = F.broadcast(large) if large.count() <= MOST_KEYS else large
+    rest = cut_lineage(packs.join(large, tree, "left_semi").drop("_pack").unionByName(deep).drop("_top"))
+    rows = packs.join(large, tree, "left_anti").drop("_top")
+    if 2 * rest.count() <= small:
+        return cut_lineage(_walked_trees(rows.unionByName(rest.withColumn("_pack", F.lit(-1).cast("long"))), on, "_pack"))
+    found = _ranked(_tour(rest, on), on, small)
+    down = F.col("_way") == DOWN
+    ends = found.groupBy(*on, "_id").agg(
+        F.min("_root").alias("root"), F.max(F.when(down, F.col("_d"))).alias("depth"), (F.min(F.when(down, F.col("_n"))) - 1).alias("enter"),
+        (F.max("_n") - 1).alias("leave"),
+    )
+    ends = rest.select(*on, "_id").join(ends, [*on, "_id"], "left")
+    return cut_lineage(_walked_trees(rows, on, "_pack").unionByName(ends))
+
+
+def _hung(core: DataFrame, live: DataFrame, layers: list[DataFrame], on: list[str]) -> DataFrame:
+    """The core's labels and those of the layers, each under the numbers of its parents."""
+    sized = live.where("_p is not null").join(core.select(*on, "_id", (F.col("leave") - F.col("enter") + 1).alias("_size")), [*on, "_id"])
+    sized = sized.select(*on, "_id", "_p", "_size", F.lit(None).cast("int").alias("_layer"))
+    left = [d.where("_p is not null").select(*on, "_id", "_p", F.col("_own").alias("_size"), F.lit(i).alias("_layer")) for i, d in enumerate(layers)]
+    kids = cut_lineage(_before(reduce(DataFrame.unionByName, left, sized), on).where("_layer is not null"))
+    known = core
+    for i, layer in reversed(list(enumerate(layers))):
+        heads = layer.where("_p is null").select(*on, "_id", F.col("_id").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(0).cast("long").alias("enter"), (F.col("_own") - 1).alias("leave"))
+        over = known.select(*on, F.col("_id").alias("_p"), "root", (F.col("depth") + 1).alias("depth"), (F.col("enter") + 1).alias("_first"))
+        enter = F.col("_first") + F.col("_skip")
+        below = kids.where(F.col("_layer") == i).join(over, [*on, "_p"]).select(*on, "_id", "root", "depth", enter.alias("enter"), (enter + F.col("_size") - 1).alias("leave"))
+        known = known.unionByName(cut_lineage(below.unionByName(heads)))
+    return known
 
 
 def labels(nodes: DataFrame, key: str, parent: str, part: Sequence[str] = (), small: int = SMALL) -> DataFrame:
     """(part, key, root, depth, enter, leave, cycle): depth is 1 at a root, enter and leave count from 0 in each tree."""
     on = list(part)
     rows = cut_lineage(nodes.select(*on, F.col(key).alias("_id"), F.col(parent).alias("_p")))
-    if 2 * rows.count() <= small:
-        ends = _at_once(rows, on)
+    one, none = F.lit(1).cast("long").alias("_own"), F.lit(0).cast("long").alias("_skip")
+    size, parents = _shares(rows, on)
+    if 2 * size <= small:
+        ends = cut_lineage(_walked_trees(rows.select("*", one, none), on))
     else:
-        found = _ranked(_tour(rows, on), on, small)
-        down = F.col("_way") == DOWN
-        ends = found.groupBy(*on, "_id").agg(
-            F.min("_root").alias("root"), F.max(F.when(down, F.col("_d"))).alias("depth"), (F.min(F.when(down, F.col("_n"))) - 1).alias("enter"),
-            (F.max("_n") - 1).alias("leave"),
-        )
-    return cut_lineage(rows.select(*on, "_id").join(ends, [*on, "_id"], "left").select(
-        *on, F.col("_id").alias(key), "root", F.col("depth").cast("int").alias("depth"), "enter", "leave", F.col("root").isNull().alias("cycle")
-    ))
+        known = rows.select(*on, F.col("_id").alias("_p"), F.lit(True).alias("_has"))
+        up = cut_lineage(rows.join(known, [*on, "_p"], "left").select(*on, "_id", F.when(F.col("_has"), F.col("_p")).alias("_p")))
+        live, size, layers = _raked(up, on, small, size, parents)
+        if layers:
+            # Only what left right below a node that stays lies between its children.
+            over = live.select(*on, F.col("_id").alias("_p"))
+            left = reduce(DataFrame.unionByName, layers).join(over, [*on, "_p"], "left_semi").select(*on, "_id", "_p", F.col("_own").alias("_size"), F.lit(None).cast("long").alias("_own"))
+            kids = live.where("_p is not null").select(*on, "_id", "_p", F.lit(0).cast("long").alias("_size"), "_own")
+            kids = _before(kids.unionByName(left), on).where("_own is not null").select(*on, "_id", "_p", "_own", "_skip")
+            live = cut_lineage(kids.unionByName(live.where("_p is null").select("*", none)))
+            ends = _hung(_core(live, on, small, size), live, layers, on)
+        else:
+            ends = _core(live.select("*", none), on, small, size)
+    return ends.select(*on, F.col("_id").alias(key), "root", F.col("depth").cast("int").alias("depth"), "enter", "leave", F.col("root").isNull().alias("cycle"))
 
 
 def descendants(labelled: DataFrame, key: str, part: Sequence[str] = (), of: DataFrame | None = None) -> DataFrame:
