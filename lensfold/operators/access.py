@@ -18,10 +18,13 @@ def matched_items(items: DataFrame, members: DataFrame, matches: DataFrame, item
 
     A pair is made once, by the smallest cluster that its session and its item share: both sides carry the clusters that come before in
     their own list. So pairs are neither shuffled nor made distinct, only memberships are moved.
+
+    Memberships are sorted by cluster inside their task before they meet the sessions: neighbouring items then have the same sessions in the
+    same order, and the written pairs, which outgrow all tables, take a small part of the disk.
     """
     session = [c for c in matches.columns if c not in (*part, cluster)]
     inside = members.where(F.col(cluster).isNotNull()).select(*part, cluster, item).join(items.select(item), item, "left_semi")
-    seen = _with_earlier(inside, [*part, item], cluster, "_item_before")
+    seen = _by_cluster(_with_earlier(inside, [*part, item], cluster, "_item_before"), [*part, cluster])
     asked = _with_earlier(matches.where(F.col(cluster).isNotNull()).select(*part, cluster, *session), [*part, *session], cluster, "_session_before")
     first = (F.size("_session_before") == 0) | (F.size("_item_before") == 0) | ~F.arrays_overlap("_session_before", "_item_before")
     return seen.join(asked, [*part, cluster]).where(first).select(*part, item, *session)
@@ -33,6 +36,12 @@ def _with_earlier(rows: DataFrame, owner: Sequence[str], cluster: str, name: str
     return own.select(*owner, "_all", F.posexplode("_all").alias("_pos", cluster)).select(*owner, cluster, F.expr("slice(_all, 1, _pos)").alias(name))
 
 
+def _by_cluster(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sorted inside each task. Spark drops a sort that stands below a join with nothing but projections between: the generator keeps it."""
+    ordered = rows.sortWithinPartitions(*keys)
+    return ordered.select(F.explode(F.array(F.struct(*ordered.columns))).alias("_row")).select("_row.*")
+
+
 def matched_requests(
     requests: DataFrame, matches: DataFrame, members: DataFrame, key: Sequence[str], session: str, item: str, cluster: str,
     part: Sequence[str] = (),
