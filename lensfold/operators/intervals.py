@@ -133,7 +133,9 @@ def _walked_trees(rows: DataFrame, on: list[str], pack: str | None = None) -> Da
 
     def walk(table: pa.Table) -> pa.Table:
         n, ids = table.num_rows, table["_id"].combine_chunks()
-        codes = pa.concat_arrays([ids, table["_p"].combine_chunks()]).dictionary_encode().indices
+        above = table["_p"].combine_chunks()
+        both = [ids, above] if ids.type == above.type else [c.cast("int64") for c in (ids, above)]  # whole numbers of two widths
+        codes = pa.concat_arrays(both).dictionary_encode().indices
         keys = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
         for p in on:
             code = table[p].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
